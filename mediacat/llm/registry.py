@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediacat.llm import language_id, quality_rules, sharding, toxicity, url_filter
+from mediacat.llm import language_id, packing, quality_rules, sharding, toxicity, url_filter
 
-_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity)
+_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing)
 
 
 def queries() -> dict:
