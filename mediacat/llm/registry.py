@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediacat.llm import language_id, packing, pii, quality_rules, sharding, toxicity, url_filter
+from mediacat.llm import decontamination, language_id, packing, pii, quality_rules, sharding, toxicity, url_filter
 
-_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii)
+_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii, decontamination)
 
 
 def queries() -> dict:
