@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediacat.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, sharding, toxicity, url_filter
+from mediacat.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
-_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii, decontamination, ngram_join)
+_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii, decontamination, ngram_join, suffix_dedup)
 
 
 def queries() -> dict:
