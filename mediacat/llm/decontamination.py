@@ -86,8 +86,8 @@ def leaks(docs: DataFrame, items: DataFrame, least: Fraction = LEAST) -> DataFra
 
 def clean(docs: DataFrame, items: DataFrame, least: Fraction = LEAST) -> DataFrame:
     """The rows without any leak; a null id is kept apart from all others."""
-    bad = leaks(docs, items, least).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = stored(leaks(docs, items, least).select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,5 +243,11 @@ def joined(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10)) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of docs, all columns, with the least id of each component only."""
+    others = stored(joined(docs, n, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
+    return docs.join(_small(others), F.col("doc_id") == F.col("_other"), "left_anti")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
