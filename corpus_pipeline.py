@@ -1,8 +1,55 @@
-"""The corpus pipeline, stage by stage."""
+"""The corpus pipeline: filter, deduplicate, decontaminate, redact, pack.
 
-STAGES = []
+Each stage works on all rows that the stage before it kept and returns the columns of
+documents, but for the last, which returns packed pieces. Null and empty texts pass every
+filter; an empty table passes through; a stage never looks at columns other than doc_id and
+text (and n_chars, which redaction keeps true).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediacat.llm import decontamination, ngram_join, packing, pii, toxicity
+from mediacat.llm.common import fold, stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows not predicted toxic; the model learns from the labelled rows that op6 learns from."""
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    return toxicity.kept(docs, toxicity.fit(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, the least id, of each group linked by five-word shingles at 0.8 or more."""
+    return ngram_join.representatives(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data blanked and n_chars counted anew."""
+    out = pii.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their places."""
+    return packing.packed(docs, packing.tokenizer_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_leaks), ("pii", redact), ("packing", pack)]
+
+#: Trained models and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
