@@ -1,9 +1,447 @@
 """Catalog queries by name, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediacat.functions import hashing, keys, media
+from mediacat.operators import cleanup, gates, resolve, similar, state
+from mediacat.sources import fixtures as X
+from mediacat.sources import listing
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = X.with_views(sql)
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+_ETAG = "replace(etag, '\"', '') AS etag"
+
+
+def _iso(df: DataFrame) -> DataFrame:
+    return df.withColumn("last_modified", F.date_format("last_modified", ISO))
+
+
+def _sources(spark: SparkSession, sf: str, where=keys.is_video) -> DataFrame:
+    return listing.scan(X.source(spark, sf), where=where)
+
+
+@query(f"SELECT source_key, {_ETAG}, size, last_modified FROM v_source WHERE {X.IS_VIDEO} AND NOT (source_key LIKE '%/' AND size = 0)")
+def source_scan(spark, sf):
+    return _iso(_sources(spark, sf)).select("source_key", "etag", "size", "last_modified").orderBy("source_key")
+
+
+@query(f"SELECT source_key, {_ETAG}, size, last_modified FROM v_source WHERE starts_with(source_key, 'src1/')")
+def source_scan_prefix(spark, sf):
+    return _iso(listing.scan(X.source(spark, sf), "src1/", None)).select("source_key", "etag", "size", "last_modified")
+
+
+@query(f"SELECT source_key, {X.EXT} AS ext, {X.IS_VIDEO} AS is_video FROM (SELECT source_key FROM v_source UNION ALL SELECT url FROM pages)")
+def video_keys(spark, sf):
+    k = F.col("source_key")
+    return _all_keys(spark, sf).select(k, keys.extension(k).alias("ext"), keys.is_video(k).alias("is_video"))
+
+
+@query(f"SELECT source_key, {X.EXT} AS ext, {X.IS_IMAGE} AS is_image FROM (SELECT source_key FROM v_source UNION ALL SELECT url FROM pages)")
+def image_keys(spark, sf):
+    k = F.col("source_key")
+    return _all_keys(spark, sf).select(k, keys.extension(k).alias("ext"), keys.is_image(k).alias("is_image"))
+
+
+def _all_keys(spark, sf):
+    return X.source(spark, sf).select("source_key").unionByName(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("source_key")))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT unnest({list(keys.VIDEO)}) INTERSECT SELECT unnest({list(keys.IMAGE)}))")
+def ext_disjoint(spark, sf):
+    one = lambda v: spark.createDataFrame([(x,) for x in v], "ext string")
+    return one(keys.VIDEO).intersect(one(keys.IMAGE)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s.source_key, m.content_id IS NOT NULL AS found, m.content_id, m.hls_root FROM v_source s LEFT JOIN v_mapping m USING (source_key)")
+def mapping_lookup(spark, sf):
+    s = X.source(spark, sf).select("source_key").join(X.mapping(spark, sf), "source_key", "left")
+    return s.select("source_key", F.col("content_id").isNotNull().alias("found"), "content_id", "hls_root")
+
+
+@query("SELECT s.source_key, m.pdq_hash, m.quality FROM v_source s LEFT JOIN v_image_mapping m USING (source_key)")
+def image_mapping_lookup(spark, sf):
+    return X.source(spark, sf).select("source_key").join(X.image_mapping(spark, sf), "source_key", "left").select("source_key", "pdq_hash", "quality")
+
+
+def _cached_sql(kind: str, view: str) -> str:
+    return f"SELECT s.source_key, m.source_key IS NOT NULL AS cached FROM v_source s LEFT JOIN {view} m ON s.source_key = m.source_key AND replace(s.etag, '\"', '') = m.source_etag AND s.size = m.source_size WHERE {_EXT('s.source_key')} IN {kind}"
+
+
+def _EXT(key: str) -> str:  # noqa: N802
+    return X._EXT.format(key)
+
+
+@query(_cached_sql(str(keys.VIDEO), "v_mapping"))
+def cache_split(spark, sf):
+    return gates.cached(_sources(spark, sf), X.mapping(spark, sf)).select("source_key", "cached")
+
+
+@query(_cached_sql(str(keys.IMAGE), "v_image_mapping"))
+def image_cache_split(spark, sf):
+    return gates.cached(_sources(spark, sf, keys.is_image), X.image_mapping(spark, sf)).select("source_key", "cached")
+
+
+@query("SELECT s.source_key, coalesce(t.attempts, 0)::INTEGER AS attempts, coalesce(t.attempts >= 3, false) AS blocked FROM v_source s LEFT JOIN v_tombstone t ON s.source_key = t.source_key AND replace(s.etag, '\"', '') = t.source_etag AND s.size = t.source_size")
+def tombstone_gate(spark, sf):
+    return gates.blocked(_sources(spark, sf, None), X.tombstone(spark, sf)).select("source_key", "attempts", "blocked")
+
+
+@query("SELECT source_key, 'sha256:' || sha256(content) AS content_id, strlen(content)::BIGINT AS n_bytes FROM v_source")
+def content_id(spark, sf):
+    return X.source(spark, sf).select("source_key", X.digest(F.col("content")).alias("content_id"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+_CIDS = "(SELECT DISTINCT content_id AS cid FROM v_mapping UNION ALL SELECT unnest(['psig:xyz', 'abc123', 'md5:abc', 'sha256:a:b', '']))"
+
+
+@query(f"SELECT cid, CASE WHEN ok THEN scheme END AS scheme, CASE WHEN ok THEN substr(cid, strpos(cid, ':') + 1) END AS id FROM (SELECT cid, split_part(cid, ':', 1) AS scheme, strpos(cid, ':') > 0 AND split_part(cid, ':', 1) IN ('sha256', 'psig') AS ok FROM {_CIDS})")
+def content_id_parse(spark, sf):
+    odd = spark.createDataFrame([(x,) for x in ("psig:xyz", "abc123", "md5:abc", "sha256:a:b", "")], "cid string")
+    c = X.mapping(spark, sf).select(F.col("content_id").alias("cid")).distinct().unionByName(odd)
+    return c.select("cid", keys.scheme_of(F.col("cid")).alias("scheme"), keys.id_of(F.col("cid")).alias("id"))
+
+
+_CONTENT = "(SELECT source_key, 'sha256:' || sha256(content) AS content_id FROM v_source)"
+
+
+def _content(spark, sf):
+    return X.source(spark, sf).select("source_key", X.digest(F.col("content")).alias("content_id"))
+
+
+@query(f"SELECT content_id, min(source_key) AS source_key, count(*) AS copies FROM {_CONTENT} GROUP BY 1")
+def canonical_source(spark, sf):
+    return gates.canonical(_content(spark, sf))
+
+
+@query(f"SELECT source_key, content_id FROM {_CONTENT} WHERE content_id IN (SELECT content_id FROM v_output WHERE rel_path = 'master.m3u8')")
+def byte_hash_dedup(spark, sf):
+    return gates.known_bytes(_content(spark, sf), X.output(spark, sf))
+
+
+_BUILT = f"""SELECT source_key, replace(etag, '"', '') AS source_etag, size AS source_size, last_modified AS source_last_modified, 'sha256:' || sha256(content) AS content_id,
+  'by-id/sha256:' || sha256(content) || '/' AS hls_root, '{X.RUN_AT}' AS encoded_at, '{X.VERSION}' AS encoder_version FROM v_source"""
+
+
+@query(_BUILT)
+def mapping_build(spark, sf):
+    s = _iso(_sources(spark, sf, None)).withColumn("content_id", X.digest(F.col("content")))
+    return s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.col("last_modified").alias("source_last_modified"), "content_id", keys.by_id_prefix(F.col("content_id")).alias("hls_root"), F.lit(X.RUN_AT).alias("encoded_at"), F.lit(X.VERSION).alias("encoder_version"))
+
+
+@query("""SELECT key, CASE WHEN starts_with(key, 'mappings/') AND ends_with(key, '.json') AND length(key) >= 14 THEN substr(key, 10, length(key) - 14) END AS source_key,
+  CASE WHEN starts_with(key, 'image-mappings/') AND ends_with(key, '.json') AND length(key) >= 20 THEN substr(key, 16, length(key) - 20) END AS image_key
+FROM (SELECT 'mappings/' || source_key || '.json' AS key FROM v_source UNION ALL SELECT 'image-mappings/' || source_key || '.json' FROM v_source UNION ALL SELECT source_key FROM v_source)""")
+def mapping_key_roundtrip(spark, sf):
+    k = F.col("source_key")
+    s = X.source(spark, sf).select(F.explode(F.array(keys.mapping_key(k), keys.image_mapping_key(k), k)).alias("key"))
+    return s.select("key", keys.source_key_of(F.col("key")).alias("source_key"), keys.source_key_of(F.col("key"), "image-mappings/").alias("image_key"))
+
+
+@query("""SELECT source_key, 'image-mappings/' || source_key || '.json' AS image_key, 'errors/' || source_key || '.json' AS tombstone_key, 'by-id/' || c || '/master.m3u8' AS master_key,
+  'by-id/' || c || '/metadata.json' AS metadata_key, 'fingerprints/' || c || '.bin' AS fingerprint_key, 'by-id/' || c || '/.processing' AS lease_key FROM (SELECT source_key, 'sha256:' || sha256(content) AS c FROM v_source)""")
+def derived_keys(spark, sf):
+    k, c = F.col("source_key"), F.col("content_id")
+    return _content(spark, sf).select(k, keys.image_mapping_key(k).alias("image_key"), keys.tombstone_key(k).alias("tombstone_key"), keys.master_key(c).alias("master_key"), keys.metadata_key(c).alias("metadata_key"), keys.fingerprint_key(c).alias("fingerprint_key"), keys.lease_key(c).alias("lease_key"))
+
+
+@query("SELECT name, CASE WHEN ends_with(name, '.m3u8') THEN 'application/vnd.apple.mpegurl' WHEN ends_with(name, '.m4s') THEN 'video/iso.segment' WHEN ends_with(name, '.mp4') THEN 'video/mp4' WHEN ends_with(name, '.ts') THEN 'video/mp2t' WHEN ends_with(name, '.vtt') THEN 'text/vtt' WHEN ends_with(name, '.json') THEN 'application/json' ELSE 'application/octet-stream' END AS content_type FROM (SELECT rel_path AS name FROM v_output UNION ALL SELECT source_key FROM v_source)")
+def content_type(spark, sf):
+    names = X.output(spark, sf).select(F.col("rel_path").alias("name")).unionByName(X.source(spark, sf).select(F.col("source_key").alias("name")))
+    return names.select("name", keys.content_type(F.col("name")).alias("content_type"))
+
+
+# hashes
+@query("SELECT a.video, a.frame::INTEGER AS frame, bit_count(xor(a.h, b.h))::INTEGER AS distance, lower(lpad(to_hex(a.h), 16, '0')) AS h FROM v_frame a JOIN v_frame b ON a.video = b.video AND b.frame = 0")
+def hamming(spark, sf):
+    f = X.fingerprint(spark, sf).filter("video < 100000")
+    return f.select("video", F.get("hashes", F.lit(0)).alias("first"), F.posexplode("hashes").alias("frame", "x")).select("video", "frame", hashing.hamming(F.col("first"), F.col("x")).cast("int").alias("distance"), hashing.hex64(F.col("x")).alias("h"))
+
+
+@query("SELECT doc_id, lower(lpad(to_hex(list_sum(list_transform(range(64), lambda i: CASE WHEN pixels[(i // 8) * 9 + i % 8 + 1] > pixels[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT), 16, '0')) AS hash FROM v_pixels")
+def dhash(spark, sf):
+    return X.pixels(spark, sf).select("doc_id", hashing.hex64(hashing.dhash(F.col("pixels"))).alias("hash"))
+
+
+_SIM = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - list_sum(list_transform(range(1, least(a.n, b.n) + 1), lambda i: bit_count(xor(a.hashes[i], b.hashes[i]))))::DOUBLE / least(a.n, b.n) / 64))"
+
+
+@query("SELECT a.n AS n, b.n AS m, a.n > 0 AND b.n > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7 AS near, count(*) AS pairs FROM v_fingerprint a JOIN v_fingerprint b ON b.video = a.video + 200000 GROUP BY ALL")
+def ratio_prefilter(spark, sf):
+    f = X.fingerprint(spark, sf).select("video", "n")
+    p = f.join(f.select((F.col("video") - 200000).alias("video"), F.col("n").alias("m")), "video")
+    return p.groupBy(F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), similar.near_length("n", "m").alias("near")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"SELECT a.video AS a, b.video AS b, round({_SIM}, 9) AS similarity FROM v_fingerprint a JOIN v_fingerprint b ON a.video < b.video WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7 AND {_SIM} >= 0.95")
+def perceptual_pairs(spark, sf):
+    f = X.fingerprint(spark, sf)
+    return similar.pairs(f, f).filter("a < b").withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""SELECT a, arg_max(b, s * 1000000 - b / 10000000.0) AS b, round(max(s), 9) AS similarity FROM (SELECT a.video AS a, b.video AS b, {_SIM} AS s FROM v_fingerprint a JOIN v_fingerprint b ON a.video >= 100000 AND b.video < 100000
+  WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7) WHERE s >= 0.95 GROUP BY a""")
+def perceptual_match(spark, sf):
+    f = X.fingerprint(spark, sf)
+    index = f.filter("video < 100000").withColumn("insert_seq", F.col("video"))
+    return similar.best(f.filter("video >= 100000"), index).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(None)
+def fingerprint_roundtrip(spark, sf):
+    f = X.fingerprint(spark, sf).withColumn("blob", hashing.to_blob(F.lit(2.0), F.col("hashes")))
+    back = hashing.blob_hashes(F.col("blob"))
+    return f.select("video", F.length("blob").alias("n_bytes"), F.transform(back, hashing.hex64).alias("hashes"), (back == F.col("hashes")).alias("same"))
+
+
+@query(None)
+def greedy_resolve(spark, sf):
+    f = X.fingerprint(spark, sf)
+    links = similar.pairs(f, f).filter("a < b")
+    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("video") % 6).cast("int") + 1)
+    v = f.select("video", pick(X.WIDTHS).alias("width"), pick(X.HEIGHTS).alias("height"), F.when(F.col("video") % 7 != 0, (500 + F.col("video") % 4000).cast("int")).alias("kbps"))
+    return resolve.greedy(v, links, similar.THRESHOLD)
+
+
+# media
+@query("""SELECT a.doc_id, CASE WHEN a.width::BIGINT * a.height <> b.width::BIGINT * b.height THEN a.width::BIGINT * a.height > b.width::BIGINT * b.height ELSE coalesce(a.bitrate_kbps > b.bitrate_kbps, false) END AS higher
+FROM v_probe a JOIN v_probe b ON b.doc_id = a.doc_id + 6""")
+def quality_compare(spark, sf):
+    a = X.probes(spark, sf)
+    b = a.select((F.col("doc_id") - 6).alias("doc_id"), F.col("width").alias("w2"), F.col("height").alias("h2"), F.col("bitrate_kbps").alias("b2"))
+    return a.join(b, "doc_id").select("doc_id", media.higher_quality(F.col("width"), F.col("height"), F.col("bitrate_kbps"), F.col("w2"), F.col("h2"), F.col("b2")).alias("higher"))
+
+
+_FIT = "(SELECT doc_id, has_audio, ord, name, w, h, video_kbps, audio_kbps FROM v_probe p JOIN v_ladder l ON l.w <= p.width AND l.h <= p.height UNION ALL SELECT doc_id, has_audio, ord, name, w, h, video_kbps, audio_kbps FROM v_probe p, v_ladder l WHERE l.ord = 0 AND NOT (l.w <= p.width AND l.h <= p.height) AND NOT EXISTS (SELECT 1 FROM v_ladder k WHERE k.w <= p.width AND k.h <= p.height))"
+
+
+@query(f"SELECT doc_id, string_agg(name, ',' ORDER BY ord) AS rungs FROM {_FIT} GROUP BY doc_id")
+def effective_ladder(spark, sf):
+    return X.probes(spark, sf).select("doc_id", F.array_join(F.transform(media.effective_ladder(F.col("width"), F.col("height")), lambda r: r["name"]), ",").alias("rungs"))
+
+
+@query(f"""SELECT doc_id, '-y -i in.mp4 -filter_complex [0:v]split=' || count(*) || string_agg('[v' || i || ']', '' ORDER BY i) || ';' ||
+  string_agg('[v' || i || ']scale=w=' || w || ':h=' || h || ':force_original_aspect_ratio=decrease,pad=' || w || ':' || h || ':(ow-iw)/2:(oh-ih)/2[s' || i || ']', ';' ORDER BY i) || ' ' ||
+  string_agg('-map [s' || i || '] -c:v:' || i || ' libx264 -b:v:' || i || ' ' || video_kbps || 'k -maxrate:v:' || i || ' ' || floor(video_kbps * 1.07::DOUBLE + 0.5)::INTEGER || 'k -bufsize:v:' || i || ' ' || 2 * video_kbps || 'k -profile:v:' || i || ' main -preset:v:' || i || ' fast -g:v:' || i || ' 48 -keyint_min:v:' || i || ' 48 -sc_threshold:v:' || i || ' 0', ' ' ORDER BY i) ||
+  CASE WHEN any_value(has_audio) THEN ' ' || string_agg('-map 0:a:0 -c:a:' || i || ' aac -b:a:' || i || ' ' || audio_kbps || 'k -ac:a:' || i || ' 2', ' ' ORDER BY i) ELSE '' END ||
+  ' -f hls -hls_time 6 -hls_playlist_type vod -hls_segment_type fmp4 -hls_flags independent_segments -hls_segment_filename out/%v/seg_%05d.m4s -master_pl_name master.m3u8 -var_stream_map ' ||
+  string_agg('v:' || i || CASE WHEN has_audio THEN ',a:' || i ELSE '' END || ',name:' || name, ' ' ORDER BY i) || ' out/%v/index.m3u8' AS args
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM {_FIT}) GROUP BY doc_id""")
+def hls_args(spark, sf):
+    p = X.probes(spark, sf)
+    args = media.encoder_args(F.lit("in.mp4"), F.lit("out"), media.effective_ladder(F.col("width"), F.col("height")), F.col("has_audio"))
+    return p.select("doc_id", F.array_join(args, " ").alias("args"))
+
+
+@query("SELECT doc_id, width, height, doc_id + 0.5::DOUBLE AS duration_seconds, round((bitrate_kbps::BIGINT * 1000 + doc_id % 1000) / 1000.0::DOUBLE)::INTEGER AS bitrate_kbps, 'h264' AS video_codec, CASE WHEN has_audio THEN 'aac' END AS audio_codec, has_audio FROM v_probe")
+def probe_parse(spark, sf):
+    return X.probe_json(spark, sf).select("doc_id", media.probe(F.col("probe")).alias("p")).select("doc_id", "p.*")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 NOT IN (7, 8) THEN h END AS hash, CASE WHEN doc_id % 9 NOT IN (7, 8) THEN CASE WHEN q <= 100 THEN q ELSE 0 END END::INTEGER AS quality FROM v_pdq")
+def pdq_parse(spark, sf):
+    p = X.pdq_stdout(spark, sf).select("doc_id", media.pdq(F.col("stdout")).alias("p"))
+    return p.select("doc_id", "p.hash", "p.quality")
+
+
+@query(f"SELECT doc_id, width, height, duration_seconds::DOUBLE AS duration_seconds, bitrate_kbps, count(*) AS n_rungs, string_agg(name || ':' || video_kbps, ',' ORDER BY ord) AS rungs, '{X.VERSION}' AS encoder_version FROM v_probe JOIN {_FIT} USING (doc_id) GROUP BY ALL")
+def metadata_flatten(spark, sf):
+    md = X.probes(spark, sf).select("doc_id", F.struct("width", "height", "duration_seconds", "bitrate_kbps").alias("source"), media.effective_ladder(F.col("width"), F.col("height")).alias("ladder"), F.lit(X.VERSION).alias("encoder_version"))
+    rungs = F.array_join(F.transform("ladder", lambda r: F.concat(r["name"], F.lit(":"), r["video_bitrate_kbps"].cast("string"))), ",")
+    return md.select("doc_id", "source.width", "source.height", F.col("source.duration_seconds").cast("double").alias("duration_seconds"), "source.bitrate_kbps", F.size("ladder").cast("long").alias("n_rungs"), rungs.alias("rungs"), "encoder_version")
+
+
+# configuration
+def _endpoint_sql(c: str) -> str:
+    return f"CASE WHEN {c} LIKE '%://%' THEN regexp_replace(regexp_replace(regexp_extract(lower({c}), '^[a-z]+://[^/?#]*'), '^(https://.*):443$', '\\1'), '^(http://.*):80$', '\\1') ELSE lower({c}) END"
+
+
+@query(f"SELECT a.i AS i, b.i AS j, a.s_bucket AS bucket FROM v_pair a JOIN v_pair b ON a.s_bucket = b.d_bucket AND {_endpoint_sql('a.s_endpoint')} = {_endpoint_sql('b.d_endpoint')} AND (starts_with(a.s_prefix, b.d_prefix) OR starts_with(b.d_prefix, a.s_prefix))")
+def bucket_overlap(spark, sf):
+    p = X.pairs(spark)
+    s = p.select("i", F.col("s_bucket").alias("bucket"), keys.endpoint(F.col("s_endpoint")).alias("at"), "s_prefix")
+    d = p.select(F.col("i").alias("j"), F.col("d_bucket").alias("bucket"), keys.endpoint(F.col("d_endpoint")).alias("at"), "d_prefix")
+    return s.join(d, ["bucket", "at"]).filter(F.startswith("s_prefix", "d_prefix") | F.startswith("d_prefix", "s_prefix")).select("i", "j", "bucket")
+
+
+@query("SELECT i, coalesce(nullif(key_bucket, ''), nullif(key_pair, ''), nullif(key_env, '')) AS access_key, coalesce(nullif(region_bucket, ''), nullif(region_pair, ''), nullif(region_env, ''), 'auto') AS region FROM v_credential")
+def credential_cascade(spark, sf):
+    c = X.credentials(spark)
+    return c.select("i", keys.first_filled(F.col("key_bucket"), F.col("key_pair"), F.col("key_env")).alias("access_key"), keys.first_filled(F.col("region_bucket"), F.col("region_pair"), F.col("region_env"), F.lit("auto")).alias("region"))
+
+
+_NOW = "2024-01-08 00:00:00"
+
+
+@query(f"SELECT source_key, coalesce(epoch_us(TIMESTAMP '{_NOW}') - epoch_us(try_strptime(started, '%Y-%m-%dT%H:%M:%SZ')) < 86400.0 * 1e6 * 1.5, false) AS is_live FROM (SELECT source_key, CASE WHEN doc_id % 10 = 3 THEN 'garbled' ELSE last_modified END AS started FROM v_source)")
+def lock_staleness(spark, sf):
+    s = _iso(X.source(spark, sf)).select("source_key", F.when(F.col("doc_id") % 10 == 3, "garbled").otherwise(F.col("last_modified")).alias("started"))
+    age = F.unix_micros(F.lit(_NOW).cast("timestamp")) - F.unix_micros(F.try_to_timestamp("started", F.lit(ISO)))
+    return s.select("source_key", F.coalesce(age < F.lit(86400.0 * 1e6 * 1.5), F.lit(False)).alias("is_live"))
+
+
+@query("SELECT platform, ceil(runtime * 1.5::DOUBLE)::BIGINT AS lock_ttl, floor(runtime * 0.75::DOUBLE)::BIGINT AS budget FROM (VALUES ('aws-lambda', 900.0::DOUBLE), ('cloudflare-container', 3600.0), ('local', 3600.0)) t(platform, runtime)")
+def time_budgets(spark, sf):
+    p = spark.createDataFrame([("aws-lambda", 900.0), ("cloudflare-container", 3600.0), ("local", 3600.0)], "platform string, runtime double")
+    return p.select("platform", F.ceil(F.col("runtime") * 1.5).alias("lock_ttl"), F.floor(F.col("runtime") * 0.75).alias("budget"))
+
+
+# cleanup
+@query("SELECT source_key, content_id FROM v_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)")
+def orphan_mappings(spark, sf):
+    return cleanup.orphans(X.mapping(spark, sf), X.live(spark, sf)).select("source_key", "content_id")
+
+
+@query("SELECT source_key, pdq_hash FROM v_image_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)")
+def image_orphans(spark, sf):
+    return cleanup.orphans(X.image_mapping(spark, sf), X.live(spark, sf)).select("source_key", "pdq_hash")
+
+
+_COUNTS = "(SELECT content_id, count(*) FILTER (WHERE l.source_key IS NULL) AS n_orphans, count(l.source_key) AS n_live, CASE WHEN count(l.source_key) = 0 THEN 'collect' ELSE 'retain' END AS action FROM v_mapping m LEFT JOIN v_live l USING (source_key) GROUP BY 1 HAVING count(*) FILTER (WHERE l.source_key IS NULL) > 0)"
+
+
+@query(f"SELECT * FROM {_COUNTS}")
+def orphan_refcounts(spark, sf):
+    return cleanup.refcounts(X.mapping(spark, sf), X.live(spark, sf))
+
+
+_PLAN = f"(SELECT content_id, 'by-id/' || content_id || '/' || rel_path AS object_key, (row_number() OVER (PARTITION BY content_id ORDER BY rel_path) - 1) // 1000 AS batch FROM v_output JOIN {_COUNTS} USING (content_id) WHERE action = 'collect')"
+
+
+@query(f"SELECT * FROM {_PLAN}")
+def gc_object_plan(spark, sf):
+    return cleanup.gc_plan(cleanup.refcounts(X.mapping(spark, sf), X.live(spark, sf)), X.output(spark, sf))
+
+
+@query(f"SELECT (SELECT coalesce(sum(n_orphans), 0)::BIGINT FROM {_COUNTS}) AS orphan_mappings, (SELECT count(*) FROM {_COUNTS} WHERE action = 'collect') AS collected, (SELECT count(*) FROM {_COUNTS} WHERE action = 'retain') AS retained, (SELECT count(*) FROM {_PLAN}) AS objects")
+def cleanup_summary(spark, sf):
+    counts = cleanup.refcounts(X.mapping(spark, sf), X.live(spark, sf))
+    return cleanup.summary(counts, cleanup.gc_plan(counts, X.output(spark, sf)))
+
+
+@query("SELECT count(*) AS orphan_mappings FROM v_image_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)")
+def image_cleanup_summary(spark, sf):
+    return cleanup.orphans(X.image_mapping(spark, sf), X.live(spark, sf)).agg(F.count(F.lit(1)).alias("orphan_mappings"))
+
+
+@query("SELECT source_key, content_id FROM v_mapping WHERE source_key IN (SELECT source_key FROM v_live)")
+def cleanup_apply(spark, sf):
+    m, live = X.mapping(spark, sf), X.live(spark, sf)
+    return state.remove(m, cleanup.orphans(m, live), "source_key").select("source_key", "content_id")
+
+
+@query("SELECT source_key, pdq_hash FROM v_image_mapping WHERE source_key IN (SELECT source_key FROM v_live)")
+def image_cleanup_apply(spark, sf):
+    m, live = X.image_mapping(spark, sf), X.live(spark, sf)
+    return state.remove(m, cleanup.orphans(m, live), "source_key").select("source_key", "pdq_hash")
+
+
+# keyed state
+@query("SELECT content_id, source_key FROM v_mapping")
+def mappings_for_content(spark, sf):
+    return X.mapping(spark, sf).join(X.mapping(spark, sf).select("content_id").distinct(), "content_id").select("content_id", "source_key")
+
+
+_MAP = "source_key, source_etag, source_size, content_id, hls_root, encoded_at, encoder_version"
+
+
+@query(f"SELECT {_MAP} FROM v_mapping WHERE source_key NOT IN (SELECT source_key FROM v_source WHERE {X.IS_VIDEO}) UNION ALL SELECT {_MAP} FROM ({_BUILT}) b WHERE {X.IS_VIDEO}")
+def mapping_upsert(spark, sf):
+    cols = _MAP.split(", ")
+    new = mapping_build(spark, sf).filter(keys.is_video(F.col("source_key"))).select(cols)
+    return state.upsert(X.mapping(spark, sf).select(cols), new, "source_key")
+
+
+@query(f"""SELECT source_key, source_etag, source_size, pdq_hash, quality, hashed_at FROM v_image_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)
+UNION ALL SELECT source_key, replace(etag, '"', ''), size, sha256(content), (doc_id % 101)::INTEGER, '{X.RUN_AT}' FROM v_source JOIN v_live USING (source_key) WHERE {X.IS_IMAGE}""")
+def image_mapping_upsert(spark, sf):
+    s = _sources(spark, sf, keys.is_image).join(X.live(spark, sf), "source_key", "left_semi")
+    new = s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.sha2("content", 256).alias("pdq_hash"), (F.col("doc_id") % 101).cast("int").alias("quality"), F.lit(X.RUN_AT).alias("hashed_at"))
+    return state.upsert(X.image_mapping(spark, sf).drop("hasher_version"), new, "source_key")
+
+
+@query(f"""SELECT source_key, source_etag, source_size, error, failed_at, attempts FROM v_tombstone WHERE source_key NOT IN (SELECT source_key FROM v_mapped)
+UNION ALL SELECT m.source_key, m.etag, m.size, 'decode failed again', '{X.RUN_AT}', (CASE WHEN t.source_etag = m.etag AND t.source_size = m.size THEN t.attempts + 1 ELSE 1 END)::INTEGER FROM v_mapped m LEFT JOIN v_tombstone t USING (source_key)""")
+def tombstone_upsert(spark, sf):
+    failures = X._mapped(X.source(spark, sf)).select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.lit("decode failed again").alias("error"))
+    return state.failed(X.tombstone(spark, sf), failures, X.RUN_AT, X.VERSION).drop("encoder_version")
+
+
+@query("SELECT source_key, attempts FROM v_tombstone WHERE source_key NOT IN (SELECT source_key FROM v_mapping)")
+def tombstone_clear(spark, sf):
+    return state.remove(X.tombstone(spark, sf), X.mapping(spark, sf), "source_key").select("source_key", "attempts")
+
+
+@query("SELECT * FROM v_index")
+def fingerprint_index_scan(spark, sf):
+    return X.index(spark, sf)
+
+
+@query("SELECT content_id, hash_count, insert_seq FROM v_index WHERE width < 1000 UNION ALL SELECT content_id, hash_count + 1, 1 + insert_seq + (SELECT max(insert_seq) FROM v_index) FROM v_index WHERE width >= 1000")
+def index_upsert(spark, sf):
+    i = X.index(spark, sf).select("content_id", "hash_count", "insert_seq", "width")
+    new = i.filter("width >= 1000").withColumn("hash_count", F.col("hash_count") + 1)
+    return state.upsert_last(i, new, "content_id").drop("width")
+
+
+@query(f"SELECT content_id, hash_count, insert_seq FROM v_index WHERE content_id NOT IN (SELECT content_id FROM {_COUNTS} WHERE action = 'collect')")
+def index_remove(spark, sf):
+    dead = cleanup.refcounts(X.mapping(spark, sf), X.live(spark, sf)).filter("action = 'collect'")
+    return state.remove(X.index(spark, sf), dead, "content_id").select("content_id", "hash_count", "insert_seq")
+
+
+@query(f"SELECT source_key, source_etag, CASE WHEN i.content_id IS NOT NULL THEN 'psig:' || md5(m.content_id) ELSE m.content_id END AS content_id, CASE WHEN i.content_id IS NOT NULL THEN 'by-id/psig:' || md5(m.content_id) || '/' ELSE hls_root END AS hls_root, encoded_at, CASE WHEN i.content_id IS NOT NULL THEN '2.0.0' ELSE encoder_version END AS encoder_version FROM v_mapping m LEFT JOIN (SELECT content_id FROM v_index WHERE width >= 1000) i ON i.content_id = m.content_id")
+def repoint(spark, sf):
+    moves = X.index(spark, sf).filter("width >= 1000").select(F.col("content_id").alias("old"), keys.content_id("psig", F.md5("content_id")).alias("new"))
+    out = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.by_id_prefix(F.col("content_id")))
+    return out.select("source_key", "source_etag", "content_id", "hls_root", "encoded_at", "encoder_version")
+
+
+@query("SELECT source_key, hls_root || 'master.m3u8' AS master FROM v_mapping WHERE source_key IN (SELECT source_key FROM v_live)")
+def client_resolve(spark, sf):
+    return X.mapping(spark, sf).join(X.live(spark, sf), "source_key", "left_semi").select("source_key", F.concat("hls_root", F.lit("master.m3u8")).alias("master"))
+
+
+# runs
+@query(f"SELECT source_key FROM v_source WHERE {X.IS_VIDEO} ORDER BY source_key LIMIT 100")
+def budget_prefix(spark, sf):
+    return gates.within_budget(_sources(spark, sf).select("source_key"), 100)
+
+
+_OUTCOME = f"""(SELECT source_key, CASE WHEN cached THEN 'cached' WHEN blocked THEN 'errored' WHEN done OR source_key <> min(CASE WHEN NOT cached AND NOT blocked THEN source_key END) OVER (PARTITION BY cid) THEN 'deduped' ELSE 'processed' END AS outcome
+FROM (SELECT s.source_key, 'sha256:' || sha256(content) AS cid, m.source_key IS NOT NULL AS cached, coalesce(t.attempts >= 3, false) AS blocked, 'sha256:' || sha256(content) IN (SELECT content_id FROM v_output) AS done
+  FROM v_source s LEFT JOIN v_mapping m ON s.source_key = m.source_key AND replace(s.etag, '"', '') = m.source_etag AND s.size = m.source_size
+  LEFT JOIN v_tombstone t ON s.source_key = t.source_key AND replace(s.etag, '"', '') = t.source_etag AND s.size = t.source_size WHERE {_EXT('s.source_key')} IN {keys.VIDEO}))"""
+
+
+@query(f"SELECT * FROM {_OUTCOME}")
+def run_outcomes(spark, sf):
+    return gates.outcomes(_sources(spark, sf), X.mapping(spark, sf), X.tombstone(spark, sf), X.output(spark, sf), X.digest(F.col("content")))
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in gates.OUTCOMES) + f", count(*) AS total FROM {_OUTCOME}")
+def run_summary(spark, sf):
+    return gates.summary(run_outcomes(spark, sf))
