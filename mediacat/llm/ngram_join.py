@@ -9,7 +9,8 @@ Documents with equal sets form one class, which its least id stands for. Between
 2. Orders. Survivors' shingles are ordered by rarity under three global orders (exact
    frequency, and twice its power of two, each with its own hash for ties). In every order a
    linked pair shares a shingle among the first n - ceil(t * n) + 1 of both sets. Candidates
-   come from the first order and must also meet in the second and third, and in size.
+   come from the first order and must also meet in the second and third, and in size, where
+   single shingles, which no other set has, count against both.
 3. Verification counts the common shingles of a candidate pair.
 
 No group's pairs are all emitted: each prefix shingle first names a few leaders, which all
@@ -184,7 +185,7 @@ def _token_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
-    """id, n, weight (mean frequency of the set's shingles), and the shared prefix shingles a, b, c of three orders."""
+    """id, n, u (shingles of no other set), weight (mean frequency of the set's shingles), and the shared prefix shingles a, b, c of three orders."""
     each = sets.select("id", F.explode("tokens").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     tier = "cast(floor(log2(cast(x.df as double)) + 1e-9) as long)"
@@ -192,14 +193,21 @@ def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
     keep = f"cast(n - ceil(n * {least.numerator} / {least.denominator} - 1e-9) + 1 as int)"
     order = lambda by: F.expr(f"transform(filter(slice(sort_array(transform(all, x -> struct({by}, x.h, x.df))), 1, {keep}), x -> x.df > 1), x -> x.h)")
     weight = F.expr("aggregate(all, 0D, (s, x) -> s + x.df) / n")
-    return rows.select("id", "n", weight.alias("weight"), order("x.df as k, 0L as r").alias("a"), order(f"{tier} as k, xxhash64(x.h, 1) as r").alias("b"), order(f"{tier} as k, xxhash64(x.h, 2) as r").alias("c"))
+    single = F.expr("cast(size(filter(all, x -> x.df = 1)) as long)")
+    return rows.select("id", "n", single.alias("u"), weight.alias("weight"), order("x.df as k, 0L as r").alias("a"), order(f"{tier} as k, xxhash64(x.h, 1) as r").alias("b"), order(f"{tier} as k, xxhash64(x.h, 2) as r").alias("c"))
+
+
+def _can_link(least: Fraction, n: str = "n", u: str = "u", n2: str = "n2", u2: str = "u2"):
+    """Whether two sets may link if they share all but their single shingles: the most their sizes allow."""
+    most = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2))
+    return most * least.denominator >= least.numerator * (F.col(n) + F.col(n2) - most)
 
 
 def _verified(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a < b) that meet in size and in the second and third order and link."""
-    side = lambda k: prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("b").alias(f"b{k}"), F.col("c").alias(f"c{k}"))
+    side = lambda k: prefix.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("u").alias(f"u{k}"), F.col("b").alias(f"b{k}"), F.col("c").alias(f"c{k}"))
     p, q = least.numerator, least.denominator
-    near = pairs.join(side("x"), "x").join(side("y"), "y").filter((F.least("nx", "ny") * q >= F.greatest("nx", "ny") * p) & F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
+    near = pairs.join(side("x"), "x").join(side("y"), "y").filter(_can_link(least, "nx", "ux", "ny", "uy") & F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
     own = lambda k: sets.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}"))
     both = near.join(own("x"), "x").join(own("y"), "y").withColumn("shared", F.size(F.array_intersect("tx", "ty")))
     return both.filter(F.col("shared") * q >= p * (F.size("tx") + F.size("ty") - F.col("shared"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -209,7 +217,7 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
     """id, comp of all sets; sets: id, tokens (distinct)."""
     prefix = stored(_prefixes(sets, least))
     found = stored(prefix.select("id", F.col("id").alias("comp")))
-    at = stored(prefix.select("id", "weight", F.explode("a").alias("token")))
+    at = stored(prefix.select("id", "n", "u", "weight", F.explode("a").alias("token")))
     for turn in range(LEADER_ROUNDS + 1):
         placed = at.join(found, "id")
         mixed = placed.groupBy("token").agg(
@@ -225,9 +233,9 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
             led = led.join(found.select(F.col("id").alias("leader"), F.col("comp").alias("other")), "leader").filter("comp <> other")
             pairs = led.select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y")).distinct()
         else:
-            rest = placed.join(mixed.select("token"), "token").select("token", "id", "comp")
-            other = rest.select("token", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-            pairs = rest.join(other, "token").filter("comp < comp2").select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
+            rest = placed.join(mixed.select("token"), "token").select("token", "id", "comp", "n", "u")
+            other = rest.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "comp", "n", "u")])
+            pairs = rest.join(other, "token").filter((F.col("comp") < F.col("comp2")) & _can_link(least)).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
         found = stored(components(found, stored(_verified(pairs, prefix, sets, least))))
     return found
 
