@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a kernel takes at once; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ LENGTH = 100
 PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
 NAME = LENGTH - PERIOD + 1
 #: Records of a bucket, on average, and records that a task holds before it sends them.
-BUCKET, PACK = 3_000_000, 2_500_000
+BUCKET, PACK = 1_200_000, 800_000
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes that a record takes of its two keys: sample names and ranks, or suffix hashes alone.
@@ -343,3 +343,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicated(table(spark, sf_dir, "documents"))
     removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = {
+    "op4_suffix_dedup": f"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM strings) WHERE r > 1),
+marked AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM later)),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + {LENGTH} AS e FROM marked GROUP BY doc_id, run),
+edges AS (SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e NULLS LAST), 0) AS a, s AS b, e FROM edges),
+cut AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS kept, count(e) AS n_spans, coalesce(sum(e - b) FILTER (WHERE e IS NOT NULL), 0)::BIGINT AS n_removed FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN cut USING (doc_id)""",
+}
