@@ -55,8 +55,8 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.greatest(*fits) if len(fits) > 1 else (fits[0] if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>"))
 
 
-def _strength(units: DataFrame, name: str) -> DataFrame:
-    """One row: the beta-binomial strength of a level from the analysis of variance of its units."""
+def _strength(units: DataFrame) -> Column:
+    """A scalar subquery: the beta-binomial strength of a level from the analysis of variance of its units."""
     n, good = F.col("n").cast("double"), F.col("good").cast("double")
     sums = units.filter("n > 0").agg(F.sum(n).alias("N"), F.sum(n * n).alias("N2"), F.sum(good).alias("G"), F.count(F.lit(1)).alias("k"), F.sum(good * good / n).alias("S"))
     s = {c: F.col(c) for c in ("N", "N2", "G", "k", "S")}
@@ -67,7 +67,7 @@ def _strength(units: DataFrame, name: str) -> DataFrame:
     low, high = map(F.lit, STRENGTH)
     # one unit, or one page in each: no spread to fit, the level above decides
     fitted = F.when((s["k"] > 1) & (s["N"] > s["k"]), F.when(between > within, F.least(high, F.greatest(low, 1 / rho - 1))).otherwise(high)).otherwise(high)
-    return sums.select(F.lit(1).alias("one"), fitted.alias(name))
+    return sums.select(fitted.alias("m")).scalar()
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
@@ -76,13 +76,11 @@ def reputation(hosts: DataFrame) -> DataFrame:
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    # one row of the whole table: its mean and the strengths of the three levels
-    whole = suffixes.agg(F.coalesce((F.sum("good") + 0.5) / (F.sum("n") + 1), F.lit(0.5)).alias("p0")).withColumn("one", F.lit(1))
-    for name, units in (("m1", suffixes), ("m2", domains), ("m3", hosts)):
-        whole = whole.join(_strength(units, name), "one")
-    s = suffixes.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
-    s = s.select("suffix", ((F.col("good") + F.col("m1") * F.col("p0")) / (F.col("n") + F.col("m1"))).alias("p1"), "m2", "m3")
-    d = domains.join(s, "suffix").select("domain", ((F.col("good") + F.col("m2") * F.col("p1")) / (F.col("n") + F.col("m2"))).alias("p2"), "m3")
+    p0 = suffixes.agg(F.coalesce((F.sum("good") + 0.5) / (F.sum("n") + 1), F.lit(0.5)).alias("p")).scalar()
+    shrunk = lambda prior, m: (F.col("good") + m * prior) / (F.col("n") + m)
+    s = suffixes.withColumn("m", _strength(suffixes)).select("suffix", shrunk(p0, F.col("m")).alias("p1"))
+    d = domains.join(s, "suffix").withColumn("m", _strength(domains)).select("domain", shrunk(F.col("p1"), F.col("m")).alias("p2"))
+    hosts = hosts.withColumn("m3", _strength(hosts))
     a, b = F.col("good") + F.col("m3") * F.col("p2"), F.col("n") - F.col("good") + F.col("m3") * (1 - F.col("p2"))
     return hosts.join(d, "domain").select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
