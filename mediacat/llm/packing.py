@@ -50,16 +50,19 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        #: Words in use, and those in use before; when the first are half of `cache` they replace the second.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, cache: int = CACHE) -> Encoder:
         if path not in cls._made:
             cls._made[path] = cls(path)
+        cls._made[path].cache = cache
         return cls._made[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -89,11 +92,13 @@ class Encoder:
         for i in range(0, len(texts), 256):
             plain = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts[i : i + 256]]
             need = set().union(*[w for w in plain if w is not None])
-            new = list(need - self.words.keys())
-            if len(self.words) + len(new) > CACHE:
-                self.words = {}
-                new = list(need)
-            self._learn(new)
+            new = need - self.words.keys()
+            if len(self.words) + len(new) > self.cache // 2:
+                self.older, self.words = self.words, {}
+                new = need
+            again = {w: self.older[w] for w in new & self.older.keys()}
+            self.words.update(again)
+            self._learn([w for w in new if w not in again])
             for text, words in zip(texts[i : i + 256], plain, strict=True):
                 yield b"".join(map(self.words.__getitem__, words)) if words is not None else self._encode([text])[0]
 
@@ -101,25 +106,28 @@ class Encoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces, and their ids if asked for."""
     schema = PIECES + ", ids array<int>" * with_ids
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder.of(path)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            for key, ids in zip(keys, encoder.encode(texts), strict=True):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else ())))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            columns = list(zip(*rows, strict=True)) or [()] * (6 if with_ids else 5)
-            names = [c.split()[0] for c in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
+        encoder = Encoder.of(path, cache)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                yield pieces(encoder, whole.slice(at, 512))
+
+    def pieces(encoder, batch):
+        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        rows: list[tuple] = []
+        for key, ids in zip(keys, encoder.encode(texts), strict=True):
+            ids += tail
+            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else ())))
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -245,9 +253,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Documents cut, packed and placed; tokens are made once and their pieces stored."""
-    return pack(stored(tokenized(docs, path, capacity)), capacity)
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
+    """Documents cut, packed and placed; tokens are made once and their pieces stored. cache: words that a worker keeps."""
+    return pack(stored(tokenized(docs, path, capacity, cache=cache)), capacity)
 
 
 def tokenizer_path() -> str:
