@@ -15,6 +15,10 @@ from mediacat.llm import decontamination, ngram_join, packing, pii, toxicity
 from mediacat.llm.common import fold, stored, table
 
 
+#: Words whose tokens a packing worker keeps.
+WORDS_KEPT = 400_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows not predicted toxic; the model learns from the labelled rows that op6 learns from."""
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
@@ -38,8 +42,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences with their places."""
-    return packing.packed(docs, packing.tokenizer_path())
+    """Pieces of token sequences with their places. Fewer words are kept than by packing alone: the executors' memory has served other stages."""
+    return packing.packed(docs, packing.tokenizer_path(), cache=WORDS_KEPT)
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_leaks), ("pii", redact), ("packing", pack)]
