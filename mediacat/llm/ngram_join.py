@@ -44,7 +44,7 @@ from mediacat.llm.graph import components
 #: A side of at most so many rows of two numbers is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Shingles of a bucket of the survivors' step, on average, and shingles that a task packs at once.
-BUCKET, PACK = 3_000_000, 4_000_000
+BUCKET, PACK = 2_000_000, 1_200_000
 LEADER_ROUNDS = 3
 
 
@@ -259,3 +259,19 @@ def representatives(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
+SQL = {
+    "op5_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, list_slice(w, i, i + 2) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3) UNION ALL SELECT doc_id, w FROM w WHERE len(w) IN (1, 2))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(g)) AS c FROM (SELECT doc_id, list(array_to_string(s, chr(1))) AS g FROM s GROUP BY doc_id))
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(classes.c, w.doc_id) AS class_id, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN classes USING (doc_id)""",
+}
