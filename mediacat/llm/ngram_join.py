@@ -10,7 +10,8 @@ Documents with equal sets form one class, which its least id stands for. Between
    frequency, and twice its power of two, each with its own hash for ties). In every order a
    linked pair shares a shingle among the first n - ceil(t * n) + 1 of both sets. Candidates
    come from the first order and must also meet in the second and third, and in size, where
-   single shingles, which no other set has, count against both.
+   single shingles, which no other set has, count against both, and so does what stands before
+   the first common shingle (the positional filter).
 3. Verification counts the common shingles of a candidate pair.
 
 No group's pairs are all emitted: each prefix shingle first names a few leaders, which all
@@ -121,8 +122,8 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(owner, lengths), wide.view("<u8").ravel()
 
 
-def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each set, how many of the bucket's shingles it shares with another set."""
+def _shared_counts(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """For each set, how many of the bucket's shingles it shares with another set; packed by part of the sets."""
     owner, h = (np.concatenate(x) for x in zip(*map(_unpacked, pdf["blob"]), strict=True))
     order = np.argsort(h, kind="stable")
     owner, h = owner[order], h[order]
@@ -132,7 +133,18 @@ def _shared_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     # copies of a set bring a pair more than once
     pairs = np.unique(np.stack([owner[hit], h[hit]], 1), axis=0)[:, 0] if hit.any() else owner[:0]
     sets, shared = np.unique(pairs, return_counts=True)
-    return pd.DataFrame({"s1": sets.view(np.int64), "shared": shared.astype(np.int64)})
+    part = (K.mix(sets) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1) != 0)
+    rows = [(int(part[order[a]]), np.stack([sets[order[a:b]], shared[order[a:b]].astype(np.uint64)]).astype("<u8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pd.DataFrame(rows, columns=["part", "blob"])
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a part's packed counts by set."""
+    sets, shared = np.concatenate([np.frombuffer(b, "<u8").reshape(2, -1) for b in pdf["blob"]], axis=1)
+    own, at = np.unique(sets, return_inverse=True)
+    return pd.DataFrame({"s1": own.view(np.int64), "shared": np.bincount(at, shared.astype(np.int64)).astype(np.int64)})
 
 
 def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> DataFrame:
@@ -161,7 +173,7 @@ def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> D
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
     dealt = docs.select("text").mapInArrow(run, "bucket long, blob binary")
-    shared = dealt.groupBy("bucket").applyInPandas(_shared_counts, "s1 long, shared long").groupBy("s1").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("bucket").applyInPandas(lambda pdf: _shared_counts(pdf, buckets), "part long, blob binary").groupBy("part").applyInPandas(_added, "s1 long, shared long")
     return can.join(shared, "s1").filter(F.col("shared") * least.denominator >= F.col("n") * least.numerator).select(F.col("rep").alias("doc_id"), "n")
 
 
@@ -217,7 +229,8 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
     """id, comp of all sets; sets: id, tokens (distinct)."""
     prefix = stored(_prefixes(sets, least))
     found = stored(prefix.select("id", F.col("id").alias("comp")))
-    at = stored(prefix.select("id", "n", "u", "weight", F.explode("a").alias("token")))
+    # u: shingles before this one in the first order, single ones first; no pair that meets first here shares them
+    at = stored(prefix.select("id", "n", "u", "weight", F.posexplode("a").alias("place", "token")).withColumn("u", F.col("u") + F.col("place")).drop("place"))
     for turn in range(LEADER_ROUNDS + 1):
         placed = at.join(found, "id")
         mixed = placed.groupBy("token").agg(
