@@ -15,7 +15,7 @@ Scoring reads whole texts; a worker keeps the margins of tokens it has met (boun
 
 Defined cases: null and empty texts score as texts without any token of note; long tokens
 are scored in overlapping pieces of 24 characters; runs of single letters are read as one
-token; without both labels in the sample every score is the share of toxic rows (0 without
+token, in such pieces if long; without both labels in the sample every score is the share of toxic rows (0 without
 rows); repeated rows are judged alike; extra columns are dropped.
 """
 
@@ -41,25 +41,29 @@ CACHE = 1_000_000
 START, END = "\x02", "\x03"
 
 
+def _pieces(token: str) -> list[str]:
+    """The token, or overlapping pieces over its whole length if it is long; none of an empty one."""
+    if len(token) <= PIECE:
+        return [token] if token else []
+    return [token[i : i + PIECE] for i in range(0, len(token) - PIECE // 2, PIECE // 2)]
+
+
 def tokens(text: str) -> Counter:
-    """Lower-case tokens of a text and how often they occur; runs of three or more single letters joined."""
+    """Lower-case tokens of a text and how often they occur; runs of three or more single letters joined and not counted one by one."""
     parts = text.lower().split()
     out: Counter = Counter()
     run: list[str] = []
     for p, n in Counter(parts).items():
-        p = p.strip(string.punctuation)
-        if p and len(p) <= PIECE:
-            out[p] += n
-        elif p:
-            for i in range(0, len(p) - PIECE // 2, PIECE // 2):
-                out[p[i : i + PIECE]] += n
+        for piece in _pieces(p.strip(string.punctuation)):
+            out[piece] += n
     if sum(len(p) == 1 for p in parts) > 2:
         for p in [*parts, "  "]:
             if len(p) == 1:
                 run.append(p)
             else:
                 if len(run) > 2:
-                    out["".join(run)[:PIECE]] += 1
+                    out -= Counter(run)
+                    out.update(_pieces("".join(run)))
                 run = []
     return out
 

@@ -295,6 +295,17 @@ def test_toxicity_odd_cases(spark):
     assert toxicity.predict(table(spark, []), toxicity.fit(table(spark, []), none)).count() == 0
 
 
+def test_spaced_letters_are_scored_to_their_end(spark):
+    start = "treesarecalmtextof" * 3
+    for n in (22, 24, 40, 47):
+        spaced = toxicity.tokens(" ".join(start[:n] + "idiot"))
+        assert any("idiot" in p for p in spaced) and spaced == toxicity.tokens(start[:n] + "idiot")
+    insult = "you are an idiot and a moron, idiot moron"
+    model = toxicity.train([(toxicity.tokens(f"{insult if i < 30 else ''} a calm text of you and {i * 7} trees are an"), int(i < 30)) for i in range(90)])
+    texts = [" ".join(start[:40] + "idiot"), " ".join(start)]
+    assert [r["doc_id"] for r in toxicity.kept(table(spark, texts), model).collect()] == [1]
+
+
 def test_kernel_is_the_subsequence_kernel():
     def brute(s, t):
         total = 0.0
