@@ -177,8 +177,7 @@ def content_type(spark, sf):
 # hashes
 @query("SELECT a.video, a.frame::INTEGER AS frame, bit_count(xor(a.h, b.h))::INTEGER AS distance, lower(lpad(to_hex(a.h), 16, '0')) AS h FROM v_frame a JOIN v_frame b ON a.video = b.video AND b.frame = 0")
 def hamming(spark, sf):
-    f = X.fingerprint(spark, sf).filter("video < 100000")
-    return f.select("video", F.get("hashes", F.lit(0)).alias("first"), F.posexplode("hashes").alias("frame", "x")).select("video", "frame", hashing.hamming(F.col("first"), F.col("x")).cast("int").alias("distance"), hashing.hex64(F.col("x")).alias("h"))
+    return X.own_frames(spark, sf).select("video", F.get("hashes", F.lit(0)).alias("first"), F.posexplode("hashes").alias("frame", "x")).select("video", "frame", hashing.hamming(F.col("first"), F.col("x")).cast("int").alias("distance"), hashing.hex64(F.col("x")).alias("h"))
 
 
 @query("SELECT doc_id, lower(lpad(to_hex(list_sum(list_transform(range(64), lambda i: CASE WHEN pixels[(i // 8) * 9 + i % 8 + 1] > pixels[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT), 16, '0')) AS hash FROM v_pixels")
@@ -191,8 +190,8 @@ _SIM = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - list_sum(list_transform(ran
 
 @query("SELECT a.n AS n, b.n AS m, a.n > 0 AND b.n > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7 AS near, count(*) AS pairs FROM v_fingerprint a JOIN v_fingerprint b ON b.video = a.video + 200000 GROUP BY ALL")
 def ratio_prefilter(spark, sf):
-    f = X.fingerprint(spark, sf).select("video", "n")
-    p = f.join(f.select((F.col("video") - 200000).alias("video"), F.col("n").alias("m")), "video")
+    f = X.fingerprint(spark, sf)
+    p = f.filter("kind = 0").select("original", "n").join(f.filter("kind = 2").select("original", F.col("n").alias("m")), "original")
     return p.groupBy(F.col("n").cast("long").alias("n"), F.col("m").cast("long").alias("m"), similar.near_length("n", "m").alias("near")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -206,8 +205,8 @@ def perceptual_pairs(spark, sf):
   WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7) WHERE s >= 0.95 GROUP BY a""")
 def perceptual_match(spark, sf):
     f = X.fingerprint(spark, sf)
-    index = f.filter("video < 100000").withColumn("insert_seq", F.col("video"))
-    return similar.best(f.filter("video >= 100000"), index).withColumn("similarity", F.round("similarity", 9))
+    index = f.filter("kind = 0").withColumn("insert_seq", F.col("video"))
+    return similar.best(f.filter("kind > 0"), index).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(None)

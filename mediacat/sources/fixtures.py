@@ -115,18 +115,28 @@ def pdq_stdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.when(d % 9 == 8, F.lit("error: no image\n")).when(d % 9 == 7, F.concat(F.lit("0" * 64), F.lit(" 50"))).when(d % 3 == 2, tabs).otherwise(plain).alias("stdout"))
 
 
+def own_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """video, hashes: four frames a video from the signs of four vectors."""
+    bits = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    f = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("video"), (F.col("vec_id") % 4).cast("int").alias("frame"), bits.alias("h"))
+    return f.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "h"))), lambda x: x["h"]).alias("hashes"))
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """video, hashes, n: four frames a video from the signs of four vectors, with planted near copies.
+    """video, hashes, n, original, kind: the videos (kind 0) with planted near copies.
 
-    Videos from 100000 on are copies with one bit of each frame flipped, those from 200000 on
-    copies without the last frame.
+    Copies with one bit of each frame flipped (kind 1) have the number of their original plus
+    100000, copies without the last frame (kind 2) plus 200000; where the videos' numbers do
+    not fit under 100000, the next power of ten that they fit under stands for it.
     """
-    bits = F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    f = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("video"), (F.col("vec_id") % 4).cast("int").alias("frame"), bits.alias("h"))
-    own = f.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "h"))), lambda x: x["h"]).alias("hashes"))
-    flipped = own.select((F.col("video") + 100000).alias("video"), F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(1).cast("long"))).alias("hashes"))
-    short = own.select((F.col("video") + 200000).alias("video"), F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0))).alias("hashes"))
-    return own.unionByName(flipped).unionByName(short).withColumn("n", F.size("hashes"))
+    own = own_frames(spark, sf_dir).withColumn("original", F.col("video"))
+    span = F.max("v") - F.least(F.min("v"), F.lit(0))
+    ids = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("v"))
+    step = ids.agg(F.greatest(F.lit(100000), F.pow(F.lit(10), F.length(span.cast("string"))).cast("long")).alias("step")).scalar()
+    flipped = own.withColumns({"video": F.col("video") + step, "hashes": F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(1).cast("long")))})
+    short = own.withColumns({"video": F.col("video") + 2 * step, "hashes": F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0)))})
+    kinds = [df.withColumn("kind", F.lit(k)) for k, df in enumerate((own, flipped, short))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).withColumn("n", F.size("hashes"))
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:

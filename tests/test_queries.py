@@ -23,6 +23,23 @@ def test_blobs_come_back(spark):
     assert rows and all(r["same"] and r["n_bytes"] == 8 + 8 * len(r["hashes"]) for r in rows)
 
 
+def test_originals_from_video_100000_on(spark, tmp_path):
+    import random
+
+    rng, videos = random.Random(5), (0, 1, 100000, 100001, 200000, 300001)
+    rows = [(4 * v + f, [rng.uniform(-1, 1) for _ in range(64)]) for v in videos for f in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r["video"], r["frame"]) for r in run("hamming")) == [(v, f) for v in videos for f in range(4)]
+    ids = {k * 10**6 + v: v for k in range(3) for v in videos}
+    assert sorted(r["video"] for r in run("fingerprint_roundtrip")) == sorted(ids)
+    assert {(r["a"], r["b"]) for r in run("perceptual_match")} == {(a, v) for a, v in ids.items() if a != v}
+    pairs = [(r["a"], r["b"]) for r in run("perceptual_pairs")]
+    assert len(pairs) == len(set(pairs)) == 3 * len(videos) and all(ids[a] == ids[b] for a, b in pairs)
+    assert sum(r["pairs"] for r in run("ratio_prefilter")) == len(videos)
+    assert {r["video"] for r in run("greedy_resolve")} <= set(ids)
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
