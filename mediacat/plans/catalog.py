@@ -185,6 +185,12 @@ def dhash(spark, sf):
     return X.pixels(spark, sf).select("doc_id", hashing.hex64(hashing.dhash(F.col("pixels"))).alias("hash"))
 
 
+@query("SELECT doc_id, frame, lower(lpad(to_hex(list_sum(list_transform(range(64), lambda i: CASE WHEN pixels[(i // 8) * 9 + i % 8 + 1] > pixels[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT), 16, '0')) AS hash FROM v_frame_pixels")
+def frame_dhash(spark, sf):
+    """All frames of whole texts; dhash has the first frame only."""
+    return X.frame_pixels(spark, sf).select("doc_id", "frame", hashing.hex64(hashing.dhash(F.col("pixels"))).alias("hash"))
+
+
 _SIM = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - list_sum(list_transform(range(1, least(a.n, b.n) + 1), lambda i: bit_count(xor(a.hashes[i], b.hashes[i]))))::DOUBLE / least(a.n, b.n) / 64))"
 
 

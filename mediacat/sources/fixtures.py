@@ -93,6 +93,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.substring("text", i, F.lit(1)))).alias("pixels"))
 
 
+def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, frame, pixels: code points of all whole frames of 72 characters of each text."""
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{72}"), F.lit(0))
+    frames = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("frame", "piece"))
+    return frames.select("doc_id", "frame", F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.substring("piece", i, F.lit(1)))).alias("pixels"))
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return _table(spark, sf_dir, "documents").select("doc_id", _pick(WIDTHS, d % 6).alias("width"), _pick(HEIGHTS, d % 6).alias("height"), F.when(d % 7 != 0, (500 + d % 4000).cast("int")).alias("bitrate_kbps"), (F.col("n_chars") / 10.0).alias("duration_seconds"), (d % 4 != 0).alias("has_audio"))
@@ -186,6 +193,8 @@ VIEWS = {
     "v_live": f"SELECT source_key FROM v_source WHERE {_STATE.format(3)} > '2'",
     "v_output": f"SELECT content_id, unnest({list(OUTPUT_FILES)}) AS rel_path FROM (SELECT DISTINCT content_id FROM v_mapping)",
     "v_pixels": "SELECT doc_id, list_transform(range(1, 73), lambda i: unicode(substr(text, i, 1))) AS pixels FROM documents WHERE n_chars >= 72",
+    "v_frame_pixels": """SELECT doc_id, frame, list_transform(range(1, 73), lambda i: unicode(substr(piece, i, 1))) AS pixels
+  FROM (SELECT doc_id, frame::INTEGER AS frame, substr(text, frame * 72 + 1, 72) AS piece FROM (SELECT doc_id, text, unnest(range(length(text) // 72)) AS frame FROM documents))""",
     "v_probe": f"SELECT doc_id, {_case(WIDTHS, 'doc_id % 6')} AS width, {_case(HEIGHTS, 'doc_id % 6')} AS height, CASE WHEN doc_id % 7 <> 0 THEN (500 + doc_id % 4000)::INTEGER END AS bitrate_kbps, n_chars / 10.0 AS duration_seconds, doc_id % 4 <> 0 AS has_audio FROM documents",
     "v_pdq": """SELECT doc_id, sha256(text) AS h, doc_id % 130 AS q FROM documents""",
     "v_frame": "SELECT vec_id // 4 AS video, vec_id % 4 AS frame, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT AS h FROM embeddings",

@@ -40,6 +40,15 @@ def test_originals_from_video_100000_on(spark, tmp_path):
     assert {r["video"] for r in run("greedy_resolve")} <= set(ids)
 
 
+def test_frames_of_whole_texts(spark, tmp_path):
+    down = "zyxwvutsr" * 8
+    texts = [down + down[::-1] + "a" * 72 + "rest", "é\n😀" * 24 + "x", "x" * 71, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.frame_dhash(spark, str(tmp_path)).collect())
+    assert [r[:2] for r in got] == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert [r[2] for r in got[:3]] == ["f" * 16, "0" * 16, "0" * 16]
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
