@@ -274,36 +274,118 @@ def test_toxicity_learns(spark):
     docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
     got = toxicity.op6_toxicity(spark, f"{DATA}/sf0.1").filter("held_out").join(labels, "doc_id").toPandas()
     hit = (got.predicted == 1) & (got.toxic == 1)
-    assert hit.sum() / (got.toxic == 1).sum() > 0.8 and hit.sum() / got.predicted.sum() > 0.9
+    assert hit.sum() / (got.toxic == 1).sum() >= 0.89 and got.predicted.sum() - hit.sum() <= 3
     assert docs.count() == 10000
 
 
-def test_toxicity_odd_cases(spark):
-    insult = "you are an idiot and a moron, idiot moron"
-    calm = [f"a calm text {'of' if i % 2 else 'and'} you and {i * 7} trees are one two three four an x w b" for i in range(90)]
-    bags = [(toxicity.tokens(f"{insult if i < 30 else ''} {t}"), int(i < 30)) for i, t in enumerate(calm)]
-    model = toxicity.train(bags)
-    texts = [*ODD, insult, "an idi*ot and a mor.on", "i d i o t"]
+INSULT = "you are an idiot and a moron, idiot moron"
+SMALL = [(f"{['you are an idiot', 'what a moron', INSULT][i % 3] if i < 60 else ''} a calm text {'of' if i % 2 else 'and'} what you are and {i * 7} trees. It is one two three four an x w b", int(i < 60)) for i in range(180)]
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    return toxicity.train(SMALL)
+
+
+def test_toxicity_odd_cases(spark, small_model):
+    model = small_model
+    start = "treesarecalmtextof" * 3
+    evasions = ["an idi*ot and a mor.on", "i d i o t", "id iot it is", "I. D. I. O. T.", "m-o-r-o-n", "IDIIOT!", *(" ".join(start[:n] + "idiot") for n in (22, 24, 40, 47)), start + "idiot"]
+    calm = [" ".join(start), start, "it is of a tree and it is calm", "a calm. text " * 40]
+    texts = [*ODD, INSULT, *evasions, *calm, INSULT]
     got = {r["doc_id"]: r for r in toxicity.predict(table(spark, texts), model).collect()}
     assert len(got) == len(texts) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert got[len(ODD)]["predicted"] == 1 and not any(got[i]["predicted"] for i in range(len(ODD)))
-    assert got[len(ODD) + 1]["score"] > got[5]["score"] and got[len(ODD) + 2]["score"] > got[5]["score"]
+    toxic = {i for i, r in got.items() if r["predicted"]}
+    assert toxic == {*range(len(ODD), len(ODD) + 1 + len(evasions)), len(texts) - 1}
     assert toxicity.train([]).score([None, "x"]).tolist() == pytest.approx([0, 0], abs=1e-9)
+    assert toxicity.train([("x", 1), ("y", 1)]).score(["z"])[0] > 0.99
     kept = toxicity.kept(table(spark, texts), model)
-    assert kept.columns == table(spark, []).columns and len(ODD) not in {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == table(spark, []).columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - toxic
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.predict(table(spark, []), toxicity.fit(table(spark, []), none)).count() == 0
 
 
-def test_spaced_letters_are_scored_to_their_end(spark):
-    start = "treesarecalmtextof" * 3
-    for n in (22, 24, 40, 47):
-        spaced = toxicity.tokens(" ".join(start[:n] + "idiot"))
-        assert any("idiot" in p for p in spaced) and spaced == toxicity.tokens(start[:n] + "idiot")
-    insult = "you are an idiot and a moron, idiot moron"
-    model = toxicity.train([(toxicity.tokens(f"{insult if i < 30 else ''} a calm text of you and {i * 7} trees are an"), int(i < 30)) for i in range(90)])
-    texts = [" ".join(start[:40] + "idiot"), " ".join(start)]
-    assert [r["doc_id"] for r in toxicity.kept(table(spark, texts), model).collect()] == [1]
+def test_toxicity_fit_equals_train(spark, small_model):
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(SMALL)] + [(i, 0) for i in range(5)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, [t for t, _ in SMALL]), labels)
+    assert model.landmarks == small_model.landmarks
+    assert model.score([INSULT, "a tree", None]) == pytest.approx(small_model.score([INSULT, "a tree", None]), abs=1e-3)
+
+
+def test_insults_that_are_no_landmarks():
+    """Windows of sentences are learned from, so forms near several landmarks count though none is listed."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    texts = [(" ".join([*(word() for _ in range(30)), *([["blockhead"], ["numskull"], ["blockhead", "numskull"]][i // 3 % 3] if i % 3 == 0 else []), *(word() for _ in range(20))]) + ".", int(i % 3 == 0)) for i in range(240)]
+    model = toxicity.train(texts)
+    unseen = ["blockkhead", "numbskull", "bllockhead", "numskuull", "blockheaded", "num_skull"]
+    assert not any(toxicity.START + w + toxicity.END in model.landmarks for w in unseen)
+    assert (model.score([f"{word()} {w} {word()}" for w in unseen]) > 0.5).all()
+    assert (model.score([" ".join(word() for _ in range(40)) for _ in range(50)]) < 0.5).all()
+
+
+def brute_kernel(s, t):
+    """The subsequence kernel by the textbook's recursion."""
+    lam, n = toxicity.DECAY, toxicity.N
+    k = [[[1.0] * (len(t) + 1) for _ in range(len(s) + 1)]] + [[[0.0] * (len(t) + 1) for _ in range(len(s) + 1)] for _ in range(n - 1)]
+    for m in range(1, n):
+        for i in range(m, len(s) + 1):
+            run = 0.0
+            for j in range(m, len(t) + 1):
+                run = lam * run + (lam * lam * k[m - 1][i - 1][j - 1] if s[i - 1] == t[j - 1] else 0.0)
+                k[m][i][j] = lam * k[m][i - 1][j] + run
+    return sum(lam * lam * k[n - 1][i][j] for i in range(len(s)) for j in range(len(t)) if s[i] == t[j])
+
+
+def brute_score(model, text):
+    strip = lambda p: p.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x04")
+    parts = (text or "").lower().replace("\n", " \x04 ").split()
+    slide = lambda t: [(i, t[i : i + n]) for n in range(4, 9) for i in range(len(t) - n + 1)]
+    cut = lambda t: [t] if len(t) <= 24 else [s for _, s in slide(t)]
+    at = [(i, s) for i, p in enumerate(parts) for t in {strip(p), "".join(c for c in strip(p) if c.isalnum())} if t for s in cut(t)]
+    for i, (p, q) in enumerate(zip(parts, parts[1:])):
+        if 2 <= len(strip(p)) <= 3 and 2 <= len(strip(q)) <= 3:
+            at.append((i, strip(p) + strip(q)))
+            at += [(i, s) for s in cut("".join(c for c in strip(p) + strip(q) if c.isalnum()))]
+    i = 0
+    while i < len(parts):
+        j = i
+        while j < len(parts) and len(strip(parts[j])) == 1:
+            j += 1
+        if j - i > 2:
+            run = "".join(map(strip, parts[i:j]))
+            at += [(i + k, s) for k, s in slide(run)] + [(i, run)] * (len(run) <= 24)
+        i = max(j, i + 1)
+    norm = {m: brute_kernel(m, m) for m in model.landmarks}
+    value = {}
+    for s in {s for _, s in at}:
+        w = "\x02" + s + "\x03"
+        own = brute_kernel(w, w) or 1
+        value[s] = [int(min(1, brute_kernel(w, m) / math.sqrt(own * norm[m])) * 32 + 1e-5) for m in model.landmarks]
+    margins, first = [], 0
+    for i, p in enumerate(parts):
+        if p == "\x04" or p[-1] in ".!?" or i == len(parts) - 1:
+            lo = first
+            while True:
+                own = [value[s] for k, s in at if lo <= k < min(lo + 32, i + 1)]
+                pooled = [max(v) for v in zip(*own)] if own else [0]
+                if any(pooled):
+                    margins.append(min(2, max(-1, sum(a * b for a, b in zip(pooled, model.weights)) / 32 + model.bias)))
+                if lo + 32 >= i + 1:
+                    break
+                lo += 16
+            first = i + 1
+    hits = sum(max(m, 0) for m in margins)
+    x = [max([-1.0, *margins]), math.log1p(hits), math.log1p(100 * hits / max(len(parts), 1)), 1]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.sigmoid))))))
+
+
+def test_toxicity_scores_by_brute_force(small_model):
+    r = random.Random(9)
+    texts = [None, "", "\n", "an idi*ot, a mor.on", "x y z w", "id iot", "a-b-c idiot."]
+    for _ in range(40):
+        texts.append("".join(r.choice(["idiot", "moron", "mor", "on", "i d i o t", "trees", "calm", "idio", "and", "zzz", "id.iot", "morooon", "an", "x" * 30]) + r.choice([" ", " ", ". ", "\n", "! ", ", "]) for _ in range(r.choice([3, 10, 120]))))
+    assert small_model.score(texts) == pytest.approx([brute_score(small_model, t) for t in texts], abs=2e-2)
 
 
 def test_kernel_is_the_subsequence_kernel():
@@ -316,6 +398,8 @@ def test_kernel_is_the_subsequence_kernel():
         return total
 
     words, marks = ["idiot", "idi*ot", "toidi", "abc", "banana"], ["idiot", "ananas"]
+    assert toxicity.self_kernel([*words, "", "ab"])[: len(words)] == pytest.approx([brute(w, w) for w in words], rel=1e-4)
+    assert brute_kernel("banana", "ananas") == pytest.approx(brute("banana", "ananas"))
     assert toxicity.kernel(words, marks) == pytest.approx(np.array([[brute(w, m) for m in marks] for w in words]), rel=1e-4)
 
 
