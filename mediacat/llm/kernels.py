@@ -63,31 +63,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(mix(np.array([seed], np.uint64))[0]) | 5
-    inverse = pow(base, -1, 1 << 64)
-    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Moduli of the rolling hash: modulo 2 ** 64 no base would tell some pairs of strings apart (those of Thue and Morse).
+PRIMES = (2147483647, 2147483629)
 
 
 @lru_cache(maxsize=4)
-def _letters(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+def _powers(n: int, seed: int, prime: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of a base and of its inverse modulo a prime."""
+    base = int(mix(np.array([seed * 2 + prime], np.uint64))[0]) % (prime - 1000) + 500
+    out = []
+    for factor in (base, pow(base, -1, prime)):
+        power = np.ones(n, np.uint64)
+        have = 1
+        while have < n:
+            more = min(have, n - have)
+            power[have : have + more] = power[:more] * np.uint64(pow(factor, have, prime)) % np.uint64(prime)
+            have += more
+        out.append(power.astype(np.uint32))
+    return out[0], out[1]
+
+
+@lru_cache(maxsize=8)
+def _letters(seed: int, prime: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(prime)
 
 
 class Rolling:
-    """64-bit polynomial hashes of any byte ranges of a buffer."""
+    """Hashes of any byte ranges of a buffer: polynomials modulo two primes of 31 bits, scrambled to 64 bits."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         n = 1 << max(12, int(len(data)).bit_length())
-        self.up, self.down = _powers(n, seed)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(seed)[data] * self.up[: len(data)], out=self.sums[1:])
+        self.parts = []
+        for prime in PRIMES:
+            up, down = _powers(n, seed, prime)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            term = _letters(seed, prime)[data]
+            term *= up[: len(data)]
+            term %= np.uint64(prime)
+            np.cumsum(term, out=sums[1:])
+            self.parts.append((sums, down, np.uint64(prime)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        a, b = ((sums[ends] - sums[starts]) % prime * down[starts] % prime for sums, down, prime in self.parts)
+        return mix((a * np.uint64(1 << 32) + b) ^ (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -5,7 +5,9 @@ Documents with equal sets form one class, which its least id stands for. Between
 1. Survivors. A linked document shares at least the threshold's part of its shingles with
    other sets. Shingle hashes are dealt to buckets (packed by task, five bytes each), equal
    ones of different sets are found bucket by bucket, and documents with too few shared
-   shingles leave. On real corpora that is nearly all of them.
+   shingles leave. On real corpora that is nearly all of them. A task counts the shingles
+   that several of its own sets have and sends one record of each, so a common shingle is
+   no hot bucket.
 2. Orders. Survivors' shingles are ordered by rarity under three global orders (exact
    frequency, and twice its power of two, each with its own hash for ties). In every order a
    linked pair shares a shingle among the first n - ceil(t * n) + 1 of both sets. Candidates
@@ -22,9 +24,12 @@ component needs no link of its own.
 
 Defined cases: words are split at space and bytes 9 to 13 and A to Z lowered; texts with
 fewer words than n are one shingle; texts without words and null texts have no shingles, are
-linked with nothing and are their own component; rows that share an id are one document in
-a component; an empty table gives no rows; extra columns are dropped. Shingles count as
-equal by 64-bit hash, classes by 128 bits over their set.
+linked with nothing and are their own component; very long texts are read whole, as blocks of
+their own; rows that share an id are one document in a component, copies of a set are one
+class, and ties between leaders go by hash and id; rows without id are linked with rows of
+the same set only; an empty table gives no rows; extra columns are dropped, by
+`representatives` passed through. Shingles count as equal by 64-bit hash (polynomials modulo
+two primes, scrambled), classes by 128 bits over their set.
 """
 
 from __future__ import annotations
@@ -39,13 +44,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import kernels as K
-from mediacat.llm.common import stored, table
+from mediacat.llm.common import released, stored, table
 from mediacat.llm.graph import components
 
 #: A side of at most so many rows of two numbers is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Shingles of a bucket of the survivors' step, on average, and shingles that a task packs at once.
-BUCKET, PACK = 2_000_000, 1_200_000
+BUCKET, PACK = 1_000_000, 800_000
+#: Stands for several sets that a task has met a shingle in.
+SEVERAL = np.uint64(0)
 LEADER_ROUNDS = 3
 
 
@@ -99,18 +106,22 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def _packed(parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, blob) of (set, shingle) pairs: number of runs, each run's set and length, five bytes of each shingle."""
-    owner, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First row and the row after the last of each run of equal keys."""
+    edges = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1], [True]])) if len(sorted_keys) else np.zeros(1, np.int64)
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _packed(owner: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, -1, blob) of (set, shingle) pairs: number of runs, each run's set and length, five bytes of each shingle."""
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((owner, bucket))
     owner, h, bucket = owner[order], h[order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1) != 0)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    for a, b in _cuts(bucket):
         runs = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
         lengths = np.diff(np.append(runs, b - a)).astype("<u4")
         low = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        yield int(bucket[a]), b"".join([np.array([len(runs)], "<u8").tobytes(), owner[a:b][runs].astype("<u8").tobytes(), lengths.tobytes(), low.tobytes()])
+        yield int(bucket[a]), -1, b"".join([np.array([len(runs)], "<u8").tobytes(), owner[a:b][runs].astype("<u8").tobytes(), lengths.tobytes(), low.tobytes()])
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -122,22 +133,46 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(owner, lengths), wide.view("<u8").ravel()
 
 
-def _shared_counts(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """For each set, how many of the bucket's shingles it shares with another set; packed by part of the sets."""
-    owner, h = (np.concatenate(x) for x in zip(*map(_unpacked, pdf["blob"]), strict=True))
-    order = np.argsort(h, kind="stable")
+def _settled(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (set, shingle) pairs: the pairs, each once, whose shingle has several sets or SEVERAL, sorted; and which of them are first of their shingle."""
+    order = np.lexsort((owner, h))
     owner, h = owner[order], h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    mixed = np.maximum.reduceat(owner, first) != np.minimum.reduceat(owner, first)
-    hit = np.repeat(mixed, np.diff(np.append(first, len(h))))
-    # copies of a set bring a pair more than once
-    pairs = np.unique(np.stack([owner[hit], h[hit]], 1), axis=0)[:, 0] if hit.any() else owner[:0]
-    sets, shared = np.unique(pairs, return_counts=True)
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    fresh = new.copy()
+    fresh[1:] |= owner[1:] != owner[:-1]
+    owner, h, new = owner[fresh], h[fresh], new[fresh]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(h)))
+    mixed = np.repeat((size > 1) | (owner[first] == SEVERAL) if len(h) else np.zeros(0, bool), size)
+    return owner, h, np.where(mixed, np.where(new, 2, 1), 0)
+
+
+def _counts(owner: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, 0, blob): how often each set occurs, by part of the sets."""
+    sets, shared = np.unique(owner, return_counts=True)
     part = (K.mix(sets) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1) != 0)
-    rows = [(int(part[order[a]]), np.stack([sets[order[a:b]], shared[order[a:b]].astype(np.uint64)]).astype("<u8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pd.DataFrame(rows, columns=["part", "blob"])
+    for a, b in _cuts(part[order]):
+        yield int(part[order[a]]), 0, np.stack([sets[order[a:b]], shared[order[a:b]].astype(np.uint64)]).astype("<u8").tobytes()
+
+
+def _sent(owner: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """What a task sends: shingles of one of its sets; one record, for SEVERAL, of those that it has in several; and its counts of these."""
+    owner, h, mixed = _settled(owner, h)
+    yield from _counts(owner[mixed > 0], buckets)
+    sent = mixed != 1
+    yield from _packed(np.where(mixed == 2, SEVERAL, owner)[sent], h[sent], buckets)
+
+
+def _shared_counts(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """For each set, how many of the bucket's shingles it shares with another set; packed by part of the sets."""
+    out = [(p, b) for p, k, b in zip(pdf["bucket"], pdf["kind"], pdf["blob"], strict=True) if k >= 0]
+    blobs = pdf["blob"][pdf["kind"] < 0]
+    if len(blobs):
+        owner, _, mixed = _settled(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True)))
+        out += [(p, b) for p, _, b in _counts(owner[(mixed > 0) & (owner != SEVERAL)], parts)]
+    return pd.DataFrame({"part": pd.Series([p for p, _ in out], dtype="int64"), "blob": pd.Series([b for _, b in out], dtype=object)})
 
 
 def _added(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +183,11 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> DataFrame:
-    """doc_id, n of the classes that share enough shingles to link with another."""
+    """doc_id, n of the classes that share enough shingles to link with another.
+
+    Copies of a set in several tasks may count a shingle more than once, which can only let
+    more classes stay.
+    """
     can = classes.filter(F.col("n") * (least.denominator - least.numerator) >= least.numerator)
     total = classes.agg(F.coalesce(F.sum(F.col("n") * F.least("copies", F.lit(8))), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET))
@@ -167,13 +206,15 @@ def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> D
                     parts, held = [], 0
         if held:
             yield _batch(parts)
+        released()
 
     def _batch(parts):
-        rows = list(_packed(parts, buckets))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+        rows = list(_sent(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
-    dealt = docs.select("text").mapInArrow(run, "bucket long, blob binary")
-    shared = dealt.groupBy("bucket").applyInPandas(lambda pdf: _shared_counts(pdf, buckets), "part long, blob binary").groupBy("part").applyInPandas(_added, "s1 long, shared long")
+    dealt = docs.select("text").mapInArrow(run, "bucket long, kind int, blob binary")
+    bucket = F.when(F.col("kind") < 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
+    shared = dealt.groupBy(bucket).applyInPandas(lambda pdf: _shared_counts(pdf, buckets), "part long, blob binary").groupBy("part").applyInPandas(_added, "s1 long, shared long")
     return can.join(shared, "s1").filter(F.col("shared") * least.denominator >= F.col("n") * least.numerator).select(F.col("rep").alias("doc_id"), "n")
 
 
@@ -241,6 +282,8 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
                 F.min(F.struct(F.xxhash64("id", F.lit(200 + turn)), "id"))["id"],
             )).alias("leaders"),
         ).filter("low <> high")
+        # a hot token is one row here; broadcast, it needs no exchange of its documents
+        mixed = _small(stored(mixed.select("token", "leaders")))
         if turn < LEADER_ROUNDS:
             led = placed.join(mixed, "token").select("id", "comp", F.explode("leaders").alias("leader")).filter("id <> leader").distinct()
             led = led.join(found.select(F.col("id").alias("leader"), F.col("comp").alias("other")), "leader").filter("comp <> other")
@@ -266,8 +309,8 @@ def joined(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10)) -> Da
 
 def representatives(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """The rows of docs, all columns, with the least id of each component only."""
-    others = stored(joined(docs, n, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
-    return docs.join(_small(others), F.col("doc_id") == F.col("_other"), "left_anti")
+    others = _small(stored(joined(docs, n, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()))
+    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,14 @@ from conftest import DATA, duck, rows_of
 from mediacat.llm import decontamination, graph, language_id, ngram_join, packing, pii, quality_rules, registry, sharding, suffix_dedup, toxicity, url_filter
 from mediacat.llm import kernels as K
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, part int, id long, tokens string, w int, _t string, bucket int"
+#: Names that the operators use for themselves.
+OWN = "h part id tokens w _t bucket _other _n _row _bucket _before n s1 s2 rep comp component_id class_id copies shared kind blob spans kept score predicted toxic bytes first later item_id token a b s g2 size shard slot piece length".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in OWN)
 
 
 def table(spark, texts, ids=None):
     """Documents with columns whose names the operators use for themselves."""
-    rows = [(i if ids is None else ids[k], t, "en", "s", len(t or ""), 1, 2, 3, "x", 4, "y", 5) for k, (i, t) in enumerate(enumerate(texts))]
+    rows = [(i if ids is None else ids[k], t, "en", "s", len(t or ""), *("x" for _ in OWN)) for k, (i, t) in enumerate(enumerate(texts))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -144,6 +146,39 @@ def test_ngram_join_without_rows(spark):
     assert {r["component_id"] for r in ngram_join.joined(table(spark, [None, ""])).collect()} == {0, 1}
     rows = ngram_join.joined(table(spark, ["a b c d", "a b c d"], [4, 4])).collect()
     assert [r["component_id"] for r in rows] == [4, 4]
+    rows = ngram_join.joined(table(spark, ["a b c d", "a b c d", "z"], [None, 4, None])).collect()
+    assert sorted((r["doc_id"] is None, r["component_id"]) for r in rows if r["component_id"]) == [(False, 4), (True, 4)] and len(rows) == 3
+
+
+def thue_morse(n):
+    """Two words of n letters that no polynomial hash modulo 2 ** 64 tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096, 8192])
+def test_words_of_thue_and_morse_differ(spark, n):
+    x, y = thue_morse(n)
+    texts = [f"{x} p q", f"{y} p q", f"{x} p q"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.joined(table(spark, texts)).collect()}
+    assert got == brute_components(texts, 3, Fraction(9, 10)) and [got[i][1] for i in range(3)] == [0, 1, 0]
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    h = [K.Rolling(data, seed).of(np.array([0, n]), np.array([n, 2 * n])) for seed in (1, 2)]
+    assert all(a != b for a, b in h)
+
+
+def test_common_shingles_are_settled_in_the_task():
+    owner = np.array([5, 5, 7, 9, 9, 7, 5], np.uint64)
+    h = np.array([1, 2, 2, 2, 3, 4, 4], np.uint64)
+    sent = list(ngram_join._sent(owner, h, 1))
+    pdf = pd.DataFrame(sent, columns=["bucket", "kind", "blob"])
+    counts = ngram_join._added(ngram_join._shared_counts(pdf, 1)).sort_values("s1")
+    assert list(zip(counts.s1, counts.shared)) == [(5, 2), (7, 2), (9, 1)]
+    own, _ = ngram_join._unpacked(pdf.blob[pdf.kind < 0].iloc[0])
+    assert sorted(own.tolist()) == [0, 0, 5, 9]
+    other = pd.DataFrame(list(ngram_join._sent(np.array([11, 11], np.uint64), h[[1, 4]], 1)), columns=["bucket", "kind", "blob"])
+    counts = ngram_join._added(ngram_join._shared_counts(pd.concat([pdf, other]), 1)).sort_values("s1")
+    assert list(zip(counts.s1, counts.shared)) == [(5, 2), (7, 2), (9, 2), (11, 2)]
 
 
 def test_components(spark):
@@ -186,6 +221,8 @@ def test_suffix_dedup(spark, tmp_path):
     got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
     assert got == brute_dedup(texts)
     assert suffix_dedup.deduplicated(table(spark, [])).count() == 0
+    odd = suffix_dedup.deduplicated(table(spark, ["t" * 150 + "u", "t" * 150 + "v", "t" * 150, "t" * 150], [None, 3, None, 5])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], len(r["kept"])) for r in odd) == [(0, 150, 150), (0, 151, 151), (3, 151, 2), (5, 150, 0)]
 
 
 def test_cover_sample():
