@@ -24,10 +24,12 @@ passage in a third of all documents sends one record for each task; exact copies
 texts are settled first, by digest. Memory: one bucket of about BUCKET records at a time.
 
 Defined cases: null and empty texts have no bytes and the digest of nothing; texts shorter
-than `length` stay whole; ids should be unique, rows that share one are taken as the same
-document at the same place and do not remove each other; copies keep the least id; an empty
-table gives no rows; extra columns are dropped. Strings count as equal by hash: 88 bits for
-ranks (name and surroundings), 64 bits and their common bucket for open strings.
+than `length` stay whole; very long texts are read whole, as blocks of their own; ids should
+be unique, rows that share one are taken as the same document at the same place and do not
+remove each other; rows without id stay whole and remove nothing; copies keep the least id;
+an empty table gives no rows; extra columns are dropped. Strings count as equal by hash: 96
+bits and more for ranks (name, bucket and surroundings), 88 bits and their bucket for open
+strings; the hashes are polynomials modulo primes, of two seeds for open strings.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ BUCKET, PACK = 1_200_000, 800_000
 BROADCAST_ROWS = 1_000_000
 
 #: Bytes that a record takes of its two keys: sample names and ranks, or suffix hashes alone.
-SAMPLES, SUFFIXES = (4, 7), (8, 0)
+SAMPLES, SUFFIXES = (4, 8), (8, 3)
 LATER, OPEN = 0, 1
 PARTS = "part long, kind int, blob binary"
 
@@ -240,21 +242,21 @@ def _sorted_suffixes(docs: DataFrame, ranges: DataFrame, buckets: int, parts: in
         n = 0
 
         def flush():
-            doc, at, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, at, h, more = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((at, doc))
-            return _rows(list(_send(doc[order], at[order], (h[order],), SUFFIXES, buckets, parts)))
+            return _rows(list(_send(doc[order], at[order], (more[order], h[order]), SUFFIXES, buckets, parts)))
 
         for batch in batches:
             ids, later, open_ = (batch.column(i).to_pylist() for i in (0, 2, 3))
             for a, b, data, off in K.blocks(batch.column(1)):
-                rolling = K.Rolling(data)
+                rolling, other = K.Rolling(data), K.Rolling(data, 2)
                 for k in range(a, b):
                     starts = off[k - a + 1] - off[k - a] - LENGTH + 1
                     if starts <= 0:
                         continue
                     at = np.flatnonzero(_starts(_pairs(open_[k]), starts) & ~_starts(_pairs(later[k]), starts))
                     p = at + off[k - a]
-                    held.append((np.full(len(at), ids[k]), at, rolling.of(p, p + LENGTH)))
+                    held.append((np.full(len(at), ids[k]), at, rolling.of(p, p + LENGTH), other.of(p, p + LENGTH) & np.uint64((1 << 24) - 1)))
                     n += len(at)
                     if n > PACK:
                         yield flush()
@@ -266,8 +268,8 @@ def _sorted_suffixes(docs: DataFrame, ranges: DataFrame, buckets: int, parts: in
         out = [(p, k, b) for p, k, b in zip(pdf["part"], pdf["kind"], pdf["blob"], strict=True) if k >= 0]
         blobs = pdf["blob"][pdf["kind"] < 0]
         if len(blobs):
-            doc, at, h, _ = (np.concatenate(x) for x in zip(*(unpack(b, *SUFFIXES) for b in blobs), strict=True))
-            order, new = first_of((h,), doc, at)
+            doc, at, h, more = (np.concatenate(x) for x in zip(*(unpack(b, *SUFFIXES) for b in blobs), strict=True))
+            order, new = first_of((more, h), doc, at)
             later = order[~(new | _same_place(order, new, doc, at))]
             out += _to_parts(doc[later], at[later], LATER, parts)
         return pd.DataFrame(out, columns=["part", "kind", "blob"])
@@ -305,10 +307,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-size * len(COVER) // PERIOD // BUCKET))
     parts = max(8, -(-size // (32 << 20)))
     # exact copies: all but the least id of a digest go whole
-    digests = rows.filter(F.length("bytes") >= LENGTH).select("doc_id", F.sha2("bytes", 256).alias("d"))
+    digests = rows.filter((F.length("bytes") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("bytes", 256).alias("d"))
     least = digests.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = stored(digests.join(least, "d").filter("doc_id <> first").select("doc_id").distinct())
-    own = rows.join(_small(copies), "doc_id", "left_anti")
+    own = rows.filter("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
     ranges = stored(_by_document(_sorted_samples(own, buckets, parts)))
     open_ = ranges.filter(F.length("open") > 0)
     more = stored(_single_starts(_sorted_suffixes(own, _small(open_), buckets, parts)))
