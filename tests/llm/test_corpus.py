@@ -490,6 +490,68 @@ def test_pii_spans(spark):
     assert pii.found(table(spark, [])).count() == 0
 
 
+def brute_pii(t, model):
+    """Base spans, then the best candidates one by one: every generator over every text, one probability at a time."""
+    found = [(*s, True) for s in base_brute(t)]
+    asked = []
+    for kind, _, pattern in pii._MORE:
+        for m in pattern.finditer(t):
+            hit = [(a, b) for _, a, b, _ in found if a < m.end() and b > m.start()]
+            merged = []
+            for a, b in sorted(hit):
+                if merged and a < merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                else:
+                    merged.append((a, b))
+            if not hit or (kind in ("secret", "iban") and all(m.start() <= a and b <= m.end() and b - a < m.end() - m.start() for a, b in merged)):
+                asked.append((float(model.probability(np.array([pii.features(t, kind, *m.span())]))[0]), len(asked), kind, *m.span()))
+    taken = []
+    for p, _, kind, s, e in sorted(asked, key=lambda c: (-c[0], c[1])):
+        if p >= model.least[kind] and all(e <= a or s >= b for _, a, b, _ in taken):
+            taken.append((kind, s, e, False))
+    return sorted(found + taken, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_pii_by_brute_force():
+    r = random.Random(12)
+    model = pii.train()
+    docs = [x[0] or "" for x in duck().sql("SELECT text FROM documents").fetchall()]
+    bits = ["555-123-4567", "call ", "4111 1111 1111 1111", "4111.1111.1111.1111", 'token = "', "04dbebab91ab85687d4111111111111111eeaaf", '"', " ", " ", "DE89370400440532013000", "a@b.co", "joe (at] site.org", "2001:db8:0:0:0:0:0:1", "SSN 123-45-6789", "order ", "aBcDeFgHiJkLmNoPqRsTuVwX", "1.2.3.4", "+1 (555) 010-9999"]
+    docs += ["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    for t, got in zip(docs, pii.spans_of(docs, model)):
+        assert got == brute_pii(t, model)
+
+
+def test_pii_has_no_switches():
+    model = pii.train()
+    kinds = lambda t: [s[0] for s in pii.spans_of([t], model)[0]]
+    letters = 'token = "abcdefGHIJklmnOPQRstuvWXyz"'
+    assert kinds(letters) == kinds("5 " + letters) == kinds("a@b " + letters) == ["secret"]
+    assert kinds("joe(at]site.org") == kinds("joe (at) site.org") == ["email"]
+    assert kinds("reparé 5472476151044309 suranp") == kinds("a 9876543210123456 b") == [] and kinds("a 4111111111111111 b") == ["card"]
+    assert kinds("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962") == kinds("order 555-123-4567") == kinds("keitlichenzuverschlichereinbelich") == []
+    # a base span inside a secret does not keep the rest of it
+    assert "secret" in kinds('token = "04dbebab91ab85687d4111111111111111eeaaf"')
+    assert len({round(v, 3) for v in model.least.values()}) == len(pii.KINDS) and all(0 < v < 1 for v in model.least.values())
+
+
+def test_pii_precision_and_recall():
+    """Planted forms of the tables, by patterns of their own."""
+    model = pii.train()
+    n = Counter()
+    for (t,) in duck("sf0.1").sql("SELECT text FROM documents WHERE text IS NOT NULL").fetchall():
+        spans = pii.spans_of([t], model)[0]
+        have = {s[1:3] for s in spans}
+        cover = lambda a, b: any(s <= a and b <= e for s, e in have)
+        for kind, pattern in (("secret", r'(?i)(?<=token = ")[0-9a-f]{40}(?=")'), ("phone", r"\+1 \([0-9]{3}\) 555-[0-9]{4}"), ("email", r"(?i)[^ .\n]+\.[0-9]+@mail[0-9]\.example\.com")):
+            for m in re.finditer(pattern, t):
+                n[kind, cover(m.start() + 3 * (kind == "phone"), m.end())] += 1
+        n["wrong card"] += sum(k == "card" and not pii.luhn(re.sub("[^0-9]", "", t[s:e])) for k, s, e, _ in spans)
+        n["other secret"] += sum(k == "secret" and not re.fullmatch("(?i)[0-9a-f]{40}", t[s:e]) for k, s, e, _ in spans)
+    assert n["secret", True] > 150 and not n["secret", False]
+    assert not n["phone", False] and not n["email", False] and not n["wrong card"] and not n["other secret"]
+
+
 def test_languages(spark):
     got = language_id.op10_language_id(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), "doc_id").filter("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.97 and got.score.between(0, 1).all()
