@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zlib
@@ -40,8 +43,13 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def released() -> None:
-    """Called where a task of a Python worker ends: Arrow's free memory goes back to the system, for the stages after it."""
+    """Called where a task of a Python worker ends: free memory goes back to the system, for the stages after it."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -172,6 +172,8 @@ def _shared_counts(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
     if len(blobs):
         owner, _, mixed = _settled(*(np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True)))
         out += [(p, b) for p, _, b in _counts(owner[(mixed > 0) & (owner != SEVERAL)], parts)]
+        del owner, mixed
+        released()
     return pd.DataFrame({"part": pd.Series([p for p, _ in out], dtype="int64"), "blob": pd.Series([b for _, b in out], dtype=object)})
 
 
@@ -218,8 +220,8 @@ def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> D
     return can.join(shared, "s1").filter(F.col("shared") * least.denominator >= F.col("n") * least.numerator).select(F.col("rep").alias("doc_id"), "n")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _token_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
@@ -283,7 +285,7 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
             )).alias("leaders"),
         ).filter("low <> high")
         # a hot token is one row here; broadcast, it needs no exchange of its documents
-        mixed = _small(stored(mixed.select("token", "leaders")))
+        mixed = _small(stored(mixed.select("token", "leaders")), BROADCAST_ROWS // 10)
         if turn < LEADER_ROUNDS:
             led = placed.join(mixed, "token").select("id", "comp", F.explode("leaders").alias("leader")).filter("id <> leader").distinct()
             led = led.join(found.select(F.col("id").alias("leader"), F.col("comp").alias("other")), "leader").filter("comp <> other")

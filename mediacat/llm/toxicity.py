@@ -47,10 +47,12 @@ from mediacat.llm.common import fold, released, stored, table
 N, DECAY = 4, 0.5
 #: Letters of a token, tokens of a sentence that are read at once; letters of tokens that are read with a neighbour; letters of pieces of longer tokens.
 PIECE, WINDOW, SHORT, INSIDE = 24, 32, 3, range(4, 9)
+#: Pairs of neighbouring characters (marks included) that related strings share at least; of others the kernel counts as 0.
+PAIRS = 2
 #: Kernel values are kept in steps of 1 / STEPS.
 STEPS = 32
 #: Tokens whose kernel values a worker keeps, and texts that it scores at once.
-CACHE, SLICE = 150_000, 256
+CACHE, SLICE = 100_000, 256
 #: What a worker's last task leaves to its next one.
 _MET: dict = {}
 START, END, LINE = "\x02", "\x03", "\x04"
@@ -67,11 +69,6 @@ def bare(part: str) -> str:
     return part.strip(string.punctuation + LINE)
 
 
-def flags(part: str) -> int:
-    n = len(bare(part))
-    return (ENDS if part == LINE or part[-1] in ".!?" else 0) | (SINGLE if n == 1 else FEW if 2 <= n <= SHORT else 0)
-
-
 def slides(letters: str) -> set[str]:
     """All pieces of four to eight letters, for whatever stands inside a string without spaces."""
     return {letters[i : i + n] for n in INSIDE for i in range(len(letters) - n + 1)}
@@ -79,6 +76,8 @@ def slides(letters: str) -> set[str]:
 
 def readings(token: str) -> list[str]:
     """The strings that a token is read as: itself and, if there is punctuation inside it, its letters alone; a long one as all its pieces."""
+    if token.isalnum() and len(token) <= PIECE:
+        return [token]
     out: set[str] = set()
     for t in {token, "".join(c for c in token if c.isalnum())}:
         if len(t) > PIECE:
@@ -88,15 +87,40 @@ def readings(token: str) -> list[str]:
     return sorted(out)
 
 
+def _codes_of(words: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all characters of the words one after another (0: not in the alphabet), the words' lengths and first places."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.zeros(0x110000, np.int16)
+    for c, k in alphabet.items():
+        table[ord(c)] = k
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return table[points].astype(np.intp), lengths, np.cumsum(lengths) - lengths
+
+
+def related(codes: np.ndarray, lengths: np.ndarray, landmarks: list[str], alphabet: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and landmarks that share at least PAIRS pairs of neighbouring characters, repeats counted once."""
+    size = len(alphabet) + 1
+    pairs = [{alphabet[a] * size + alphabet[b] for a, b in zip(m, m[1:])} for m in landmarks]
+    listed = sorted(set().union(*pairs))
+    place = np.full(size * size, -1, np.int32)
+    place[listed] = np.arange(len(listed))
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    at = place[codes[:-1] * size + codes[1:]]
+    hit = np.flatnonzero((at >= 0) & (word[1:] == word[:-1]))
+    has = np.zeros((len(lengths), len(listed)), np.float32)
+    has[word[hit], at[hit]] = 1
+    own = np.array([[p in q for q in pairs] for p in listed], np.float32)
+    return np.nonzero(has @ own >= PAIRS)
+
+
 def kernel(words: list[str], landmarks: list[str], chunk: int = 1024) -> np.ndarray:
-    """Subsequence kernel, len(words) x len(landmarks).
+    """Subsequence kernel, len(words) x len(landmarks); 0 where the two share fewer than PAIRS pairs of neighbouring characters.
 
-    Only pairs with N characters in common, repeats counted, are worked out. `ends[b, k]` holds,
-    for each place b of a landmark, the decayed weight of common subsequences of k + 1
-    characters that end there, after each character of the words.
+    `ends[b, k]` holds, for each place b of a landmark, the decayed weight of common
+    subsequences of k + 1 characters that end there, after each character of the words.
     """
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    if not words or not landmarks:
+    if not any(words) or not landmarks:
         return out
     width = max(map(len, landmarks))
     alphabet = {c: k for k, c in enumerate(sorted(set("".join(landmarks))), 1)}
@@ -107,14 +131,8 @@ def kernel(words: list[str], landmarks: list[str], chunk: int = 1024) -> np.ndar
             match[b, m, alphabet[c]] = DECAY * DECAY
     match = match.reshape(width, -1)
     before = np.tril(np.float32(DECAY) ** (np.arange(width)[:, None] - np.arange(width) - 1), -1).astype(np.float32)
-    lengths = np.array([len(w) for w in words])
-    total_length = int(lengths.sum())
-    codes = np.fromiter((alphabet.get(c, 0) for c in "".join(words)), np.intp, total_length)
-    first = np.cumsum(lengths) - lengths
-    often = np.bincount(np.repeat(np.arange(len(words)), lengths) * size + codes, minlength=len(words) * size).reshape(len(words), size)
-    own = np.array([[w.count(c) for c in alphabet] for w in landmarks])
-    common = sum((often[:, 1:] >= k).astype(np.float32) @ (own >= k).T.astype(np.float32) for k in range(1, own.max() + 1))
-    at, mark = np.nonzero(common >= N - 0.5)
+    codes, lengths, first = _codes_of(words, alphabet)
+    at, mark = related(codes, lengths, landmarks, alphabet)
     order = np.argsort(lengths[at], kind="stable")
     at, mark = at[order], mark[order]
     cuts = np.flatnonzero(np.diff(lengths[at], prepend=-1, append=-1))
@@ -191,52 +209,70 @@ class Model:
     def _forget(self) -> None:
         #: token -> row of its values * 8 + flags; row 0 has none
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
         self.rows: dict[bytes, int] = {bytes(len(self.landmarks)): 0}
         self.values = np.zeros((1, len(self.landmarks)), np.uint8)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "rows", "values")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "old", "rows", "values")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         if _MET.get("landmarks") == self.landmarks:  # an earlier task of this worker met tokens
-            self.known, self.rows, self.values = _MET["met"]
+            self.known, self.old, self.rows, self.values = _MET["met"]
         else:
             self._forget()
 
     def remember(self) -> None:
         """Called where a worker's task ends: its next task of these landmarks starts with the tokens met."""
-        _MET.update(landmarks=self.landmarks, met=(self.known, self.rows, self.values))
+        _MET.update(landmarks=self.landmarks, met=(self.known, self.old, self.rows, self.values))
         released()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Kernel values of parts, and of neighbours that are read as one ('a b'): the largest of their readings."""
-        new = sorted(new)
-        read = [readings("".join(map(bare, p.split(" ")))) for p in new]
-        strings = sorted({s for r in read for s in r if len(s) >= N - 2})
-        place = {s: i for i, s in enumerate(strings)}
-        got = np.zeros((len(strings) + 1, len(self.landmarks)), np.uint8)
-        for i in range(0, len(strings), 20_000):
-            part = strings[i : i + 20_000]
+        stripped = [bare(p) if " " not in p else "".join(map(bare, p.split(" "))) for p in new]
+        place: dict[str, int] = {}
+        where = []
+        for t in stripped:
+            n = len(t)
+            if n < N - 2:
+                where.append(())
+            elif n <= PIECE and t.isalnum():
+                where.append((place.setdefault(t, len(place)),))
+            else:
+                where.append([place.setdefault(s, len(place)) for s in readings(t) if len(s) >= N - 2])
+        strings = list(place)
+        got = np.zeros((len(strings), len(self.landmarks)), np.uint8)
+        for i in range(0, len(strings), 10_000):
+            part = strings[i : i + 10_000]
             got[i : i + len(part)] = similar([START + s + END for s in part], self.landmarks, self.norm) * STEPS
+        some = got.any(1)
         added = []
-        for p, r in zip(new, read, strict=True):
-            at = [place[s] for s in r if s in place]
-            raw = (got[at[0]] if len(at) == 1 else got[at].max(0) if at else got[-1]).tobytes()
-            row = self.rows.setdefault(raw, len(self.rows))
-            if row == len(self.values) + len(added):
-                added.append(raw)
-            self.known[p] = row * 8 | flags(p)
+        for p, t, at in zip(new, stripped, where, strict=True):
+            row = 0
+            if any(some[i] for i in at):
+                raw = (got[at[0]] if len(at) == 1 else got[list(at)].max(0)).tobytes()
+                row = self.rows.setdefault(raw, len(self.rows))
+                if row == len(self.values) + len(added):
+                    added.append(raw)
+            n = len(t) if " " not in p else 0
+            self.known[p] = row * 8 | (ENDS if p == LINE or p[-1] in ".!?" else 0) | (SINGLE if n == 1 else FEW if 2 <= n <= SHORT else 0)
         if added:
             self.values = np.concatenate([self.values, np.frombuffer(b"".join(added), np.uint8).reshape(len(added), -1)])
 
     def _codes(self, parts: list[str]) -> np.ndarray:
-        new = set(parts) - self.known.keys()
+        """Row of values * 8 + flags of each part; tokens not met for long are forgotten."""
+        met = set(parts)
+        new = met - self.known.keys()
         if len(self.known) + len(new) > CACHE:
-            self._forget()
-            new = set(parts)
+            if len(self.rows) > CACHE:
+                self._forget()
+            self.known, self.old = {}, self.known
+            new = met
         if new:
-            self._learn(new)
+            again = new & self.old.keys()
+            self.known.update((p, self.old[p]) for p in again)
+            self._learn(list(new - again))
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def pooled(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -516,7 +552,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, most: int = 40
     own = [np.frombuffer(r["windows"], np.uint8).reshape(-1, len(marks)) for r in got]
     y = np.array([r["toxic"] for r in got], float)
     text = np.repeat(np.arange(len(got)), [len(w) for w in own])
-    return learned(model, text, np.concatenate(own), np.array([r["n"] for r in got], np.int64), y, np.where(y > 0, 1 / share[1], 1 / share[0]))
+    model = learned(model, text, np.concatenate(own), np.array([r["n"] for r in got], np.int64), y, np.where(y > 0, 1 / share[1], 1 / share[0]))
+    del got, own, text
+    released()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -395,10 +395,11 @@ def brute_score(model, text):
         i = max(j, i + 1)
     norm = {m: brute_kernel(m, m) for m in model.landmarks}
     value = {}
+    pairs = lambda w: set(zip(w, w[1:]))
     for s in {s for _, s in at}:
         w = "\x02" + s + "\x03"
         own = brute_kernel(w, w) or 1
-        value[s] = [int(min(1, brute_kernel(w, m) / math.sqrt(own * norm[m])) * 32 + 1e-5) for m in model.landmarks]
+        value[s] = [int(min(1, brute_kernel(w, m) / math.sqrt(own * norm[m])) * 32 + 1e-5) if len(pairs(w) & pairs(m)) > 1 else 0 for m in model.landmarks]
     margins, first = [], 0
     for i, p in enumerate(parts):
         if p == "\x04" or p[-1] in ".!?" or i == len(parts) - 1:
