@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 #: White space of the corpus contracts: space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
+#: Function caches that a worker drops where a task ends.
+CACHES: list = []
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -42,8 +44,17 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from here on: texts are long, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def released() -> None:
     """Called where a task of a Python worker ends: free memory goes back to the system, for the stages after it."""
+    for cache in CACHES:
+        cache.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from mediacat.llm.common import CACHES
+
 #: Bytes of text that a kernel takes at once; a longer text is a block of its own.
 BLOCK = 1 << 20
 
@@ -83,6 +85,9 @@ def _powers(n: int, seed: int, prime: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+CACHES.append(_powers)
+
+
 @lru_cache(maxsize=8)
 def _letters(seed: int, prime: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(prime)

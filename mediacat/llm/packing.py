@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import digest_bucket, ranked, stored, table
+from mediacat.llm.common import digest_bucket, ranked, slices, stored, table
 
 CAPACITY = 2048
 #: Words that a worker keeps the ids of.
@@ -113,9 +113,8 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0
 
     def run(batches):
         encoder = Encoder.of(path, cache)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                yield pieces(encoder, whole.slice(at, 512))
+        for batch in slices(batches):
+            yield pieces(encoder, batch)
 
     def pieces(encoder, batch):
         keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
