@@ -36,6 +36,7 @@ import math
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +53,11 @@ PAIRS = 2
 #: Kernel values are kept in steps of 1 / STEPS.
 STEPS = 32
 #: Tokens whose kernel values a worker keeps, and texts that it scores at once.
-CACHE, SLICE = 100_000, 256
+CACHE, SLICE = 150_000, 256
 #: What a worker's last task leaves to its next one.
 _MET: dict = {}
 START, END, LINE = "\x02", "\x03", "\x04"
+EDGES = string.punctuation + LINE
 #: Flags of a token: it ends a sentence, is a single letter, has two or three letters.
 ENDS, SINGLE, FEW = 1, 2, 4
 
@@ -66,7 +68,7 @@ def parts_of(text: str | None) -> list[str]:
 
 
 def bare(part: str) -> str:
-    return part.strip(string.punctuation + LINE)
+    return part.strip(EDGES)
 
 
 def slides(letters: str) -> set[str]:
@@ -230,41 +232,39 @@ class Model:
 
     def _learn(self, new: list[str]) -> None:
         """Kernel values of parts, and of neighbours that are read as one ('a b'): the largest of their readings."""
-        stripped = [bare(p) if " " not in p else "".join(map(bare, p.split(" "))) for p in new]
-        place: dict[str, int] = {}
-        where = []
-        for t in stripped:
-            n = len(t)
-            if n < N - 2:
-                where.append(())
-            elif n <= PIECE and t.isalnum():
-                where.append((place.setdefault(t, len(place)),))
-            else:
-                where.append([place.setdefault(s, len(place)) for s in readings(t) if len(s) >= N - 2])
-        strings = list(place)
+        stripped = list(map(str.strip, new, repeat(EDGES)))
+        length = np.fromiter(map(len, stripped), np.int64, len(new))
+        plain = np.fromiter(map(str.isalnum, stripped), bool, len(new)) & (length >= N - 2) & (length <= PIECE)
+        strings = list(compress(stripped, plain.tolist()))
+        other = [(k, readings("".join(map(bare, new[k].split(" "))))) for k in np.flatnonzero(~plain & (length >= N - 2)).tolist()]
+        first = np.cumsum([len(strings), *(len(r) for _, r in other)]).tolist()
+        strings += [s for _, r in other for s in r]
         got = np.zeros((len(strings), len(self.landmarks)), np.uint8)
         for i in range(0, len(strings), 10_000):
             part = strings[i : i + 10_000]
             got[i : i + len(part)] = similar([START + s + END for s in part], self.landmarks, self.norm) * STEPS
-        some = got.any(1)
+        values = np.zeros((len(new), len(self.landmarks)), np.uint8)
+        values[plain] = got[: first[0]]
+        for (k, _), a, b in zip(other, first[:-1], first[1:], strict=True):
+            values[k] = got[a:b].max(0, initial=0)
+        row = np.zeros(len(new), np.int64)
         added = []
-        for p, t, at in zip(new, stripped, where, strict=True):
-            row = 0
-            if any(some[i] for i in at):
-                raw = (got[at[0]] if len(at) == 1 else got[list(at)].max(0)).tobytes()
-                row = self.rows.setdefault(raw, len(self.rows))
-                if row == len(self.values) + len(added):
-                    added.append(raw)
-            n = len(t) if " " not in p else 0
-            self.known[p] = row * 8 | (ENDS if p == LINE or p[-1] in ".!?" else 0) | (SINGLE if n == 1 else FEW if 2 <= n <= SHORT else 0)
+        for k in np.flatnonzero(values.any(1)).tolist():
+            raw = values[k].tobytes()
+            row[k] = at = self.rows.setdefault(raw, len(self.rows))
+            if at == len(self.values) + len(added):
+                added.append(raw)
         if added:
             self.values = np.concatenate([self.values, np.frombuffer(b"".join(added), np.uint8).reshape(len(added), -1)])
+        ends = np.fromiter(map(str.endswith, new, repeat((".", "!", "?", LINE))), bool, len(new))
+        code = row * 8 + ends * ENDS + (length == 1) * SINGLE + ((length >= 2) & (length <= SHORT)) * FEW
+        self.known.update(zip(new, code.tolist(), strict=True))
 
-    def _codes(self, parts: list[str]) -> np.ndarray:
+    def _codes(self, parts: list[str], forget: bool = True) -> np.ndarray:
         """Row of values * 8 + flags of each part; tokens not met for long are forgotten."""
         met = set(parts)
         new = met - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
+        if forget and len(self.known) + len(new) > CACHE:
             if len(self.rows) > CACHE:
                 self._forget()
             self.known, self.old = {}, self.known
@@ -303,11 +303,10 @@ class Model:
                     for n in INSIDE:
                         starts += range(lo, hi - n + 1)
                         more += [letters[i : i + n] for i in range(len(letters) - n + 1)]
-        kept = [(own >> 3, np.arange(len(own)))]
+        row, place = own >> 3, np.arange(len(own))
         if more:
-            known = self._codes(parts + more)
-            kept = [(known >> 3, np.concatenate([np.arange(len(own)), np.array(starts, np.int64)]))]
-        row, place = kept[0]
+            row = np.concatenate([row, self._codes(more, forget=False) >> 3])
+            place = np.concatenate([place, np.array(starts, np.int64)])
         hit = np.flatnonzero(row)
         row, place = row[hit], place[hit]
         order = np.argsort(place, kind="stable")
