@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import math
-import struct
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WIDTH, HEIGHT = 9, 8
 
@@ -55,25 +52,44 @@ def bands(h: Column, count: int) -> Column:
     return F.array(*map(cut, range(count)))
 
 
-def pack_blob(interval: float, hashes: list[int]) -> bytes:
-    return struct.pack(f"<fI{len(hashes)}q", interval, len(hashes), *hashes)
+def _turned(hexes: Column, digits: int) -> Column:
+    """Hex digits of a number with its bytes in the other order."""
+    return F.concat(*[F.substring(hexes, i + 1, 2) for i in range(digits - 2, -1, -2)])
 
 
-def unpack_blob(raw: bytes) -> tuple[float, list[int]]:
-    """Raises ValueError where the header or the body is cut short."""
-    if len(raw) < 8:
-        raise ValueError("fingerprint blob is shorter than its header")
-    interval, n = struct.unpack_from("<fI", raw)
-    if len(raw) < 8 + 8 * n:
-        raise ValueError("fingerprint blob is cut short")
-    return interval, list(struct.unpack_from(f"<{n}q", raw, 8))
+def _float_bits(x: Column) -> Column:
+    """The 32 bits of a positive single-precision number as a long; 0 for 0."""
+    x = x.cast("float").cast("double")
+    near = F.floor(F.log2(x))
+    exponent = F.when(x >= F.pow(F.lit(2.0), near + 1), near + 1).when(x < F.pow(F.lit(2.0), near), near - 1).otherwise(near)
+    fraction = F.round((x / F.pow(F.lit(2.0), exponent) - 1) * (1 << 23)).cast("long")
+    return F.when(x > 0, (exponent.cast("long") + 127) * (1 << 23) + fraction).otherwise(F.lit(0).cast("long"))
 
 
-@F.pandas_udf(T.BinaryType())
-def to_blob(interval: pd.Series, hashes: pd.Series) -> pd.Series:
-    return pd.Series([pack_blob(i, [int(x) for x in h]) for i, h in zip(interval, hashes, strict=True)])
+def to_blob(interval: Column, hashes: Column) -> Column:
+    """Little-endian binary: interval (32-bit float, 0 or a normal positive number), number of hashes (32 bits), hashes (64 bits each)."""
+    word = lambda x: _turned(F.lower(F.lpad(F.hex(x), 8, "0")), 8)
+    body = F.array_join(F.transform(hashes, lambda h: _turned(hex64(h), 16)), "")
+    return F.unhex(F.concat(word(_float_bits(interval)), word(F.size(hashes).cast("long")), body))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def blob_hashes(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: unpack_blob(b)[1])
+def _number(hexes: Column) -> Column:
+    return F.conv(hexes, 16, 10).cast("long")
+
+
+def blob_hashes(raw: Column) -> Column:
+    """The hashes of a blob; null without a blob, an error where header or body is cut short."""
+    hexes = F.lower(F.hex(raw))
+    n = _number(_turned(F.substring(hexes, 9, 8), 8))
+    half = lambda i, at: _number(_turned(F.substr(hexes, i * 16 + 17 + at, F.lit(8)), 8))
+    one = lambda i: F.call_function("shiftleft", half(i, 8), F.lit(32)).bitwiseOR(half(i, 0))
+    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: one(i.cast("int")))).otherwise(F.array().cast("array<bigint>"))
+    short = (F.length(raw) < 8) | (F.length(raw) < 8 + 8 * n)
+    return F.when(raw.isNull(), F.lit(None)).when(short, F.raise_error(F.lit("fingerprint blob is cut short"))).otherwise(hashes)
+
+
+def blob_interval(raw: Column) -> Column:
+    """The interval of a blob, a float."""
+    bits = _number(_turned(F.substring(F.lower(F.hex(raw)), 1, 8), 8))
+    exponent = F.floor(bits / (1 << 23)) % 256
+    return F.when(bits == 0, F.lit(0.0)).otherwise((1 + (bits % (1 << 23)) / float(1 << 23)) * F.pow(F.lit(2.0), (exponent - 127).cast("double"))).cast("float")

@@ -52,6 +52,12 @@ def summary(outcome: DataFrame) -> DataFrame:
     return outcome.agg(*map(count, OUTCOMES), F.count(F.lit(1)).alias("total"))
 
 
+def pair_summary(outcome: DataFrame, pair: str = "pair") -> DataFrame:
+    """As `summary` for each pair, and one row without a pair for all of them."""
+    count = lambda k: F.count_if(F.col("outcome") == k).alias(k)
+    return outcome.rollup(pair).agg(*map(count, OUTCOMES), F.count(F.lit(1)).alias("total"))
+
+
 def within_budget(sources: DataFrame, n: int) -> DataFrame:
     """The first n sources by key: what a run that may take n of them takes."""
     return sources.orderBy("source_key").limit(n)

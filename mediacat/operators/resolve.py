@@ -13,14 +13,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "video long, outcome string, target long, final long"
+from mediacat.operators.graph import components
+from mediacat.operators.scratch import stored
 
 
-def fold(videos: list[tuple], similar: dict[tuple[int, int], float], threshold: float) -> list[tuple[int, str, int, int]]:
-    """(video, outcome, target at the time, target in the end) of (video, pixels, kbps) in order."""
+def fold(videos: list[tuple], similar: dict[tuple, float], threshold: float) -> list[tuple]:
+    """(video, outcome, target at the time, target in the end) of (video, pixels, kbps, known) in order; known ones are entries without being judged."""
     entries: list[tuple] = []
     out, repoint = [], {}
-    for video, pixels, kbps in videos:
+    for video, pixels, kbps, *known in videos:
+        if known and known[0]:
+            entries.append((video, pixels, kbps))
+            out.append((video, "known", video))
+            continue
         best, top = None, threshold
         for entry in entries:
             s = similar.get((min(video, entry[0]), max(video, entry[0])), 0.0)
@@ -36,7 +41,7 @@ def fold(videos: list[tuple], similar: dict[tuple[int, int], float], threshold:
         entries.append((video, pixels, kbps))
         out.append((video, "replaced" if best else "transcoded", video))
 
-    def last(v: int) -> int:
+    def last(v):
         while v in repoint:
             v = repoint[v]
         return v
@@ -44,36 +49,24 @@ def fold(videos: list[tuple], similar: dict[tuple[int, int], float], threshold:
     return [(v, o, t, last(t)) for v, o, t in out]
 
 
-def components(videos: DataFrame, links: DataFrame) -> DataFrame:
-    """video, comp: least video reachable over links (a < b); each round is written to the checkpoint folder."""
-    sc = videos.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(videos.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mediacat-"))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    label = videos.select("video", F.col("video").alias("comp"))
-    while True:
-        least = both.join(label.withColumnRenamed("video", "a"), "a").groupBy("b").agg(F.min("comp").alias("near"))
-        jump = label.select(F.col("video").alias("_v"), F.col("comp").alias("_far"))
-        step = label.join(least, F.col("video") == F.col("b"), "left").select("video", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        step = step.join(jump, F.col("comp") == F.col("_v")).select("video", "was", F.least("comp", "_far").alias("comp")).checkpoint()
-        label = step.select("video", "comp")
-        if step.filter("was <> comp").isEmpty():
-            return label
-
-
 def greedy(videos: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """video, outcome, target, final; videos: video, width, height, kbps, in order of video; links: a, b, similarity with a < b."""
-    comp = components(videos, links)
-    v = videos.join(comp, "video").select("comp", "video", (F.col("width").cast("long") * F.col("height")).alias("pixels"), "kbps")
-    e = links.join(comp.select(F.col("video").alias("a"), "comp"), "a").select("comp", "a", "b", "similarity")
+    """video, outcome, target, final.
+
+    videos: video (a number or text, judged in its order), width, height, kbps, and known
+    (boolean) if some are entries from the start; links: a, b, similarity with a < b.
+    """
+    comp = stored(components(videos.select(F.col("video").alias("id"), F.col("video").alias("comp")), links).select(F.col("id").alias("video"), "comp"))
+    known = F.col("known") if "known" in videos.columns else F.lit(False)
+    v = videos.withColumn("_known", known).join(comp, "video").select("comp", "video", (F.col("width").cast("long") * F.col("height")).alias("pixels"), "kbps", F.col("_known").alias("known"))
+    e = links.join(comp.select(F.col("video").alias("a"), F.col("comp").alias("of")), "a").select("of", "a", "b", "similarity")
 
     def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(a), int(p), None if pd.isna(k) else int(k)) for a, p, k in left.sort_values("video")[["video", "pixels", "kbps"]].itertuples(index=False)]
-        similar = {(int(a), int(b)): float(s) for a, b, s in right[["a", "b", "similarity"]].itertuples(index=False)}
+        rows = [(v, int(p), None if pd.isna(k) else int(k), bool(old)) for v, p, k, old in left.sort_values("video")[["video", "pixels", "kbps", "known"]].itertuples(index=False)]
+        similar = {(a, b): float(s) for a, b, s in right[["a", "b", "similarity"]].itertuples(index=False)}
         return pd.DataFrame(fold(rows, similar, threshold), columns=["video", "outcome", "target", "final"])
 
-    linked = e.select("comp").distinct()
-    alone = v.join(linked, "comp", "left_anti").select("video", F.lit("transcoded").alias("outcome"), F.col("video").alias("target"), F.col("video").alias("final"))
-    return v.join(linked, "comp", "left_semi").groupBy("comp").cogroup(e.groupBy("comp")).applyInPandas(replay, SCHEMA).unionByName(alone)
+    kind = videos.schema["video"].dataType.simpleString()
+    linked = e.select(F.col("of").alias("comp")).distinct()
+    alone = v.join(linked, "comp", "left_anti").select("video", F.when(F.col("known"), "known").otherwise("transcoded").alias("outcome"), F.col("video").alias("target"), F.col("video").alias("final"))
+    folded = v.join(linked, "comp", "left_semi").groupBy("comp").cogroup(e.groupBy("of")).applyInPandas(replay, f"video {kind}, outcome string, target {kind}, final {kind}")
+    return folded.unionByName(alone)

@@ -29,27 +29,44 @@ def _banded(f: DataFrame, key: str, count: int) -> DataFrame:
     return frames.select(key, "frame", F.inline(hashing.bands(F.col("h"), count)))
 
 
-def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity of all left and right videos (video, hashes, n) at the threshold or above, lengths near.
+def sequences(videos: DataFrame) -> DataFrame:
+    """videos (video, hashes, n) with `sequence`: what videos of the same hashes share (128 bits and the length)."""
+    return videos.withColumn("sequence", F.struct(F.xxhash64("hashes").alias("h"), F.xxhash64(F.lit("2"), F.col("hashes")).alias("k"), F.col("n").cast("int").alias("n")))
+
+
+def sequence_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """sa, sb, similarity of all distinct sequences (see `sequences`) of the two sides at the threshold or above, lengths near.
 
-    Equal sequences meet once: each side is joined by distinct sequence and expanded after.
+    A sequence stands for all its videos, so a hot one is one row a side.
     """
     count = hashing.band_count(threshold)
-    name = F.xxhash64("hashes")
-    sides = []
-    for df, k in ((left, "a"), (right, "b")):
-        named = df.select(F.col("video").alias(k), "hashes", "n").withColumn(f"s{k}", F.struct(name, "n"))
-        sides.append((named, named.groupBy(f"s{k}").agg(F.first("hashes").alias("hashes"))))
-    (la, sa), (lb, sb) = sides
-    met = _banded(sa, "sa", count).join(_banded(sb, "sb", count), ["frame", "band", "value"]).select("sa", "sb").distinct()
-    met = met.withColumns({"na": F.col("sa.n"), "nb": F.col("sb.n")}).filter(near_length("na", "nb"))
+    sa, sb = (df.groupBy(F.col("sequence").alias(k)).agg(F.first("hashes").alias("hashes")) for df, k in ((left, "sa"), (right, "sb")))
+    met = _banded(sa, "sa", count).join(_banded(sb, "sb", count), ["frame", "band", "value"]).filter(near_length("sa.n", "sb.n")).select("sa", "sb").distinct()
     both = met.join(sa.withColumnRenamed("hashes", "ha"), "sa").join(sb.withColumnRenamed("hashes", "hb"), "sb")
-    close = both.withColumn("similarity", hashing.similarity(F.col("ha"), F.col("hb"))).filter(F.col("similarity") >= threshold).select("sa", "sb", "similarity")
-    return close.join(la.select("a", "sa"), "sa").join(lb.select("b", "sb"), "sb").select("a", "b", "similarity")
+    return both.withColumn("similarity", hashing.similarity(F.col("ha"), F.col("hb"))).filter(F.col("similarity") >= threshold).select("sa", "sb", "similarity")
+
+
+def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity of all left and right videos (video, hashes, n) at the threshold or above: every pair of copies is a row, so for reports, not for choosing."""
+    left, right = sequences(left), sequences(right)
+    close = sequence_pairs(left, right, threshold)
+    return close.join(left.select(F.col("video").alias("a"), F.col("sequence").alias("sa")), "sa").join(right.select(F.col("video").alias("b"), F.col("sequence").alias("sb")), "sb").select("a", "b", "similarity")
 
 
 def best(probes: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, similarity: the most similar index video (video, hashes, n, insert_seq) of each probe; the earliest on ties."""
-    found = pairs(probes, index, threshold).join(index.select(F.col("video").alias("b"), "insert_seq"), "b")
-    top = F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("insert_seq")))
-    return found.groupBy("a").agg(top.alias("t")).select("a", "t.b", "t.similarity")
+    """a, b, similarity: the most similar index video (video, hashes, n, insert_seq) of each probe; the earliest on ties.
+
+    The choice is made among distinct sequences, each standing for its earliest video; probes are joined to it after.
+    """
+    probes, index = sequences(probes), sequences(index)
+    first = index.groupBy(F.col("sequence").alias("sb")).agg(F.min(F.struct("insert_seq", "video")).alias("first"))
+    found = sequence_pairs(probes, index, threshold).join(first, "sb")
+    top = F.max_by(F.struct(F.col("first.video").alias("b"), "similarity"), F.struct("similarity", -F.col("first.insert_seq")))
+    chosen = found.groupBy(F.col("sa").alias("sequence")).agg(top.alias("t"))
+    return probes.join(chosen, "sequence").select(F.col("video").alias("a"), "t.b", "t.similarity")
+
+
+def links(videos: DataFrame, others: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, similarity with a < b: every video of `videos` against itself and `others` (video, hashes, n)."""
+    found = pairs(videos, videos.unionByName(others), threshold).filter("a <> b")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct()

@@ -2,18 +2,23 @@
 
 A mutation takes the table as it was and the changed rows, and returns the table as it will
 be: a shuffle on the key for the rows of both sides, nothing on the driver. `TableStore`
-writes each version to a directory of its own and then moves one small pointer file, so a
-reader sees the old table or the new one, never a half-written one.
+writes each version to a directory of its own and then creates one empty file, whose name
+holds a number and the version; the largest number whose version is complete is the table. So
+a reader sees the old table or the new one, never a half-written one, and a writer that stops
+at any step leaves the old one in place.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_POINTER = re.compile(r"_at-([0-9]{12})-([0-9a-f]{32})")
+
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """rows replace those of their keys; keys of rows must be unique."""
@@ -55,28 +60,52 @@ class TableStore:
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _listed(self, name: str) -> tuple[list[tuple[int, str]], set[str]]:
+        """Pointers (number, version) from the latest on, and the versions whose directory is complete."""
+        at = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(at):
+            return [], set()
+        pointers, whole = [], set()
+        for entry in self._fs.listStatus(at):
+            base = os.path.basename(entry.getPath().toString())
+            if entry.isDirectory():
+                if self._fs.exists(self._path(f"{self.root}/{name}/{base}/_SUCCESS")):
+                    whole.add(base)
+            elif m := _POINTER.fullmatch(base):
+                pointers.append((int(m.group(1)), m.group(2)))
+        return sorted(pointers, reverse=True), whole
+
     def _current(self, name: str) -> str | None:
-        at = f"{self.root}/{name}/CURRENT"
-        if not self._fs.exists(self._path(at)):
-            return None
-        return self.spark.read.text(at).first()[0]
+        pointers, whole = self._listed(name)
+        version = next((v for _, v in pointers if v in whole), None)
+        if version is None and (whole or pointers):
+            raise RuntimeError(f"table {name} under {self.root} has files but no readable version")
+        return version
 
     def read(self, name: str, schema: str) -> DataFrame:
-        """The table, or an empty one if there is none yet."""
+        """The table, or an empty one if none was ever written. Raises where versions are there and none is pointed to."""
         version = self._current(name)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}") if version else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version; the one before it stays until the next write, for readers that have begun."""
-        version, before = uuid.uuid4().hex, self._current(name)
+        """A new version; the one before it stays until the next write, for readers that have begun. One writer at a time (see `locking`)."""
+        version = uuid.uuid4().hex
         df.write.parquet(f"{self.root}/{name}/{version}")
-        stage = self._path(f"{self.root}/{name}/.next-{version}")
-        out = self._fs.create(stage, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        current = self._path(f"{self.root}/{name}/CURRENT")
-        self._fs.delete(current, False)
-        self._fs.rename(stage, current)
-        for old in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if old.isDirectory() and os.path.basename(old.getPath().toString()) not in (version, before):
-                self._fs.delete(old.getPath(), True)
+        self._point(name, version)
+        self._sweep(name)
+
+    def _point(self, name: str, version: str) -> None:
+        pointers, _ = self._listed(name)
+        number = pointers[0][0] + 1 if pointers else 1
+        self._fs.create(self._path(f"{self.root}/{name}/_at-{number:012d}-{version}"), False).close()
+
+    def _sweep(self, name: str) -> None:
+        """Removes all but the two latest complete versions: first what points to a version, then the version."""
+        pointers, whole = self._listed(name)
+        kept = [v for _, v in pointers if v in whole][:2]
+        for number, version in pointers:
+            if version not in kept:
+                self._fs.delete(self._path(f"{self.root}/{name}/_at-{number:012d}-{version}"), False)
+        for entry in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            if entry.isDirectory() and os.path.basename(entry.getPath().toString()) not in kept:
+                self._fs.delete(entry.getPath(), True)

@@ -13,14 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediacat.functions import keys
-from mediacat.operators import cleanup, gates, state
+from mediacat.functions import hashing, keys, media
+from mediacat.operators import cleanup, gates, resolve, scratch, similar, state
 from mediacat.sources import listing
 
 MAPPING = "source_key string, source_etag string, source_size long, source_last_modified string, content_id string, hls_root string, encoded_at string, encoder_version string"
 IMAGE_MAPPING = "source_key string, source_etag string, source_size long, pdq_hash string, quality int, hashed_at string, hasher_version string"
 TOMBSTONE = "source_key string, source_etag string, source_size long, error string, failed_at string, attempts int, encoder_version string"
 OUTPUT = "content_id string, rel_path string"
+INDEX = "content_id string, interval_seconds double, hash_count int, width int, height int, video_bitrate_kbps int, encoded_at string, insert_seq long"
+BLOB = "content_id string, blob binary"
+_RUNG = "name:string,width:int,height:int,video_bitrate_kbps:int,audio_bitrate_kbps:int"
+METADATA = f"content_id string, encoder_version string, encoded_at string, source struct<width:int,height:int,duration_seconds:double,bitrate_kbps:int>, ladder array<struct<{_RUNG}>>"
+#: Seconds between two frames of a fingerprint.
+INTERVAL = 2.0
 
 
 @dataclass
@@ -31,6 +37,9 @@ class Pass:
     prefix: str = ""
     max_attempts: int = gates.MAX_ATTEMPTS
     budget: int | None = None
+    threshold: float = similar.THRESHOLD
+    perceptual_dry_run: bool = False
+    ladder: tuple = media.LADDER
 
     def _open(self, sources: DataFrame, mappings: DataFrame, tombstones: DataFrame) -> tuple[DataFrame, DataFrame]:
         seen = gates.blocked(gates.cached(sources, mappings), tombstones, self.max_attempts)
@@ -44,30 +53,93 @@ class Pass:
     def _tombstones(self, before: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
         return state.failed(state.remove(before, done, "source_key"), failed, self.at, self.version)
 
-    def videos(self, objects: DataFrame, content: Callable[[DataFrame], DataFrame], encode: Callable[[DataFrame], DataFrame]) -> dict:
-        """content: sources -> source_key, content_id, error; encode: source_key, content_id -> content_id, rel_path, error of new outputs."""
-        mappings, tombstones, outputs = self.store.read("mappings", MAPPING), self.store.read("tombstones", TOMBSTONE), self.store.read("outputs", OUTPUT)
+    def _resolved(self, fresh: DataFrame, seen: DataFrame, index: DataFrame, blobs: DataFrame) -> DataFrame:
+        """content_id, outcome, final (content ids) of fresh contents and known entries; fresh: source_key, content_id; seen: what was probed of them."""
+        known = index.join(blobs, "content_id").select("content_id", "width", "height", F.col("video_bitrate_kbps").alias("kbps"), hashing.blob_hashes(F.col("blob")).alias("hashes"), F.concat(F.lit("0"), F.lpad(F.col("insert_seq").cast("string"), 20, "0")).alias("video"))
+        new = fresh.join(seen, "content_id").select("content_id", "width", "height", F.col("bitrate_kbps").alias("kbps"), "hashes", F.concat(F.lit("1"), "source_key").alias("video"))
+        both = scratch.stored(known.withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False))).withColumn("n", F.size("hashes")))
+        frames = both.select("video", "hashes", "n")
+        if self.perceptual_dry_run:
+            links = self.store.spark.createDataFrame([], "a string, b string, similarity double")
+        else:
+            links = scratch.stored(similar.links(frames.join(both.filter("not known").select("video"), "video", "left_semi"), frames.join(both.filter("known").select("video"), "video", "left_semi"), self.threshold))
+        folded = resolve.greedy(both.select("video", "width", "height", "kbps", "known"), links, self.threshold)
+        name = lambda side, out: both.select(F.col("video").alias(side), F.col("content_id").alias(out))
+        return folded.join(name("video", "content_id"), "video").join(name("final", "end"), "final").select("content_id", "outcome", F.col("end").alias("final"))
+
+    def videos(self, objects: DataFrame, content: Callable[[DataFrame], DataFrame], probe: Callable[[DataFrame], DataFrame], encode: Callable[[DataFrame], DataFrame], leased: DataFrame | None = None) -> dict:
+        """One pass over the videos.
+
+        content: sources -> source_key, content_id, error. probe: source_key, content_id ->
+        content_id, width, height, duration_seconds, bitrate_kbps, hashes, error. encode: source_key, content_id ->
+        content_id, rel_path, error of new outputs. leased: contents (content_id) that other workers have at hand.
+
+        Bytes with an output are deduplicated; new contents are matched with the index in the
+        order of their first keys, and one that another of this pass replaces at once is not
+        encoded. If an encoding fails, the contents that were decided by it are decided again.
+        """
+        read_table = self.store.read
+        mappings, tombstones, outputs = read_table("mappings", MAPPING), read_table("tombstones", TOMBSTONE), read_table("outputs", OUTPUT)
+        index, blobs, metadata = read_table("index", INDEX), read_table("blobs", BLOB), read_table("metadata", METADATA)
         skipped, work = self._open(listing.scan(objects, self.prefix), mappings, tombstones)
-        read = work.join(content(work), "source_key").checkpoint()
-        fresh = gates.canonical(read.filter("error is null")).join(outputs.filter("rel_path = 'master.m3u8'").select("content_id"), "content_id", "left_anti")
-        made = encode(fresh.select("source_key", "content_id")).checkpoint()
-        broken = made.filter("error is not null").groupBy("content_id").agg(F.first("error").alias("_broken"))
-        first = fresh.select("content_id", F.col("source_key").alias("_first"))
-        judged = read.join(broken, "content_id", "left").join(first, "content_id", "left").withColumn("error", F.coalesce("error", "_broken"))
-        outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("source_key") == F.col("_first"), "processed").otherwise("deduped")
-        judged = judged.withColumn("outcome", outcome).checkpoint()
-        done, failed = judged.filter("error is null"), judged.filter("error is not null")
+        read = scratch.stored(work.join(content(work), "source_key"))
+        done_before = outputs.filter("rel_path = 'master.m3u8'").select("content_id")
+        others = leased if leased is not None else self.store.spark.createDataFrame([], "content_id string")
+        first = gates.canonical(read.filter("error is null")).join(done_before, "content_id", "left_anti").select("source_key", "content_id")
+        busy = first.join(others.select("content_id").distinct(), "content_id", "left_semi").select("content_id")
+        first = scratch.stored(first.join(others.select("content_id"), "content_id", "left_anti"))
+        seen = scratch.stored(probe(first))
+        broken = seen.filter("error is not null").select("content_id", "error")
+        made = None
+        while True:
+            left = first.join(broken.select("content_id"), "content_id", "left_anti")
+            found = scratch.stored(self._resolved(left, seen.filter("error is null"), index, blobs))
+            stays = found.filter("outcome in ('transcoded', 'replaced') and content_id = final").select("content_id")
+            need = left.join(stays, "content_id", "left_semi")
+            if made is not None:
+                need = need.join(made.select("content_id"), "content_id", "left_anti")
+                if need.isEmpty():
+                    break
+            new = scratch.stored(encode(need))
+            made = new if made is None else scratch.stored(made.unionByName(new))
+            broken = broken.unionByName(new.filter("error is not null").groupBy("content_id").agg(F.first("error").alias("error")))
+            if new.filter("error is not null").isEmpty():
+                break
+        decided = found.filter("outcome <> 'known'").select("content_id", "outcome", "final")
+        kept = scratch.stored(decided.filter("content_id = final"))
+        moves = found.filter("outcome = 'known' and content_id <> final").select(F.col("content_id").alias("old"), F.col("final").alias("new"))
+        moves = scratch.stored(moves)
+        gone = moves.select(F.col("old").alias("content_id"))
+        judged = (
+            read.join(broken.withColumnRenamed("error", "_broken"), "content_id", "left")
+            .join(busy.withColumn("_busy", F.lit(True)), "content_id", "left")
+            .join(decided.select("content_id", F.col("outcome").alias("_how"), "final"), "content_id", "left")
+            .join(first.select("content_id", F.col("source_key").alias("_first")), "content_id", "left")
+        )
+        outcome = F.when(F.coalesce("error", "_broken").isNotNull(), "failed").when(F.col("_busy"), "busy").when((F.col("source_key") == F.col("_first")) & (F.col("_how") != "deduped"), "processed").otherwise("deduped")
+        judged = scratch.stored(judged.withColumn("error", F.coalesce("error", "_broken")).withColumn("outcome", outcome).withColumn("content_id", F.coalesce("final", "content_id")))
+        done, failed = judged.filter("outcome in ('processed', 'deduped')"), judged.filter("outcome = 'failed'")
         rows = done.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.col("last_modified").cast("string").alias("source_last_modified"), "content_id", keys.by_id_prefix(F.col("content_id")).alias("hls_root"), F.lit(self.at).alias("encoded_at"), F.lit(self.version).alias("encoder_version"))
-        self.store.write("outputs", outputs.unionByName(made.filter("error is null").select("content_id", "rel_path")))
+        # numbers grow with the sort's order; gaps do not matter
+        entries = scratch.stored(kept.select("content_id").join(seen.drop("error"), "content_id").join(first, "content_id").orderBy("source_key").withColumn("place", F.monotonically_increasing_id()))
+        new_index = entries.select("content_id", F.lit(INTERVAL).alias("interval_seconds"), F.size("hashes").alias("hash_count"), "width", "height", F.col("bitrate_kbps").alias("video_bitrate_kbps"), F.lit(self.at).alias("encoded_at"), F.col("place").alias("insert_seq"))
+        new_blobs = entries.select("content_id", hashing.to_blob(F.lit(INTERVAL), F.col("hashes")).alias("blob"))
+        new_metadata = entries.select("content_id", F.lit(self.version).alias("encoder_version"), F.lit(self.at).alias("encoded_at"), F.struct("width", "height", "duration_seconds", "bitrate_kbps").alias("source"), media.effective_ladder(F.col("width"), F.col("height"), media.ladder(self.ladder)).alias("ladder"))
+        new_outputs = made.filter("error is null").join(kept.select("content_id"), "content_id", "left_semi").select("content_id", "rel_path")
+        self.store.write("outputs", state.remove(outputs, gone, "content_id").unionByName(new_outputs))
+        self.store.write("blobs", state.upsert(state.remove(blobs, gone, "content_id"), new_blobs, "content_id"))
+        self.store.write("index", state.upsert_last(state.remove(index, gone, "content_id"), new_index, "content_id"))
+        self.store.write("metadata", state.upsert(state.remove(metadata, gone, "content_id"), new_metadata, "content_id"))
         self.store.write("tombstones", self._tombstones(tombstones, done, failed.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), "error")))
-        self.store.write("mappings", state.upsert(mappings, rows, "source_key"))
+        moved = state.repointed(mappings, moves, self.version, keys.by_id_prefix(F.col("content_id")))
+        self.store.write("mappings", state.upsert(moved, rows, "source_key"))
         return self._summary(skipped.unionByName(judged.select("source_key", "outcome")))
 
     def images(self, objects: DataFrame, hasher: Callable[[DataFrame], DataFrame]) -> dict:
         """hasher: sources -> source_key, pdq_hash, quality, error. Images are neither deduplicated nor leased."""
         mappings, tombstones = self.store.read("image_mappings", IMAGE_MAPPING), self.store.read("image_tombstones", TOMBSTONE)
         skipped, work = self._open(listing.scan(objects, self.prefix, keys.is_image), mappings, tombstones)
-        read = work.join(hasher(work), "source_key").checkpoint()
+        read = scratch.stored(work.join(hasher(work), "source_key"))
         done, failed = read.filter("error is null"), read.filter("error is not null")
         rows = done.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), "pdq_hash", "quality", F.lit(self.at).alias("hashed_at"), F.lit(self.version).alias("hasher_version"))
         self.store.write("image_tombstones", self._tombstones(tombstones, done, failed.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), "error")))
@@ -78,12 +150,13 @@ class Pass:
         """Counters, and the plan of objects to delete; all live keys count, of whatever type."""
         live = listing.scan(objects, where=None).select("source_key")
         mappings, outputs = self.store.read("mappings", MAPPING), self.store.read("outputs", OUTPUT)
-        counts = cleanup.refcounts(mappings, live, self.prefix).checkpoint()
-        plan = cleanup.gc_plan(counts, outputs).checkpoint()
+        counts = scratch.stored(cleanup.refcounts(mappings, live, self.prefix))
+        plan = scratch.stored(cleanup.gc_plan(counts, outputs))
         summary = cleanup.summary(counts, plan).first().asDict()
         if not dry_run:
             dead = counts.filter("action = 'collect'")
-            self.store.write("outputs", state.remove(outputs, dead, "content_id"))
+            for name, schema in (("outputs", OUTPUT), ("blobs", BLOB), ("index", INDEX), ("metadata", METADATA)):
+                self.store.write(name, state.remove(self.store.read(name, schema), dead, "content_id"))
             self.store.write("mappings", state.remove(mappings, cleanup.orphans(mappings, live, self.prefix), "source_key"))
         return summary, plan
 
@@ -95,3 +168,13 @@ class Pass:
         if not dry_run:
             self.store.write("image_mappings", state.remove(mappings, gone, "source_key"))
         return n
+
+
+def run_pairs(passes: dict[str, Callable[[], dict]]) -> dict[str, dict]:
+    """Counters of each pair's pass, run in order, and under 'total' their sum. A pair that raises stops the run."""
+    out = {name: run() for name, run in passes.items()}
+    total: dict[str, int] = {}
+    for summary in out.values():
+        for k, v in summary.items():
+            total[k] = total.get(k, 0) + v
+    return {**out, "total": total}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.functions import hashing, keys, media
@@ -180,14 +180,9 @@ def hamming(spark, sf):
     return X.own_frames(spark, sf).select("video", F.get("hashes", F.lit(0)).alias("first"), F.posexplode("hashes").alias("frame", "x")).select("video", "frame", hashing.hamming(F.col("first"), F.col("x")).cast("int").alias("distance"), hashing.hex64(F.col("x")).alias("h"))
 
 
-@query("SELECT doc_id, lower(lpad(to_hex(list_sum(list_transform(range(64), lambda i: CASE WHEN pixels[(i // 8) * 9 + i % 8 + 1] > pixels[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT), 16, '0')) AS hash FROM v_pixels")
-def dhash(spark, sf):
-    return X.pixels(spark, sf).select("doc_id", hashing.hex64(hashing.dhash(F.col("pixels"))).alias("hash"))
-
-
 @query("SELECT doc_id, frame, lower(lpad(to_hex(list_sum(list_transform(range(64), lambda i: CASE WHEN pixels[(i // 8) * 9 + i % 8 + 1] > pixels[(i // 8) * 9 + i % 8 + 2] THEN (1::UBIGINT << i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT), 16, '0')) AS hash FROM v_frame_pixels")
-def frame_dhash(spark, sf):
-    """All frames of whole texts; dhash has the first frame only."""
+def dhash(spark, sf):
+    """All frames of whole texts."""
     return X.frame_pixels(spark, sf).select("doc_id", "frame", hashing.hex64(hashing.dhash(F.col("pixels"))).alias("hash"))
 
 
@@ -215,19 +210,30 @@ def perceptual_match(spark, sf):
     return similar.best(f.filter("kind > 0"), index).withColumn("similarity", F.round("similarity", 9))
 
 
-@query(None)
+_TURNED = " || ".join(f"substr(lpad(lower(to_hex(h)), 16, '0'), {i}, 2)" for i in range(15, 0, -2))
+#: 2.0 as four little-endian bytes.
+_TWO = "00000040"
+
+
+@query(f"""SELECT video, 8 + 8 * n AS n_bytes, 2.0::DOUBLE AS interval_seconds, true AS same, '{_TWO}' || substr(lpad(lower(to_hex(n)), 16, '0'), 15, 2) || '000000' || coalesce(list_aggregate(list_transform(hashes, lambda h: {_TURNED}), 'string_agg', ''), '') AS blob,
+  coalesce(list_aggregate(list_transform(hashes, lambda h: lower(lpad(to_hex(h), 16, '0'))), 'string_agg', ','), '') AS hashes FROM v_fingerprint""")
 def fingerprint_roundtrip(spark, sf):
-    f = X.fingerprint(spark, sf).withColumn("blob", hashing.to_blob(F.lit(2.0), F.col("hashes")))
-    back = hashing.blob_hashes(F.col("blob"))
-    return f.select("video", F.length("blob").alias("n_bytes"), F.transform(back, hashing.hex64).alias("hashes"), (back == F.col("hashes")).alias("same"))
+    f = X.fingerprint(spark, sf).withColumn("raw", hashing.to_blob(F.lit(2.0), F.col("hashes")))
+    f = f.withColumns({"back": hashing.blob_hashes(F.col("raw")), "interval_seconds": hashing.blob_interval(F.col("raw")).cast("double")})
+    return f.select("video", F.length("raw").cast("long").alias("n_bytes"), "interval_seconds", (F.col("back") == F.col("hashes")).alias("same"), F.lower(F.hex("raw")).alias("blob"), F.array_join(F.transform("back", hashing.hex64), ",").alias("hashes"))
+
+
+def _dims() -> tuple[Column, Column, Column]:
+    """Width, height and bit rate of a video of the frame-hash tables."""
+    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("video") % 6).cast("int") + 1)
+    return pick(X.WIDTHS), pick(X.HEIGHTS), F.when(F.col("video") % 7 != 0, (500 + F.col("video") % 4000).cast("int"))
 
 
 @query(None)
 def greedy_resolve(spark, sf):
     f = X.fingerprint(spark, sf)
     links = similar.pairs(f, f).filter("a < b")
-    pick = lambda v: F.element_at(F.array(*map(F.lit, v)), (F.col("video") % 6).cast("int") + 1)
-    v = f.select("video", pick(X.WIDTHS).alias("width"), pick(X.HEIGHTS).alias("height"), F.when(F.col("video") % 7 != 0, (500 + F.col("video") % 4000).cast("int")).alias("kbps"))
+    v = f.select("video", *[c.alias(n) for c, n in zip(_dims(), ("width", "height", "kbps"), strict=True)])
     return resolve.greedy(v, links, similar.THRESHOLD)
 
 
@@ -365,9 +371,11 @@ def image_cleanup_apply(spark, sf):
 
 
 # keyed state
-@query("SELECT content_id, source_key FROM v_mapping")
+@query(f"SELECT content_id, source_key FROM v_mapping WHERE content_id IN (SELECT content_id FROM {_COUNTS} WHERE action = 'retain')")
 def mappings_for_content(spark, sf):
-    return X.mapping(spark, sf).join(X.mapping(spark, sf).select("content_id").distinct(), "content_id").select("content_id", "source_key")
+    """Every mapping, live or not, of the contents that an orphan points to and that stay."""
+    kept = cleanup.refcounts(X.mapping(spark, sf), X.live(spark, sf)).filter("action = 'retain'")
+    return X.mapping(spark, sf).join(kept, "content_id", "left_semi").select("content_id", "source_key")
 
 
 _MAP = "source_key, source_etag, source_size, content_id, hls_root, encoded_at, encoder_version"
@@ -450,3 +458,46 @@ def run_outcomes(spark, sf):
 @query("SELECT " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in gates.OUTCOMES) + f", count(*) AS total FROM {_OUTCOME}")
 def run_summary(spark, sf):
     return gates.summary(run_outcomes(spark, sf))
+
+
+@query("SELECT split_part(source_key, '/', 1) AS pair, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in gates.OUTCOMES) + f", count(*) AS total FROM {_OUTCOME} GROUP BY ROLLUP (split_part(source_key, '/', 1))")
+def pairs_summary(spark, sf):
+    """Counters of each bucket pair (here: the first part of the key) and, without a pair, their sum."""
+    return gates.pair_summary(run_outcomes(spark, sf).withColumn("pair", F.substring_index("source_key", "/", 1)))
+
+
+_DIMS = f"SELECT video, {X._case(X.WIDTHS, 'video % 6')} AS w, {X._case(X.HEIGHTS, 'video % 6')} AS h, CASE WHEN video % 7 <> 0 THEN (500 + video % 4000)::INTEGER END AS kbps FROM v_fingerprint"
+
+
+@query(f"""SELECT p.video, coalesce(m.b, p.video) AS target, CASE WHEN m.b IS NULL THEN 'processed' WHEN CASE WHEN x.w::BIGINT * x.h <> y.w::BIGINT * y.h THEN x.w::BIGINT * x.h > y.w::BIGINT * y.h ELSE coalesce(x.kbps > y.kbps, false) END THEN 'replaced' ELSE 'deduped' END AS outcome
+FROM (SELECT video FROM v_fingerprint WHERE video >= 100000) p LEFT JOIN (SELECT a, arg_max(b, s * 1000000 - b / 10000000.0) AS b FROM (SELECT a.video AS a, b.video AS b, {_SIM} AS s FROM v_fingerprint a JOIN v_fingerprint b ON a.video >= 100000 AND b.video < 100000
+  WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7) WHERE s >= 0.95 GROUP BY a) m ON m.a = p.video
+LEFT JOIN ({_DIMS}) x ON x.video = p.video LEFT JOIN ({_DIMS}) y ON y.video = m.b""")
+def perceptual_outcomes(spark, sf):
+    """Each copy against the originals as index: onto which entry it goes, or which it replaces."""
+    f = X.fingerprint(spark, sf)
+    index = f.filter("kind = 0").withColumn("insert_seq", F.col("video"))
+    met = similar.best(f.filter("kind > 0"), index).select(F.col("a").alias("video"), "b")
+    dims = lambda k, v: f.select(F.col("video").alias(v), *[c.alias(n + k) for c, n in zip(_dims(), ("w", "h", "r"), strict=True)])
+    both = f.filter("kind > 0").select("video").join(met, "video", "left").join(dims("x", "video"), "video").join(dims("y", "b"), "b", "left")
+    higher = media.higher_quality(F.col("wx"), F.col("hx"), F.col("rx"), F.col("wy"), F.col("hy"), F.col("ry"))
+    return both.select("video", F.coalesce("b", "video").alias("target"), F.when(F.col("b").isNull(), "processed").when(higher, "replaced").otherwise("deduped").alias("outcome"))
+
+
+_MOVES = "(SELECT content_id AS old, 'psig:' || md5(content_id) AS new FROM v_index WHERE width >= 1000)"
+
+
+@query(f"""SELECT 'mapping' AS kind, source_key AS key, coalesce(new, content_id) AS content_id FROM v_mapping LEFT JOIN {_MOVES} ON content_id = old
+UNION ALL SELECT 'index', content_id, content_id FROM v_index WHERE content_id NOT IN (SELECT old FROM {_MOVES})
+UNION ALL SELECT 'output', 'by-id/' || content_id || '/' || rel_path, content_id FROM v_output WHERE content_id NOT IN (SELECT old FROM {_MOVES})
+UNION ALL SELECT 'deleted', 'by-id/' || content_id || '/' || rel_path, content_id FROM v_output WHERE content_id IN (SELECT old FROM {_MOVES})""")
+def repoint_gc(spark, sf):
+    """What there is after replaced contents' mappings have moved and their outputs and index entries have gone."""
+    moves = X.index(spark, sf).filter("width >= 1000").select(F.col("content_id").alias("old"), keys.content_id("psig", F.md5("content_id")).alias("new"))
+    outputs = X.output(spark, sf)
+    mappings = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.by_id_prefix(F.col("content_id")))
+    gone = moves.select(F.col("old").alias("content_id"))
+    key = F.concat(keys.by_id_prefix(F.col("content_id")), "rel_path")
+    row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("key"), "content_id")
+    out = row(mappings, "mapping", F.col("source_key")).unionByName(row(state.remove(X.index(spark, sf), gone, "content_id"), "index", F.col("content_id")))
+    return out.unionByName(row(state.remove(outputs, gone, "content_id"), "output", key)).unionByName(row(outputs.join(gone, "content_id", "left_semi"), "deleted", key))

@@ -71,7 +71,7 @@ def image_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's error events are the failed attempts on the object whose document has the user's number."""
-    failed = _table(spark, sf_dir, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("doc_id")).agg(F.least(F.count(F.lit(1)), F.lit(9)).cast("int").alias("attempts"))
+    failed = _table(spark, sf_dir, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("attempts"))
     s = source(spark, sf_dir).join(failed, "doc_id")
     attempts = F.when(_digit(F.col("source_key"), 4) < "8", F.lit(2)).otherwise(F.col("attempts"))
     return s.select("source_key", F.replace("etag", F.lit('"'), F.lit("")).alias("source_etag"), F.col("size").alias("source_size"), F.lit("decode failed").alias("error"), F.lit(ENCODED_AT).alias("failed_at"), attempts.alias("attempts"), F.lit(VERSION).alias("encoder_version"))
@@ -87,12 +87,6 @@ def output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping(spark, sf_dir).select("content_id").distinct().select("content_id", F.explode(F.array(*map(F.lit, OUTPUT_FILES))).alias("rel_path"))
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, pixels: code points of the first 72 characters of texts that have them."""
-    d = _table(spark, sf_dir, "documents").filter("n_chars >= 72")
-    return d.select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.substring("text", i, F.lit(1)))).alias("pixels"))
-
-
 def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, frame, pixels: code points of all whole frames of 72 characters of each text."""
     pieces = F.regexp_extract_all("text", F.lit("(?s).{72}"), F.lit(0))
@@ -188,11 +182,10 @@ VIEWS = {
   FROM v_mapped WHERE {IS_VIDEO}""",
     "v_image_mapping": f"""SELECT source_key, etag AS source_etag, size AS source_size, sha256(content) AS pdq_hash, (doc_id % 101)::INTEGER AS quality, '{ENCODED_AT}' AS hashed_at, '{VERSION}' AS hasher_version FROM v_mapped WHERE {IS_IMAGE}""",
     "v_tombstone": f"""SELECT source_key, replace(etag, '"', '') AS source_etag, size AS source_size, 'decode failed' AS error, '{ENCODED_AT}' AS failed_at,
-  (CASE WHEN {_STATE.format(4)} < '8' THEN 2 ELSE least(n, 9) END)::INTEGER AS attempts, '{VERSION}' AS encoder_version
+  (CASE WHEN {_STATE.format(4)} < '8' THEN 2 ELSE n END)::INTEGER AS attempts, '{VERSION}' AS encoder_version
   FROM v_source JOIN (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) USING (doc_id)""",
     "v_live": f"SELECT source_key FROM v_source WHERE {_STATE.format(3)} > '2'",
     "v_output": f"SELECT content_id, unnest({list(OUTPUT_FILES)}) AS rel_path FROM (SELECT DISTINCT content_id FROM v_mapping)",
-    "v_pixels": "SELECT doc_id, list_transform(range(1, 73), lambda i: unicode(substr(text, i, 1))) AS pixels FROM documents WHERE n_chars >= 72",
     "v_frame_pixels": """SELECT doc_id, frame, list_transform(range(1, 73), lambda i: unicode(substr(piece, i, 1))) AS pixels
   FROM (SELECT doc_id, frame::INTEGER AS frame, substr(text, frame * 72 + 1, 72) AS piece FROM (SELECT doc_id, text, unnest(range(length(text) // 72)) AS frame FROM documents))""",
     "v_probe": f"SELECT doc_id, {_case(WIDTHS, 'doc_id % 6')} AS width, {_case(HEIGHTS, 'doc_id % 6')} AS height, CASE WHEN doc_id % 7 <> 0 THEN (500 + doc_id % 4000)::INTEGER END AS bitrate_kbps, n_chars / 10.0 AS duration_seconds, doc_id % 4 <> 0 AS has_audio FROM documents",

@@ -57,12 +57,24 @@ def test_frames(spark):
     assert one(spark, bytearray(b"x"), "binary", hashing.frames) == []
 
 
-def test_blobs():
-    for case in ((2.5, [0, 1, -1, 255]), (1.0, [])):
-        assert hashing.unpack_blob(hashing.pack_blob(*case)) == case
-    for bad in (b"1234567", hashing.pack_blob(1.0, [1, 2])[:-1]):
-        with pytest.raises(ValueError):
-            hashing.unpack_blob(bad)
+def test_blobs(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    cases = [(2.5, [1, -1, 2**63 - 1, -(2**63)]), (1.0, []), (0.0, [0]), (2.0, [5]), (0.1, [7, 8]), (1999.999, [255]), (7.999999, [256])]
+    df = spark.createDataFrame([(i, c, h) for i, (c, h) in enumerate(cases)], "i int, interval double, hashes array<long>")
+    blob = hashing.to_blob(F.col("interval"), F.col("hashes"))
+    rows = df.select("i", blob.alias("b")).select("i", "b", hashing.blob_hashes(F.col("b")).alias("h"), hashing.blob_interval(F.col("b")).alias("s")).collect()
+    for r in rows:
+        seconds, hashes = cases[r["i"]]
+        assert bytes(r["b"]) == struct.pack(f"<fI{len(hashes)}q", seconds, len(hashes), *hashes)
+        assert r["h"] == hashes and r["s"] == struct.unpack("<f", struct.pack("<f", seconds))[0]
+    none = spark.createDataFrame([(None,)], "b binary").select(hashing.blob_hashes(F.col("b")).alias("h")).first()
+    assert none["h"] is None
+    for bad in (b"1234567", struct.pack("<fI2q", 1.0, 2, 1, 2)[:-1]):
+        with pytest.raises(Exception, match="cut short"):
+            spark.createDataFrame([(bytearray(bad),)], "b binary").select(hashing.blob_hashes(F.col("b"))).collect()
 
 
 def test_bands_agree(spark):

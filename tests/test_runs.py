@@ -9,7 +9,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mediacat import config, locking, logs
+from mediacat import config, locking, logs, pipeline
 from mediacat.operators import resolve, similar, state
 from mediacat.pipeline import Pass
 from mediacat.sources import external
@@ -29,24 +29,140 @@ def _objects(spark, rows):
     return spark.createDataFrame(rows, "source_key string, etag string, size long").withColumn("last_modified", F.lit("2024-01-01").cast("timestamp"))
 
 
+def test_store_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
+    schema = "k string, v int"
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    rows = lambda v: spark.createDataFrame([("a", v)], schema)
+    value = lambda: store.read("t", schema).first()["v"]
+    store.write("t", rows(1))
+    reader = store.read("t", schema)
+    for step in ("_point", "_sweep"):
+        with monkeypatch.context() as m:
+            m.setattr(state.TableStore, step, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+            with pytest.raises(OSError):
+                store.write("t", rows(2))
+        assert value() == (1 if step == "_point" else 2)
+    # a version that was never finished is not one
+    (tmp_path / "t" / "0123").mkdir()
+    (tmp_path / "t" / f"_at-000000000099-{'0' * 32}").touch()
+    assert value() == 2 and reader.first()["v"] == 1
+    store.write("t", rows(3))
+    assert value() == 3
+    seen, stop = set(), threading.Event()
+
+    def read():
+        while not stop.is_set():
+            seen.add(store.read("t", schema).count())
+
+    watcher = threading.Thread(target=read)
+    watcher.start()
+    for v in (4, 5, 6):
+        store.write("t", rows(v))
+    stop.set()
+    watcher.join()
+    assert seen == {1} and value() == 6
+    for f in (tmp_path / "t").glob("_at-*"):
+        f.unlink()
+    with pytest.raises(RuntimeError):
+        store.read("t", schema)
+
+
+FRAMES = [0x0123456789ABCDEF, 0x7777777777777777, 0x1111222233334444, 0x0F0F0F0F0F0F0F0F, 0x5A5A5A5A5A5A5A5A]
+#: Etag of a source -> width, height, kbps, hashes.
+VIDEOS = {
+    "1": (640, 360, 500, FRAMES),
+    "2": (640, 360, 400, [h ^ 1 for h in FRAMES]),  # near to 1, not better
+    "3": (1920, 1080, 900, [h ^ 2 for h in FRAMES]),  # near to 1, better
+    "4": (640, 360, None, [~h for h in FRAMES]),
+    "5": (640, 360, None, []),
+    "6": (1280, 720, 900, [h ^ 3 for h in FRAMES]),
+}
+
+
+def _content(s):
+    return s.select("source_key", F.concat(F.lit("sha256:"), "etag").alias("content_id"), F.when(F.col("etag") == "9", "broken").alias("error"))
+
+
+def _probe(spark, fails=()):
+    known = [(f"sha256:{k}", w, h, 1.5, r, x, "no frames" if k in fails else None) for k, (w, h, r, x) in VIDEOS.items()]
+    return lambda s: s.select("content_id").join(spark.createDataFrame(known, "content_id string, width int, height int, duration_seconds double, bitrate_kbps int, hashes array<long>, error string"), "content_id")
+
+
+def _encode(fails=(), calls=None):
+    def run(s):
+        if calls is not None:
+            calls.append(sorted(r["content_id"] for r in s.collect()))
+        bad = F.col("content_id").isin([f"sha256:{k}" for k in fails])
+        return s.select("content_id", F.when(~bad, "master.m3u8").alias("rel_path"), F.when(bad, "no encoder").alias("error"))
+
+    return run
+
+
+def _maps(store):
+    return {r["source_key"]: r["content_id"].removeprefix("sha256:") for r in store.read("mappings", pipeline.MAPPING).collect()}
+
+
+def _ids(store, name, schema):
+    return sorted(r["content_id"].removeprefix("sha256:") for r in store.read(name, schema).collect())
+
+
 def test_video_passes(spark, tmp_path):
     store = state.TableStore(spark, f"file:{tmp_path}")
     run = Pass(store, "2024-01-01T00:00:00Z", "1")
-    objects = _objects(spark, [("a.mp4", '"1"', 1), ("b.mp4", '"1"', 1), ("c.mp4", '"2"', 1), ("bad.mp4", '"9"', 1), ("x.txt", '"3"', 1)])
-    content = lambda s: s.select("source_key", F.concat(F.lit("sha256:"), "etag").alias("content_id"), F.when(F.col("etag") == "9", "broken").alias("error"))
-    encode = lambda s: s.select("content_id", F.lit("master.m3u8").alias("rel_path"), F.lit(None).cast("string").alias("error"))
-    first = run.videos(objects, content, encode)
+    objects = _objects(spark, [("a.mp4", '"1"', 1), ("b.mp4", '"1"', 1), ("c.mp4", '"4"', 1), ("bad.mp4", '"9"', 1), ("x.txt", '"3"', 1)])
+    go = lambda: run.videos(objects, _content, _probe(spark), _encode())
+    first = go()
     assert (first["processed"], first["deduped"], first["failed"]) == (2, 1, 1)
-    second = run.videos(objects, content, encode)
+    second = go()
     assert (second["cached"], second["failed"]) == (3, 1)
-    run.videos(objects, content, encode)
-    fourth = run.videos(objects, content, encode)
+    go()
+    fourth = go()
     assert (fourth["cached"], fourth["errored"], fourth["failed"]) == (3, 1, 0)
+    metadata = {r["content_id"]: r for r in store.read("metadata", pipeline.METADATA).collect()}
+    assert metadata["sha256:1"]["source"]["width"] == 640 and [x["name"] for x in metadata["sha256:1"]["ladder"]] == ["360p"]
     left = objects.filter("source_key not in ('a.mp4', 'c.mp4')")
     dry, plan = run.clean(left, dry_run=True)
     assert dry == {"orphan_mappings": 2, "collected": 1, "retained": 1, "objects": 1}
-    assert [r["object_key"] for r in plan.collect()] == ["by-id/sha256:2/master.m3u8"]
+    assert [r["object_key"] for r in plan.collect()] == ["by-id/sha256:4/master.m3u8"]
+    assert _ids(store, "index", pipeline.INDEX) == _ids(store, "blobs", pipeline.BLOB) == ["1", "4"]
     assert run.clean(left)[0] == dry and run.clean(left)[0]["orphan_mappings"] == 0
+    assert _ids(store, "index", pipeline.INDEX) == _ids(store, "blobs", pipeline.BLOB) == _ids(store, "metadata", pipeline.METADATA) == ["1"]
+
+
+def test_near_duplicates_in_a_pass(spark, tmp_path):
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    run = Pass(store, "2024-01-01T00:00:00Z", "1")
+    rows = [("a.mp4", '"1"', 1), ("b.mp4", '"2"', 1), ("d.mp4", '"4"', 1), ("e.mp4", '"5"', 1)]
+    first = run.videos(_objects(spark, rows), _content, _probe(spark), _encode())
+    assert (first["processed"], first["deduped"]) == (3, 1) and _maps(store) == {"a.mp4": "1", "b.mp4": "1", "d.mp4": "4", "e.mp4": "5"}
+    # a better copy takes over: mappings move, the old output, blob and entry go; its own bytes under another key follow
+    calls = []
+    rows += [("f.mp4", '"6"', 1), ("g.mp4", '"3"', 1), ("h.mp4", '"6"', 1)]
+    second = run.videos(_objects(spark, rows), _content, _probe(spark), _encode(calls=calls))
+    assert (second["cached"], second["processed"], second["deduped"]) == (4, 2, 1)
+    assert _maps(store) == {"a.mp4": "3", "b.mp4": "3", "d.mp4": "4", "e.mp4": "5", "f.mp4": "3", "g.mp4": "3", "h.mp4": "3"}
+    assert _ids(store, "outputs", pipeline.OUTPUT) == _ids(store, "blobs", pipeline.BLOB) == _ids(store, "index", pipeline.INDEX) == ["3", "4", "5"] and calls == [["sha256:3"]]
+    seq = {r["content_id"][7:]: r["insert_seq"] for r in store.read("index", pipeline.INDEX).collect()}
+    assert seq["3"] > max(seq["4"], seq["5"])
+
+
+def test_failed_encodings_busy_contents_and_dry_runs(spark, tmp_path):
+    objects = _objects(spark, [("a.mp4", '"1"', 1), ("b.mp4", '"3"', 1), ("c.mp4", '"2"', 1), ("d.mp4", '"4"', 1), ("e.mp4", '"5"', 1)])
+    store = state.TableStore(spark, f"file:{tmp_path}/1")
+    calls = []
+    leased = spark.createDataFrame([("sha256:4",), ("sha256:77",)], "content_id string")
+    got = Pass(store, "t", "1").videos(objects, _content, _probe(spark, fails="5"), _encode(fails="3", calls=calls), leased)
+    # 3 would have replaced 1; as it fails, 1 is encoded and 2 goes onto it
+    assert (got["processed"], got["deduped"], got["failed"], got["busy"]) == (1, 1, 2, 1) and calls == [["sha256:3"], ["sha256:1"]]
+    assert _maps(store) == {"a.mp4": "1", "c.mp4": "1"}
+    assert {r["source_key"]: r["error"] for r in store.read("tombstones", pipeline.TOMBSTONE).collect()} == {"b.mp4": "no encoder", "e.mp4": "no frames"}
+    dry = state.TableStore(spark, f"file:{tmp_path}/2")
+    both = pipeline.run_pairs({"one": lambda: Pass(dry, "t", "1", perceptual_dry_run=True).videos(objects, _content, _probe(spark), _encode()), "two": lambda: {"processed": 2, "extra": 1}})
+    assert both["one"]["processed"] == 5 and both["total"]["processed"] == 7 and both["total"]["extra"] == 1
+    # an index entry whose blob is gone is skipped
+    dry.write("blobs", dry.read("blobs", pipeline.BLOB).limit(0))
+    more = Pass(dry, "t", "1").videos(_objects(spark, [("z.mp4", '"6"', 1)]), _content, _probe(spark), _encode())
+    assert more["processed"] == 1 and _maps(dry)["z.mp4"] == "6"
 
 
 def test_image_passes(spark, tmp_path):
@@ -80,6 +196,12 @@ def test_banded_join_loses_nothing(spark):
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x and y and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7 and sim(x, y) >= 0.95}
     f = spark.createDataFrame(rows, "video long, hashes array<long>").withColumn("n", F.size("hashes"))
     assert {(p["a"], p["b"]) for p in similar.pairs(f, f).filter("a < b").collect()} == want
+    index = f.filter("video % 3 = 0").withColumn("insert_seq", -F.col("video"))
+    near = lambda x, y: x and y and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7 and sim(x, y) >= 0.95
+    hashes = dict(rows)
+    chosen = {a: max(((sim(x, hashes[b]), b) for b in hashes if b % 3 == 0 and near(x, hashes[b])), default=None) for a, x in rows}
+    got = {r["a"]: (r["similarity"], r["b"]) for r in similar.best(f, index).collect()}
+    assert got == {a: c for a, c in chosen.items() if c}
 
 
 def test_index_entries_move_to_the_end(spark):
