@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mediacat.operators.scratch import stored as stored
+
 #: White space of the corpus contracts: space and the bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -27,23 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not shared:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mediacat-"))
-        shared = sc.getCheckpointDir()
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends at files that outlive any executor."""
-    path = path or f"{scratch_dir(df.sparkSession)}/mediacat-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows from here on: texts are long, and a batch is held several times."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

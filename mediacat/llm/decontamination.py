@@ -16,7 +16,8 @@ The same holds for candidates on their way back to the texts. Only built-in func
 
 Defined cases: null and short texts (under five words) have no shingles; such items are
 never found; rows sharing an id are judged each and reported once; item ids should be
-unique, rows that share one are taken as one item with the shingles of all; empty tables
+unique, rows that share one are taken as one item with the shingles of all; very long texts
+are read whole; ties between items are all reported; empty tables
 give no rows; extra columns are dropped.
 """
 

@@ -19,7 +19,8 @@ Tokens: each white-space word of a text in a plain Latin range is encoded once p
 and kept (bounded); other texts are encoded whole. Both give the tokenizer's own ids.
 
 Defined cases: null and empty texts are one end token; texts over the capacity are cut into
-full pieces and a rest; repeated rows are packed each; an empty table gives no rows; extra
+full pieces and a rest; repeated rows are packed each, and
+ties in length go by id; very long texts are read whole; an empty table gives no rows; extra
 columns are dropped.
 """
 

@@ -110,9 +110,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes(CURRENT).alias("kept"), "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ablations of all policies over the ledger of all documents."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 _SQL_BITS = " + ".join(f"CASE WHEN {r} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES.values()))
-SQL = {
-    "op1_quality_rules": f"""
+_LEDGER = f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
 w AS (SELECT row, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM t),
 g AS (SELECT row, i, list_slice(w, i, i + 4) AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
@@ -123,6 +127,12 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ \\t\
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^!?]+', '', 'g'))::BIGINT AS n_marks
   FROM t JOIN w USING (row) JOIN l USING (row) LEFT JOIN n USING (row)),
-b AS (SELECT *, ({_SQL_BITS})::BIGINT AS fail_bits FROM m)
+b AS (SELECT *, ({_SQL_BITS})::BIGINT AS fail_bits FROM m)"""
+_PAIRS = ", ".join(f"('{p}', {mask(p)}, '{r}', {1 << list(RULES).index(r)})" for p, rules in POLICIES.items() for r in rules)
+SQL = {
+    "op1_quality_rules": f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask("base")}) <> 0 AS base_failed, (fail_bits & {mask(CURRENT)}) = 0 AS kept, fail_bits FROM b""",
+    "quality_ablations": f"""{_LEDGER},
+pairs(policy, mask, rule, bit) AS (VALUES {_PAIRS})
+SELECT policy, rule, count(*) FILTER (WHERE fail_bits & mask <> 0) AS n_rejected, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & mask = bit) AS n_only FROM pairs, b GROUP BY policy, rule""",
 }

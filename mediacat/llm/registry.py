@@ -8,7 +8,8 @@ _MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing,
 
 
 def queries() -> dict:
-    return {name: getattr(m, name) for m in _MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    found = {name: getattr(m, name) for m in _MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    return {**found, "quality_ablations": quality_rules.quality_ablations}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,8 @@ Slots number a shard's rows by (first digits of md5 of the key, key), bucket by
 a shard that holds a third of all rows is still numbered by many tasks.
 
 Defined cases: a null text counts as empty (size 1, crc32 0); a null key is a key of its
-own; rows that share a key share a shard; an empty table gives no rows; other columns of
+own; rows that share a key share a shard, in an order by text hash
+and size; very long texts are hashed whole; equal scores go to the lower shard; an empty table gives no rows; other columns of
 the input are not looked at, whatever their names.
 """
 
