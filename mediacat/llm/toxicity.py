@@ -54,8 +54,6 @@ PAIRS = 2
 STEPS = 32
 #: Tokens whose kernel values a worker keeps, and texts that it scores at once.
 CACHE, SLICE = 150_000, 256
-#: What a worker's last task leaves to its next one.
-_MET: dict = {}
 START, END, LINE = "\x02", "\x03", "\x04"
 EDGES = string.punctuation + LINE
 #: Flags of a token: it ends a sentence, is a single letter, has two or three letters.
@@ -201,34 +199,40 @@ def _windows(flag: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return lo, np.minimum(lo + WINDOW, np.repeat(last, more + 1))
 
 
-class Model:
-    """A sentence's margin is its pooled kernel values to the landmarks, by their own, @ weights + bias; a text's score a sigmoid of its features."""
+class Met:
+    """Tokens that a worker has met: one object for all its tasks, so that its parts always belong together."""
 
-    def __init__(self, landmarks: list[str], norm: np.ndarray, weights: np.ndarray, bias: float, sigmoid: np.ndarray):
-        self.landmarks, self.norm, self.weights, self.bias, self.sigmoid = landmarks, norm, weights, bias, sigmoid
-        self._forget()
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        self.clear()
 
-    def _forget(self) -> None:
-        #: token -> row of its values * 8 + flags; row 0 has none
+    def clear(self) -> None:
+        #: token -> row of its values * 8 + flags, of late and before; row 0 has no value
         self.known: dict[str, int] = {}
         self.old: dict[str, int] = {}
         self.rows: dict[bytes, int] = {bytes(len(self.landmarks)): 0}
         self.values = np.zeros((1, len(self.landmarks)), np.uint8)
 
+
+#: The worker's own.
+_MET: list[Met] = []
+
+
+class Model:
+    """A sentence's margin is its pooled kernel values to the landmarks, by their own, @ weights + bias; a text's score a sigmoid of its features."""
+
+    def __init__(self, landmarks: list[str], norm: np.ndarray, weights: np.ndarray, bias: float, sigmoid: np.ndarray):
+        self.landmarks, self.norm, self.weights, self.bias, self.sigmoid = landmarks, norm, weights, bias, sigmoid
+        self.met = Met(landmarks)
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "old", "rows", "values")}
+        return {k: v for k, v in self.__dict__.items() if k != "met"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        if _MET.get("landmarks") == self.landmarks:  # an earlier task of this worker met tokens
-            self.known, self.old, self.rows, self.values = _MET["met"]
-        else:
-            self._forget()
-
-    def remember(self) -> None:
-        """Called where a worker's task ends: its next task of these landmarks starts with the tokens met."""
-        _MET.update(landmarks=self.landmarks, met=(self.known, self.old, self.rows, self.values))
-        released()
+        # an earlier task of this worker may have met tokens with the same landmarks
+        self.met = _MET[0] if _MET and _MET[0].landmarks == self.landmarks else Met(self.landmarks)
+        _MET[:] = [self.met]
 
     def _learn(self, new: list[str]) -> None:
         """Kernel values of parts, and of neighbours that are read as one ('a b'): the largest of their readings."""
@@ -248,32 +252,32 @@ class Model:
         for (k, _), a, b in zip(other, first[:-1], first[1:], strict=True):
             values[k] = got[a:b].max(0, initial=0)
         row = np.zeros(len(new), np.int64)
-        added = []
+        added: dict[bytes, int] = {}
         for k in np.flatnonzero(values.any(1)).tolist():
             raw = values[k].tobytes()
-            row[k] = at = self.rows.setdefault(raw, len(self.rows))
-            if at == len(self.values) + len(added):
-                added.append(raw)
+            at = self.met.rows.get(raw)
+            row[k] = added.setdefault(raw, len(self.met.rows) + len(added)) if at is None else at
         if added:
-            self.values = np.concatenate([self.values, np.frombuffer(b"".join(added), np.uint8).reshape(len(added), -1)])
+            self.met.values = np.concatenate([self.met.values, np.frombuffer(b"".join(added), np.uint8).reshape(len(added), -1)])
+            self.met.rows.update(added)
         ends = np.fromiter(map(str.endswith, new, repeat((".", "!", "?", LINE))), bool, len(new))
         code = row * 8 + ends * ENDS + (length == 1) * SINGLE + ((length >= 2) & (length <= SHORT)) * FEW
-        self.known.update(zip(new, code.tolist(), strict=True))
+        self.met.known.update(zip(new, code.tolist(), strict=True))
 
     def _codes(self, parts: list[str], forget: bool = True) -> np.ndarray:
         """Row of values * 8 + flags of each part; tokens not met for long are forgotten."""
-        met = set(parts)
-        new = met - self.known.keys()
-        if forget and len(self.known) + len(new) > CACHE:
-            if len(self.rows) > CACHE:
-                self._forget()
-            self.known, self.old = {}, self.known
-            new = met
+        met, own = self.met, set(parts)
+        new = own - met.known.keys()
+        if forget and len(met.known) + len(new) > CACHE:
+            if len(met.rows) > CACHE:
+                met.clear()
+            met.known, met.old = {}, met.known
+            new = own
         if new:
-            again = new & self.old.keys()
-            self.known.update((p, self.old[p]) for p in again)
+            again = new & met.old.keys()
+            met.known.update((p, met.old[p]) for p in again)
             self._learn(list(new - again))
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        return np.fromiter(map(met.known.__getitem__, parts), np.int64, len(parts))
 
     def pooled(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts and pooled values (steps) of their windows with any value, and the numbers of tokens of the texts."""
@@ -318,7 +322,7 @@ class Model:
         if not len(has):
             return nothing
         spread = np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        values = np.maximum.reduceat(self.values[row[spread]], np.cumsum(b - a) - (b - a), axis=0)
+        values = np.maximum.reduceat(self.met.values[row[spread]], np.cumsum(b - a) - (b - a), axis=0)
         return text[lo[has]], values, sizes
 
     def margins(self, values: np.ndarray) -> np.ndarray:
@@ -566,7 +570,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(i, SLICE)
                 score = model.score(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
-        model.remember()
+        released()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -580,7 +584,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 yield part.filter(pa.array(model.score(part.column(place).to_pylist()) < 0.5))
-        model.remember()
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 

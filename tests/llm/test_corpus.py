@@ -433,6 +433,21 @@ def brute_score(model, text):
     return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.sigmoid))))))
 
 
+def test_tasks_of_a_worker_share_the_tokens_met(small_model, monkeypatch):
+    import pickle
+
+    raw = pickle.dumps(small_model)
+    texts = [f"an idiot{i} mor{i}on and a tree{i}. id iot moron{i}x" for i in range(300)]
+    want = small_model.score(texts)
+    monkeypatch.setattr(toxicity, "CACHE", 200)
+    first = pickle.loads(raw)
+    first.score(texts[:50])
+    # the second task stops before its end, the first goes on, a third begins
+    second = pickle.loads(raw)
+    second.pooled(texts[50:90])
+    assert second.met is first.met and first.score(texts) == pytest.approx(want) and pickle.loads(raw).score(texts) == pytest.approx(want)
+
+
 def test_toxicity_scores_by_brute_force(small_model):
     r = random.Random(9)
     texts = [None, "", "\n", "an idi*ot, a mor.on", "x y z w", "id iot", "a-b-c idiot."]
