@@ -84,8 +84,8 @@ class Encoder:
         known = self.words
         mixed = [(w, _PARTS.findall(w)) for w in words if not w.isalpha()]
         new = list({p for _, parts in mixed for p in parts if p not in known}.union(filter(str.isalpha, words)))
-        for i in range(0, len(new), 2048):
-            known.update(zip(new[i : i + 2048], self._encode_parts(new[i : i + 2048]), strict=True))
+        for i in range(0, len(new), 1024):
+            known.update(zip(new[i : i + 1024], self._encode_parts(new[i : i + 1024]), strict=True))
         for w, parts in mixed:
             known[w] = b"".join([known[p] for p in parts])
 
@@ -93,11 +93,12 @@ class Encoder:
         for i in range(0, len(texts), 256):
             plain = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts[i : i + 256]]
             need = set().union(*[w for w in plain if w is not None])
-            new = need - self.words.keys()
+            # not a difference of sets: that would go over all words known
+            new = [w for w in need if w not in self.words]
             if len(self.words) + len(new) > self.cache // 2:
                 self.older, self.words = self.words, {}
-                new = need
-            again = {w: self.older[w] for w in new & self.older.keys()}
+                new = list(need)
+            again = {w: self.older[w] for w in new if w in self.older}
             self.words.update(again)
             self._learn([w for w in new if w not in again])
             for text, words in zip(texts[i : i + 256], plain, strict=True):

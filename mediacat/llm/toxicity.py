@@ -267,16 +267,16 @@ class Model:
     def _codes(self, parts: list[str], forget: bool = True) -> np.ndarray:
         """Row of values * 8 + flags of each part; tokens not met for long are forgotten."""
         met, own = self.met, set(parts)
-        new = own - met.known.keys()
+        # not a difference of sets: that would go over all tokens known
+        new = [p for p in own if p not in met.known]
         if forget and len(met.known) + len(new) > CACHE:
             if len(met.rows) > CACHE:
                 met.clear()
             met.known, met.old = {}, met.known
-            new = own
+            new = list(own)
         if new:
-            again = new & met.old.keys()
-            met.known.update((p, met.old[p]) for p in again)
-            self._learn(list(new - again))
+            met.known.update((p, met.old[p]) for p in new if p in met.old)
+            self._learn([p for p in new if p not in met.old])
         return np.fromiter(map(met.known.__getitem__, parts), np.int64, len(parts))
 
     def pooled(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
