@@ -45,6 +45,8 @@ class Config:
     poll_seconds: float = 0.0
     ladder: tuple = field(default=LADDER)
     log_level: str = "info"
+    #: Read for compatibility; the cluster's own parallelism takes its place.
+    max_concurrency: int = 1
 
 
 def normal_endpoint(url: str) -> str:
@@ -159,5 +161,5 @@ def load(env: Mapping[str, str], platform: str = "local") -> Config:
     return Config(
         pairs, platform, runtime, lock_ttl(runtime, _number(env, "LOCK_TTL_MULTIPLIER", 1.5)), time_budget(runtime, _number(env, "RUNTIME_BUDGET_MULTIPLIER", 0.75)), _number(env, "PERCEPTUAL_THRESHOLD", 0.95),
         flag("PERCEPTUAL_DRY_RUN", "false"), flag("CLEANUP_ENABLED", "false"), (env.get("ERROR_TOMBSTONES") or "true").lower() != "false", int(_number(env, "TOMBSTONE_MAX_ATTEMPTS", 3)),
-        _number(env, "POLL_FALLBACK_SECONDS", 0.0), parse_ladder(env["LADDER"]) if env.get("LADDER") else LADDER, level,
+        _number(env, "POLL_FALLBACK_SECONDS", 0.0), parse_ladder(env["LADDER"]) if env.get("LADDER") else LADDER, level, int(_number(env, "MAX_CONCURRENCY", 1)),
     )

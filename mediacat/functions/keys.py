@@ -101,3 +101,9 @@ def endpoint(url: Column) -> Column:
 
 def first_filled(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+
+def utc_iso(at: Column) -> Column:
+    """A timestamp as text in UTC, to the microsecond, whatever the session's time zone."""
+    zone = F.current_timezone()
+    return F.date_format(F.to_utc_timestamp(at, zone), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -7,6 +7,7 @@ Decoding and hashing are callables over the sources that are left after all chea
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -170,9 +171,16 @@ class Pass:
         return n
 
 
-def run_pairs(passes: dict[str, Callable[[], dict]]) -> dict[str, dict]:
-    """Counters of each pair's pass, run in order, and under 'total' their sum. A pair that raises stops the run."""
-    out = {name: run() for name, run in passes.items()}
+def run_pairs(passes: dict[str, Callable[[], dict]], budget: float | None = None, clock: Callable[[], float] = time.monotonic) -> dict[str, dict]:
+    """Counters of each pair's pass, run in order, and under 'total' their sum.
+
+    No pair is begun after `budget` seconds; a pair that raises stops the run.
+    """
+    began, out = clock(), {}
+    for name, run in passes.items():
+        if budget is not None and clock() - began > budget:
+            break
+        out[name] = run()
     total: dict[str, int] = {}
     for summary in out.values():
         for k, v in summary.items():

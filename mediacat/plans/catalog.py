@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.functions import hashing, keys, media
+from mediacat.functions import errors, hashing, keys, media
 from mediacat.operators import cleanup, gates, resolve, similar, state
 from mediacat.sources import fixtures as X
 from mediacat.sources import listing
@@ -501,3 +501,20 @@ def repoint_gc(spark, sf):
     row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("key"), "content_id")
     out = row(mappings, "mapping", F.col("source_key")).unionByName(row(state.remove(X.index(spark, sf), gone, "content_id"), "index", F.col("content_id")))
     return out.unionByName(row(state.remove(outputs, gone, "content_id"), "output", key)).unionByName(row(outputs.join(gone, "content_id", "left_semi"), "deleted", key))
+
+
+_CODES = ("NoSuchKey", "NotFound", "PreconditionFailed", "SlowDown", "AccessDenied")
+
+
+@query(f"""SELECT doc_id, CASE WHEN code IN ('NoSuchKey', 'NotFound') OR status = 404 THEN 'not_found' WHEN code = 'PreconditionFailed' OR status = 412 THEN 'precondition_failed' WHEN code IS NOT NULL OR status IS NOT NULL THEN 'other' END AS class
+FROM (SELECT doc_id, CASE WHEN doc_id % 7 < 5 THEN {X._case(_CODES, 'doc_id % 7')} END AS code, CASE doc_id % 4 WHEN 0 THEN 404 WHEN 1 THEN 412 WHEN 2 THEN 503 END AS status FROM documents)""")
+def error_classes(spark, sf):
+    d = F.col("doc_id")
+    code = F.when(d % 7 < 5, F.element_at(F.array(*map(F.lit, _CODES)), (F.least(d % 7, F.lit(4)) + 1).cast("int")))
+    status = F.when(d % 4 == 0, 404).when(d % 4 == 1, 412).when(d % 4 == 2, 503)
+    return X.source(spark, sf).select("doc_id", errors.error_class(code, status).alias("class"))
+
+
+@query("SELECT source_key, replace(last_modified, 'Z', '.000000Z') AS at FROM v_source")
+def utc_iso(spark, sf):
+    return X.source(spark, sf).select("source_key", keys.utc_iso(F.col("last_modified")).alias("at"))

@@ -13,7 +13,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mediacat.functions import keys
+from mediacat.sources import listing
 
 TAIL = 2000
 FRAME_SECONDS, FRAME_WIDTH, FRAME_HEIGHT = 2, 9, 8
@@ -52,6 +56,11 @@ def hasher_args(path: str) -> list[str]:
     return [resolve("pdq-photo-hasher", "PDQ_HASHER_PATH"), path]
 
 
+def signature_args(path: str, out: str) -> list[str]:
+    """Arguments that write a video's MPEG-7 signature to a file."""
+    return [resolve("ffmpeg", "FFMPEG_PATH"), "-y", "-i", path, "-vf", f"signature=format=binary:filename={out}", "-f", "null", "-"]
+
+
 def outputs(paths: DataFrame, args: Callable[[str], list[str]], timeout: float | None = None) -> DataFrame:
     """source_key, output (binary), error of a program over `path` of each row; paths: source_key, path."""
 
@@ -84,6 +93,12 @@ def uploaded(files: DataFrame, put: Callable[[str, str, str], None], tasks: int
     return files.select("path", "key", "content_type").repartition(tasks).mapInPandas(each, "path string, key string, content_type string, error string")
 
 
+def uploaded_tree(spark: SparkSession, root: str, prefix: str, put: Callable[[str, str, str], None], tasks: int = 8) -> DataFrame:
+    """`uploaded` over all files under a root, under their relative paths behind a prefix, with content types by suffix."""
+    files = listing.tree(spark, root).select(F.concat(F.lit(root.rstrip("/") + "/"), "source_key").alias("path"), F.concat(F.lit(prefix), "source_key").alias("key"), keys.content_type(F.col("source_key")).alias("content_type"))
+    return uploaded(files, put, tasks)
+
+
 def hashed(paths: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """source_key, sha256, n_bytes, error of files read in chunks, for objects too large for a binary column."""
     import hashlib

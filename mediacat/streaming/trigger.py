@@ -6,6 +6,7 @@ messages of a micro-batch cause one pass. `poll` is the safety sweep beside the
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mediacat.config import POLL_SECONDS
 
-# Names of the message queues.
+# Seconds to wait after an error of a source, names of the message queues.
+BACK_OFF = 5.0
 VIDEO_QUEUE, IMAGE_QUEUE = "transcode:requests", "pdq:requests"
 
 
@@ -21,6 +23,20 @@ def is_one_shot(queue: str | None, poll: float) -> bool:
     return not queue and poll <= 0
 
 
+def patient(run: Callable[[], dict], warn: Callable[[str], None], seconds: float = BACK_OFF, sleep: Callable[[float], None] = time.sleep) -> Callable[[], dict]:
+    """run, but an error of the source is a warning and a wait, and the next trigger tries again."""
+
+    def once() -> dict:
+        try:
+            return run()
+        except OSError as e:
+            warn(str(e))
+            sleep(seconds)
+            return {}
+
+    return once
+
+
 def serve(spark: SparkSession, run: Callable[[], dict], messages: str | None = None, poll: float = 0.0, checkpoint: str | None = None) -> dict | StreamingQuery:
     """One run's summary, or the query that goes on running.
 

@@ -229,6 +229,7 @@ def test_configuration():
     env = {"BUCKETS_CONFIG": json.dumps([pair]), "SOURCE_SECRET_ACCESS_KEY": "s", "DEST_SECRET_ACCESS_KEY": "d", "MAX_RUNTIME_SECONDS": "900"}
     c = config.load(env)
     assert (c.pairs[0][0].region, c.pairs[0][1].region, c.lock_ttl, c.budget) == ("auto", "eu", 1350, 675)
+    assert c.max_concurrency == 1 and config.load({**env, "MAX_CONCURRENCY": "4"}).max_concurrency == 4
     assert config.lock_ttl(100, 1.05) == 105 and config.time_budget(900, 0) == 0
     for bad in ({"BUCKETS_CONFIG": "[]"}, {"BUCKETS_CONFIG": "x"}, {**env, "MAX_RUNTIME_SECONDS": "nan"}, {**env, "LOG_LEVEL": "loud"}, {}):
         with pytest.raises(config.ConfigError):
@@ -277,6 +278,31 @@ def test_programs(spark, tmp_path, monkeypatch):
     assert {r["path"]: r["error"] for r in external.uploaded(files, put).collect()} == {"p": None, "q": "no key"}
 
 
+def test_budgets_back_off_trees_and_signatures(spark, tmp_path):
+    times = iter([0.0, 1.0, 5.0, 11.0])
+    got = pipeline.run_pairs({k: lambda: {"processed": 1} for k in "abc"}, budget=10, clock=lambda: next(times))
+    assert list(got) == ["a", "b", "total"] and got["total"] == {"processed": 2}
+
+    def gone():
+        raise ConnectionError("no source")
+
+    warned, slept = [], []
+    assert trigger.patient(gone, warned.append, sleep=slept.append)() == {} and warned == ["no source"] and slept == [5.0]
+    assert trigger.patient(lambda: {"processed": 1}, warned.append)() == {"processed": 1}
+    (tmp_path / "v0").mkdir()
+    (tmp_path / "master.m3u8").write_text("x")
+    (tmp_path / "v0" / "seg_1.m4s").write_text("y")
+    sent = tmp_path.parent / "sent.txt"
+
+    def put(path, key, kind):
+        with open(sent, "a") as f:
+            f.write(f"{key} {kind}\n")
+
+    assert {r["error"] for r in external.uploaded_tree(spark, f"file:{tmp_path}", "by-id/x/", put).collect()} == {None}
+    assert sorted(sent.read_text().splitlines()) == ["by-id/x/master.m3u8 application/vnd.apple.mpegurl", "by-id/x/v0/seg_1.m4s video/iso.segment"]
+    assert external.signature_args("a", "b")[-5:] == ["-vf", "signature=format=binary:filename=b", "-f", "null", "-"]
+
+
 def test_logs():
     out, err = io.StringIO(), io.StringIO()
     log = logs.Logger("info", out, err)
