@@ -12,11 +12,12 @@ WIDTH, HEIGHT = 9, 8
 
 def dhash(pixels: Column) -> Column:
     """64-bit difference hash of 72 gray values in rows of nine: bit r * 8 + c is set if a pixel is over its right neighbour."""
-    bit = lambda i: F.when(
-        F.get(pixels, F.floor(i / 8).cast("int") * WIDTH + (i % 8).cast("int")) > F.get(pixels, F.floor(i / 8).cast("int") * WIDTH + (i % 8).cast("int") + 1),
-        F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")),
-    ).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(bit(i)))
+    out = F.lit(0).cast("long")
+    for i in range(64):  # one flat expression, which code generation takes; a fold over an array would be interpreted
+        at = i // 8 * WIDTH + i % 8
+        bit = (1 << i) - (1 << 64 if i == 63 else 0)
+        out = out.bitwiseOR(F.when(F.get(pixels, F.lit(at)) > F.get(pixels, F.lit(at + 1)), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def frames(raw: Column) -> Column:

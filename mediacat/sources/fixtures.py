@@ -91,7 +91,7 @@ def frame_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, frame, pixels: code points of all whole frames of 72 characters of each text."""
     pieces = F.regexp_extract_all("text", F.lit("(?s).{72}"), F.lit(0))
     frames = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("frame", "piece"))
-    return frames.select("doc_id", "frame", F.transform(F.sequence(F.lit(1), F.lit(72)), lambda i: F.ascii(F.substring("piece", i, F.lit(1)))).alias("pixels"))
+    return frames.select("doc_id", "frame", F.transform(F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0)), F.ascii).alias("pixels"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
