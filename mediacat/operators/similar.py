@@ -1,11 +1,13 @@
-"""Similarity join of frame-hash sequences, without loss, by bands of equal bits.
+"""Similarity join of frame-hash sequences, without loss, by the rarest bands of equal bits.
 
-At similarity t the mean distance of aligned frames is at most 64 * (1 - t), so at least one
-frame is that near, and cut into one band more than that distance two hashes agree on a
-band. Candidates are an equi-join on (frame, band, bits), made distinct, and verified.
+At similarity t aligned sequences of n frames differ in at most 64 * (1 - t) * n bits. A hash is
+cut into two bands more than 64 * (1 - t); a bit spoils one band at most, so similar sequences
+agree on a known number of bands, and one of those is among the rarest of each: the bands of a
+sequence in one global order by frequency, all but as many as must agree, less one. Candidates
+are an equi-join on these bands, made distinct, and verified. A frame that very many videos
+share (flat ones all hash to zero) is last in the order, so it makes no candidates.
 
-Flat frames all hash to zero, and one still video may fill a bucket: those videos are first
-collapsed to one for each distinct sequence, which the join then sees once.
+Videos of one sequence are first collapsed to it, which the join then sees once.
 """
 
 from __future__ import annotations
@@ -29,6 +31,15 @@ def _banded(f: DataFrame, key: str, count: int) -> DataFrame:
     return frames.select(key, "frame", F.inline(hashing.bands(F.col("h"), count)))
 
 
+def _rarest(banded: DataFrame, often: DataFrame, key: str, count: int, threshold: float, ratio: float) -> DataFrame:
+    """key and the bands (frame, band, value) among which a similar sequence must have one too: the rarest, as many as the bound asks for."""
+    n = F.col(f"{key}.n")
+    least = F.ceil(n * ratio - 1e-9)  # frames of the shortest sequence that may match
+    agree = count * least - F.floor(64 * (1 - threshold) * least + 1e-6)
+    ranked = banded.join(often, ["frame", "band", "value"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("often", F.xxhash64("frame", "band", "value").alias("tie"), "frame", "band", "value"))).alias("all"))
+    return ranked.select(key, F.inline(F.slice("all", F.lit(1), (count * n - agree + 1).cast("int")))).select(key, "frame", "band", "value")
+
+
 def sequences(videos: DataFrame) -> DataFrame:
     """videos (video, hashes, n) with `sequence`: what videos of the same hashes share (128 bits and the length)."""
     return videos.withColumn("sequence", F.struct(F.xxhash64("hashes").alias("h"), F.xxhash64(F.lit("2"), F.col("hashes")).alias("k"), F.col("n").cast("int").alias("n")))
@@ -39,9 +50,13 @@ def sequence_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHO
 
     A sequence stands for all its videos, so a hot one is one row a side.
     """
-    count = hashing.band_count(threshold)
+    count = hashing.band_count(threshold) + 1
     sa, sb = (df.groupBy(F.col("sequence").alias(k)).agg(F.first("hashes").alias("hashes")) for df, k in ((left, "sa"), (right, "sb")))
-    met = _banded(sa, "sa", count).join(_banded(sb, "sb", count), ["frame", "band", "value"]).filter(near_length("sa.n", "sb.n")).select("sa", "sb").distinct()
+    a, b = _banded(sa, "sa", count), _banded(sb, "sb", count)
+    # one order of bands for both sides, by how many sequences have them
+    often = a.select("frame", "band", "value").unionByName(b.select("frame", "band", "value")).groupBy("frame", "band", "value").agg(F.count(F.lit(1)).alias("often"))
+    a, b = _rarest(a, often, "sa", count, threshold, RATIO), _rarest(b, often, "sb", count, threshold, RATIO)
+    met = a.join(b, ["frame", "band", "value"]).filter(near_length("sa.n", "sb.n")).select("sa", "sb").distinct()
     both = met.join(sa.withColumnRenamed("hashes", "ha"), "sa").join(sb.withColumnRenamed("hashes", "hb"), "sb")
     return both.withColumn("similarity", hashing.similarity(F.col("ha"), F.col("hb"))).filter(F.col("similarity") >= threshold).select("sa", "sb", "similarity")
 
