@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mediacat.operators.scratch import scratch_dir
 from mediacat.operators.scratch import stored as stored
 
 #: White space of the corpus contracts: space and the bytes 9 to 13.
@@ -27,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parted(df: DataFrame, by: str, schema: str) -> DataFrame:
+    """As `stored`, a folder for each value of `by`, so that a filter on it reads no others."""
+    path = f"{scratch_dir(df.sparkSession)}/mediacat-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows from here on: texts are long, and a batch is held several times."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediacat.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, sharding, suffix_dedup, toxicity, url_filter
+from mediacat.llm import collocations, decontamination, filter_audit, language_id, ngram_join, packing, piece_codec, pii, quality_rules, sharding, suffix_dedup, toxicity, url_filter
 
-_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii, decontamination, ngram_join, suffix_dedup)
+_MODULES = (quality_rules, sharding, url_filter, language_id, toxicity, packing, pii, decontamination, ngram_join, suffix_dedup, piece_codec, filter_audit, collocations)
 
 
 def queries() -> dict:
