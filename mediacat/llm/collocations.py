@@ -234,8 +234,7 @@ def _read(docs: DataFrame, buckets: int, most: int, size: int) -> DataFrame:
             for words, places, own in held[lang].blocks(size, most, rest):
                 block = (TaskContext.get().partitionId() << 32) | made
                 made += 1
-                for row in _indexed(words, places, own, buckets):
-                    yield pa.RecordBatch.from_pylist([{"c": None, **row, "lang": lang, "block": block}], schema=kind)
+                yield pa.RecordBatch.from_pylist([{"c": None, **row, "lang": lang, "block": block} for row in _indexed(words, places, own, buckets)], schema=kind)
             if not held[lang].n:
                 del held[lang]
 
