@@ -3,8 +3,8 @@
 Each stage works on all rows that the stage before it kept and returns the columns of
 documents, but for the last, which returns packed pieces. Null and empty texts pass every
 filter; very long texts are read whole; repeated rows are judged alike by the filters, and of
-equal or near texts the least id stays, with all rows of that id; an empty table passes
-through; a stage never looks at columns other than doc_id and text (and n_chars, which
+equal or near texts the least id stays, with all its rows of that text; rows that share an id are
+judged by their own texts; an empty table passes through; a stage never looks at columns other than doc_id and text (and n_chars, which
 redaction keeps true), whatever the others are called; rows without id are never copies.
 Stages share executors, so each asks for short Arrow batches and its workers give memory back.
 """
@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, the least id, of each group linked by five-word shingles at 0.8 or more."""
+    """One document, the least id, of each group linked by five-word shingles at 0.8 or more."""
     short_batches(spark)
     return ngram_join.representatives(docs)
 

@@ -25,10 +25,12 @@ component needs no link of its own.
 Defined cases: words are split at space and bytes 9 to 13 and A to Z lowered; texts with
 fewer words than n are one shingle; texts without words and null texts have no shingles, are
 linked with nothing and are their own component; very long texts are read whole, as blocks of
-their own; rows that share an id are one document in a component, copies of a set are one
-class, and ties between leaders go by hash and id; rows without id are linked with rows of
-the same set only; an empty table gives no rows; extra columns are dropped, by
-`representatives` passed through. Shingles count as equal by 64-bit hash (polynomials modulo
+their own; rows are linked by their own sets, so rows that share an id and differ in text may
+lie in different components; copies of a set are one class, and ties between leaders go by hash
+and class; rows without id are linked with rows of the same set only, and are never dropped; an
+empty table gives no rows; extra columns are dropped, by `representatives` passed through, which
+drops by row: of a component the class with the least id stays (of two such classes one), with
+the rows of that id in it, be they several. Shingles count as equal by 64-bit hash (polynomials modulo
 two primes, scrambled), classes by 128 bits over their set.
 """
 
@@ -101,9 +103,9 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for a, b, data, off in K.blocks(batch.column(1)):
                 size, s1, s2 = signature(*shingles(data, off, n), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names=["doc_id", "n", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), batch.column(2).slice(a, b - a)], names=["doc_id", "n", "s1", "s2", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, text_hash long")
 
 
 def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -185,7 +187,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> DataFrame:
-    """doc_id, n of the classes that share enough shingles to link with another.
+    """id, rep, s1 of the classes that share enough shingles to link with another.
 
     Copies of a set in several tasks may count a shingle more than once, which can only let
     more classes stay.
@@ -217,7 +219,7 @@ def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> D
     dealt = docs.select("text").mapInArrow(run, "bucket long, kind int, blob binary")
     bucket = F.when(F.col("kind") < 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
     shared = dealt.groupBy(bucket).applyInPandas(lambda pdf: _shared_counts(pdf, buckets), "part long, blob binary").groupBy("part").applyInPandas(_added, "s1 long, shared long")
-    return can.join(shared, "s1").filter(F.col("shared") * least.denominator >= F.col("n") * least.numerator).select(F.col("rep").alias("doc_id"), "n")
+    return can.join(shared, "s1").filter(F.col("shared") * least.denominator >= F.col("n") * least.numerator).select("id", "rep", "s1")
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -225,7 +227,7 @@ def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """id, tokens (sorted distinct shingle hashes) of the chosen documents."""
+    """id, tokens (sorted distinct shingle hashes) of the chosen classes, from rows of the ids that stand for them."""
 
     def run(batches):
         for batch in batches:
@@ -233,10 +235,13 @@ def _token_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
                 of, h = shingles(data, off, n)
                 at = np.searchsorted(of, np.arange(b - a + 1))
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], names=["id", "tokens"])
+                _, s1, _ = signature(of, h, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s1.view(np.int64)), sets], names=["rep", "s1", "tokens"])
 
-    own = docs.select(F.col("doc_id").cast("long"), "text").join(_small(chosen.select("doc_id")), "doc_id").select("doc_id", "text")
-    return own.mapInArrow(run, "id long, tokens array<long>").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(_small(chosen.select(F.col("rep").alias("doc_id")).distinct()), "doc_id").select("doc_id", "text")
+    # an id may have rows of other sets, too
+    found = own.mapInArrow(run, "rep long, s1 long, tokens array<long>").join(_small(chosen), ["rep", "s1"])
+    return found.groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
 def _prefixes(sets: DataFrame, least: Fraction) -> DataFrame:
@@ -299,24 +304,28 @@ def link(sets: DataFrame, least: Fraction) -> DataFrame:
 
 
 def joined(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10)) -> DataFrame:
-    """doc_id, n_shingles, class_id (the least id with the same set), component_id of every document."""
+    """doc_id, n_shingles, class_id (the least id with the same set), component_id, text_hash and stays (whether the row is of its component's first class and id) of every row."""
     signs = stored(_signed(docs, n))
-    classes = stored(signs.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # classes have numbers of their own: an id may stand for several
+    classes = stored(signs.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     chosen = stored(survivors(docs, classes, n, least))
-    comps = link(stored(_token_sets(docs, chosen, n)), least)
-    named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", "rep", F.coalesce("comp", "rep").alias("comp"))
+    comps = stored(link(stored(_token_sets(docs, chosen, n)), least))
+    first = comps.join(classes.select("id", "rep"), "id").groupBy("comp").agg(F.min(F.struct("rep", "id")).alias("first"))
+    of = comps.join(first, "comp").select("id", "first")
+    named = classes.join(of, "id", "left").select("n", "s1", "s2", "rep", F.coalesce("first.rep", "rep").alias("comp"), F.coalesce(F.col("first.id") == F.col("id"), F.lit(True)).alias("leads"))
     out = signs.join(named, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"))
+    stays = F.coalesce(F.col("leads") & (F.col("doc_id") == F.col("rep")), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"), "text_hash", stays.alias("stays"))
 
 
 def representatives(docs: DataFrame, n: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
-    """The rows of docs, all columns, with the least id of each component only."""
-    others = _small(stored(joined(docs, n, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()))
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    """The rows of docs, all columns, of the first class of each component only, and those without words or id."""
+    others = _small(stored(joined(docs, n, least).filter("not stays and doc_id is not null").select(F.col("doc_id").alias("_other"), F.col("text_hash").alias("_hash")).distinct()))
+    return docs.join(others, (docs["doc_id"] == others["_other"]) & (F.xxhash64(docs["text"]) == others["_hash"]), "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents"))
+    return joined(table(spark, sf_dir, "documents")).drop("text_hash", "stays")
 
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"

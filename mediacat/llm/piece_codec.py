@@ -170,8 +170,10 @@ class Codec:
         first = np.concatenate([[0], ends])[at]
         source = ends - wide - first[row]
         size = np.diff(first)
+        # where a row's first character without a normal form is
+        void = np.full(len(at) - 1, np.iinfo(np.int64).max)
         if self.map is not None:
-            cp, row, source = self._mapped(cp, row, source, ends - wide, first)
+            cp, row, source = self._mapped(cp, row, source, ends - wide, first, void)
         if self.squeeze:
             space = cp == 32
             after = np.ones(len(cp), bool)
@@ -190,10 +192,10 @@ class Codec:
         edges[new[1:] + np.arange(len(at) - 1)] = size
         if self.squeeze:
             has = np.flatnonzero(lead)
-            edges[new[has] + has] = edges[new[has] + has + 1]
+            edges[new[has] + has] = np.minimum(edges[new[has] + has + 1], void[has])
         return self._stripped(out, new, edges) if self.squeeze else Normal(out, new, edges)
 
-    def _mapped(self, cp, row, source, byte, first):
+    def _mapped(self, cp, row, source, byte, first, void):
         raw = np.frombuffer(cp.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
         length, value = self.map.longest(raw, byte, first[1:][row])
         hit = np.flatnonzero(length)
@@ -207,6 +209,8 @@ class Codec:
         new = np.ones(len(cp), np.int64)
         hit = hit[keep[hit]]
         new[hit] = [len(self.map.text(int(v))) for v in value[hit]]
+        empty = new == 0
+        np.minimum.at(void, row[empty], source[empty])
         new[~keep] = 0
         ends = np.cumsum(new)
         out = np.repeat(cp, new)

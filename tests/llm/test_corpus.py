@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_registry_is_whole():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries() if k != "quality_ablations") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries() if k != "quality_ablations") == list(range(1, 14))
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
