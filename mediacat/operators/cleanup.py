@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mediacat.functions import keys
 
-BATCH = 1000
+#: Keys of a batch, and characters of an error that are kept.
+BATCH, TAIL = 1000, 500
 
 
 def orphans(mappings: DataFrame, live: DataFrame, prefix: str = "") -> DataFrame:
@@ -27,15 +32,36 @@ def refcounts(mappings: DataFrame, live: DataFrame, prefix: str = "") -> DataFra
     return out.withColumn("action", F.when(F.col("n_live") == 0, "collect").otherwise("retain"))
 
 
-def gc_plan(counts: DataFrame, outputs: DataFrame, batch: int = BATCH) -> DataFrame:
-    """content_id, object_key, batch: objects to delete, in batches of at most `batch` of one content, by key."""
-    from pyspark.sql.window import Window
-
-    dead = outputs.join(counts.filter("action = 'collect'").select("content_id"), "content_id", "left_semi")
+def batches(dead: DataFrame, batch: int = BATCH) -> DataFrame:
+    """content_id, object_key, batch of outputs (content_id, rel_path), in batches of at most `batch` of one content, by key."""
     place = F.row_number().over(Window.partitionBy("content_id").orderBy("rel_path"))  # one output tree is one window
     return dead.select("content_id", F.concat(keys.by_id_prefix(F.col("content_id")), "rel_path").alias("object_key"), F.floor((place - 1) / batch).cast("long").alias("batch"))
 
 
+def gc_plan(counts: DataFrame, outputs: DataFrame, batch: int = BATCH) -> DataFrame:
+    """content_id, object_key, batch: objects to delete."""
+    return batches(outputs.join(counts.filter("action = 'collect'").select("content_id"), "content_id", "left_semi"), batch)
+
+
+def deleted(plan: DataFrame, delete: Callable[[list[str]], None]) -> DataFrame:
+    """content_id, batch, n (keys), error: calls delete with the keys of each batch of the plan, in tasks; an error is a row, and the other batches go on."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            errors = []
+            for found in pdf["object_keys"]:
+                try:
+                    delete(list(found))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001
+                    errors.append(str(e)[-TAIL:])
+            yield pdf.assign(n=pdf["object_keys"].map(len), error=pd.Series(errors, dtype=object)).drop(columns="object_keys")
+
+    # a batch is at most BATCH keys of one content
+    grouped = plan.groupBy("content_id", "batch").agg(F.sort_array(F.collect_list("object_key")).alias("object_keys"))
+    return grouped.mapInPandas(each, "content_id string, batch long, n long, error string")
+
+
 def summary(counts: DataFrame, plan: DataFrame) -> DataFrame:
     """One row of the pass's counters; a dry run reports them and applies nothing."""
     c = counts.agg(F.coalesce(F.sum("n_orphans"), F.lit(0)).alias("orphan_mappings"), F.count_if(F.col("action") == "collect").alias("collected"), F.count_if(F.col("action") == "retain").alias("retained"))

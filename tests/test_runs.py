@@ -42,9 +42,9 @@ def test_store_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
             with pytest.raises(OSError):
                 store.write("t", rows(2))
         assert value() == (1 if step == "_point" else 2)
-    # a version that was never finished is not one
-    (tmp_path / "t" / "0123").mkdir()
-    (tmp_path / "t" / f"_at-000000000099-{'0' * 32}").touch()
+    # a manifest that was never finished is not one
+    (tmp_path / "tables" / "t" / "0123").mkdir()
+    (tmp_path / "_at-000000000099").write_text('{"tables": {"t"')
     assert value() == 2 and reader.first()["v"] == 1
     store.write("t", rows(3))
     assert value() == 3
@@ -61,12 +61,45 @@ def test_store_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
     stop.set()
     watcher.join()
     assert seen == {1} and value() == 6
-    for f in (tmp_path / "t").glob("_at-*"):
+    for f in tmp_path.glob("_at-*"):
         f.unlink()
     with pytest.raises(RuntimeError):
         store.read("t", schema)
 
 
+def test_changes_write_only_their_buckets(spark, tmp_path):
+    schema = "k string, v int"
+    store = state.TableStore(spark, f"file:{tmp_path}", target=400)
+    rows = lambda keys, v: spark.createDataFrame([(f"k{k}", v) for k in keys], schema)
+    for _ in range(2):  # the second commit sees how large the table is
+        state.apply(store, [("t", schema, "k", rows(range(600), 1), None)])
+    before, store.target = store.files("t"), 1 << 20
+    assert len(before) >= 8
+    bucket = rows(range(600), 1).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(len(before))))
+    own = [r["k"] for r in bucket.filter("b = 3").collect()]
+    state.apply(store, [("t", schema, "k", spark.createDataFrame([(own[0], 5)], schema), spark.createDataFrame([(own[1],)], "k string"))])
+    after = store.files("t")
+    assert {b for b in after if after[b] != before[b]} == {"3"}
+    got = {r["k"]: r["v"] for r in store.read("t", schema).collect()}
+    assert got == {f"k{k}": 5 if f"k{k}" == own[0] else 1 for k in range(600) if f"k{k}" != own[1]}
+    # files of buckets that no manifest names are gone
+    assert len(list((tmp_path / "tables" / "t").glob("*/_b=3"))) == 2
+
+
+def test_the_second_of_two_commits_is_begun_anew(spark, tmp_path):
+    schema = "k string, v int"
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    one, two = store.begin(), store.begin()
+    one.change("t", schema, "k", spark.createDataFrame([("a", 1)], schema))
+    two.change("u", schema, "k", spark.createDataFrame([("b", 2)], schema))
+    one.done()
+    with pytest.raises(state.Conflict):
+        two.done()
+    assert store.read("u", schema).count() == 0
+    state.apply(store, [("u", schema, "k", lambda c: c.read("t", schema), None)])
+    assert store.read("u", schema).first()["v"] == 1
+
+
 FRAMES = [0x0123456789ABCDEF, 0x7777777777777777, 0x1111222233334444, 0x0F0F0F0F0F0F0F0F, 0x5A5A5A5A5A5A5A5A]
 #: Etag of a source -> width, height, kbps, hashes.
 VIDEOS = {
@@ -146,6 +179,94 @@ def test_near_duplicates_in_a_pass(spark, tmp_path):
     assert seq["3"] > max(seq["4"], seq["5"])
 
 
+@pytest.mark.parametrize("stop", [4, "_point"])
+def test_a_pass_that_stops_leaves_no_mapping_without_output(spark, tmp_path, monkeypatch, stop):
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    run = Pass(store, "2024-01-01T00:00:00Z", "1")
+    rows = [("a.mp4", '"1"', 1), ("b.mp4", '"1"', 1), ("d.mp4", '"4"', 1)]
+    run.videos(_objects(spark, rows), _content, _probe(spark), _encode())
+    rows.append(("g.mp4", '"3"', 1))
+    objects = _objects(spark, rows)
+    went = {"n": 0}
+    true_data = state.TableStore._data
+
+    def data(self, *args):
+        went["n"] += 1
+        if went["n"] == stop:
+            raise OSError("stopped")
+        true_data(self, *args)
+
+    def whole():
+        mapped = {r["hls_root"] for r in store.read("mappings", pipeline.MAPPING).collect()}
+        made = {f"by-id/{r['content_id']}/{r['rel_path']}" for r in store.read("outputs", pipeline.OUTPUT).collect()}
+        assert mapped <= made and _ids(store, "outputs", pipeline.OUTPUT) == _ids(store, "index", pipeline.INDEX) == _ids(store, "blobs", pipeline.BLOB)
+
+    def stopped(call):
+        with monkeypatch.context() as m:
+            if isinstance(stop, str):
+                m.setattr(state.TableStore, stop, lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+            else:
+                went["n"] = 0
+                m.setattr(state.TableStore, "_data", data)
+            try:
+                call()
+            except OSError:
+                pass
+
+    stopped(lambda: run.videos(objects, _content, _probe(spark), _encode()))
+    whole()
+    run.videos(objects, _content, _probe(spark), _encode())
+    whole()
+    assert _maps(store) == {"a.mp4": "3", "b.mp4": "3", "d.mp4": "4", "g.mp4": "3"}
+    left = objects.filter("source_key <> 'd.mp4'")
+    stopped(lambda: run.clean(left))
+    whole()
+    run.clean(left)
+    whole()
+    assert _ids(store, "outputs", pipeline.OUTPUT) == ["3"] and _ids(store, "trash", pipeline.OUTPUT) == ["1", "4"]
+
+
+def test_trash_is_emptied_by_batches(spark, tmp_path):
+    store = state.TableStore(spark, f"file:{tmp_path}/store")
+    root = tmp_path / "dest"
+    for cid in "xy":
+        (root / "by-id" / cid).mkdir(parents=True)
+        for name in ("master.m3u8", "seg"):
+            (root / "by-id" / cid / name).write_text("1")
+    rows = spark.createDataFrame([(c, n) for c in "xyz" for n in ("master.m3u8", "seg")], pipeline.OUTPUT)
+    state.apply(store, [("trash", pipeline.OUTPUT, "content_id", rows, None), ("outputs", pipeline.OUTPUT, "content_id", rows.filter("content_id = 'z'"), None)])
+    base, locked = str(root), str(tmp_path / "locked")
+    (tmp_path / "locked").touch()
+
+    def delete(found):
+        import os
+
+        for key in found:
+            if "/y/" in key and os.path.exists(locked):
+                raise OSError(f"{key} is locked")
+            if os.path.exists(f"{base}/{key}"):
+                os.unlink(f"{base}/{key}")
+
+    run = Pass(store, "t", "1")
+    said = {r["content_id"]: (r["n"], r["error"]) for r in run.empty_trash(delete).collect()}
+    assert said == {"x": (2, None), "y": (2, "by-id/y/master.m3u8 is locked")}
+    assert not list((root / "by-id" / "x").iterdir()) and _ids(store, "trash", pipeline.OUTPUT) == ["y", "y"]
+    (tmp_path / "locked").unlink()
+    run.empty_trash(delete)
+    assert not list((root / "by-id" / "y").iterdir()) and _ids(store, "trash", pipeline.OUTPUT) == []
+
+
+def test_leases_are_shared_by_passes(spark, tmp_path):
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    objects = _objects(spark, [("a.mp4", '"1"', 1), ("d.mp4", '"4"', 1)])
+    state.apply(store, [("leases", pipeline.LEASE, "content_id", spark.createDataFrame([("sha256:4", "other", 100.0)], pipeline.LEASE), None)])
+    early = Pass(store, "t", "1", worker="me", clock=lambda: 50.0).videos(objects, _content, _probe(spark), _encode())
+    assert (early["processed"], early["busy"]) == (1, 1) and _maps(store) == {"a.mp4": "1"}
+    assert [r["worker"] for r in store.read("leases", pipeline.LEASE).collect()] == ["other"]
+    late = Pass(store, "t", "1", worker="me", clock=lambda: 101.0).videos(objects, _content, _probe(spark), _encode())
+    assert (late["processed"], late["cached"]) == (1, 1) and store.read("leases", pipeline.LEASE).count() == 0
+
+
 def test_failed_encodings_busy_contents_and_dry_runs(spark, tmp_path):
     objects = _objects(spark, [("a.mp4", '"1"', 1), ("b.mp4", '"3"', 1), ("c.mp4", '"2"', 1), ("d.mp4", '"4"', 1), ("e.mp4", '"5"', 1)])
     store = state.TableStore(spark, f"file:{tmp_path}/1")
