@@ -55,7 +55,7 @@ def summary(outcome: DataFrame) -> DataFrame:
 def pair_summary(outcome: DataFrame, pair: str = "pair") -> DataFrame:
     """As `summary` for each pair, and one row without a pair for all of them."""
     count = lambda k: F.count_if(F.col("outcome") == k).alias(k)
-    return outcome.rollup(pair).agg(*map(count, OUTCOMES), F.count(F.lit(1)).alias("total"))
+    return outcome.rollup(pair).agg(*map(count, OUTCOMES), F.count(F.lit(1)).alias("total"), F.count_distinct(pair).alias("pairs_processed"))
 
 
 def within_budget(sources: DataFrame, n: int) -> DataFrame:

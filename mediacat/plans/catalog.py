@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediacat import pipeline
 from mediacat.functions import errors, hashing, keys, media
 from mediacat.operators import cleanup, gates, resolve, similar, state
+from mediacat.operators.scratch import scratch_dir, stored
 from mediacat.sources import fixtures as X
-from mediacat.sources import listing
+from mediacat.sources import listing, paged
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -70,10 +74,11 @@ def _all_keys(spark, sf):
     return X.source(spark, sf).select("source_key").unionByName(spark.read.parquet(f"{sf}/pages.parquet").select(F.col("url").alias("source_key")))
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT unnest({list(keys.VIDEO)}) INTERSECT SELECT unnest({list(keys.IMAGE)}))")
+@query(f"SELECT count(*) AS keys, count(*) FILTER (WHERE {X.IS_VIDEO} AND {X.IS_IMAGE}) AS n FROM (SELECT source_key FROM v_source UNION ALL SELECT url FROM pages)")
 def ext_disjoint(spark, sf):
-    one = lambda v: spark.createDataFrame([(x,) for x in v], "ext string")
-    return one(keys.VIDEO).intersect(one(keys.IMAGE)).agg(F.count(F.lit(1)).alias("n"))
+    """How many of all keys are of both kinds: none."""
+    k = F.col("source_key")
+    return _all_keys(spark, sf).agg(F.count(F.lit(1)).alias("keys"), F.count_if(keys.is_video(k) & keys.is_image(k)).alias("n"))
 
 
 @query("SELECT s.source_key, m.content_id IS NOT NULL AS found, m.content_id, m.hls_root FROM v_source s LEFT JOIN v_mapping m USING (source_key)")
@@ -143,13 +148,13 @@ def byte_hash_dedup(spark, sf):
 
 
 _BUILT = f"""SELECT source_key, replace(etag, '"', '') AS source_etag, size AS source_size, last_modified AS source_last_modified, 'sha256:' || sha256(content) AS content_id,
-  'by-id/sha256:' || sha256(content) || '/' AS hls_root, '{X.RUN_AT}' AS encoded_at, '{X.VERSION}' AS encoder_version FROM v_source"""
+  'by-id/sha256:' || sha256(content) || '/master.m3u8' AS hls_root, '{X.RUN_AT}' AS encoded_at, '{X.VERSION}' AS encoder_version FROM v_source"""
 
 
 @query(_BUILT)
 def mapping_build(spark, sf):
     s = _iso(_sources(spark, sf, None)).withColumn("content_id", X.digest(F.col("content")))
-    return s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.col("last_modified").alias("source_last_modified"), "content_id", keys.by_id_prefix(F.col("content_id")).alias("hls_root"), F.lit(X.RUN_AT).alias("encoded_at"), F.lit(X.VERSION).alias("encoder_version"))
+    return s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.col("last_modified").alias("source_last_modified"), "content_id", keys.master_key(F.col("content_id")).alias("hls_root"), F.lit(X.RUN_AT).alias("encoded_at"), F.lit(X.VERSION).alias("encoder_version"))
 
 
 @query("""SELECT key, CASE WHEN starts_with(key, 'mappings/') AND ends_with(key, '.json') AND length(key) >= 14 THEN substr(key, 10, length(key) - 14) END AS source_key,
@@ -290,18 +295,27 @@ def _endpoint_sql(c: str) -> str:
     return f"CASE WHEN {c} LIKE '%://%' THEN regexp_replace(regexp_replace(regexp_extract(lower({c}), '^[a-z]+://[^/?#]*'), '^(https://.*):443$', '\\1'), '^(http://.*):80$', '\\1') ELSE lower({c}) END"
 
 
-@query(f"SELECT a.i AS i, b.i AS j, a.s_bucket AS bucket FROM v_pair a JOIN v_pair b ON a.s_bucket = b.d_bucket AND {_endpoint_sql('a.s_endpoint')} = {_endpoint_sql('b.d_endpoint')} AND (starts_with(a.s_prefix, b.d_prefix) OR starts_with(b.d_prefix, a.s_prefix))")
-def bucket_overlap(spark, sf):
-    p = X.pairs(spark)
-    s = p.select("i", F.col("s_bucket").alias("bucket"), keys.endpoint(F.col("s_endpoint")).alias("at"), "s_prefix")
-    d = p.select(F.col("i").alias("j"), F.col("d_bucket").alias("bucket"), keys.endpoint(F.col("d_endpoint")).alias("at"), "d_prefix")
-    return s.join(d, ["bucket", "at"]).filter(F.startswith("s_prefix", "d_prefix") | F.startswith("d_prefix", "s_prefix")).select("i", "j", "bucket")
+_SIDE = "(SELECT DISTINCT {} AS site, bucket, prefix FROM v_bucket WHERE side = '{}')"
+_SIDES = [_SIDE.format(_endpoint_sql("endpoint"), side) for side in ("source", "dest")]
 
 
-@query("SELECT i, coalesce(nullif(key_bucket, ''), nullif(key_pair, ''), nullif(key_env, '')) AS access_key, coalesce(nullif(region_bucket, ''), nullif(region_pair, ''), nullif(region_env, ''), 'auto') AS region FROM v_credential")
+@query(f"SELECT bucket, a.site AS endpoint, a.prefix AS source_prefix, count(*) AS n_dest, min(b.prefix) AS first_dest FROM {_SIDES[0]} a JOIN {_SIDES[1]} b USING (site, bucket) WHERE starts_with(a.prefix, b.prefix) OR starts_with(b.prefix, a.prefix) GROUP BY ALL")
+def bucket_overlap(spark, sf):
+    """Source prefixes that overlap with a destination of the same endpoint and bucket: each beginning of the longer one is looked up, so no two prefixes are compared that do not overlap."""
+    b = X.buckets(spark, sf).withColumn("endpoint", keys.endpoint(F.col("endpoint")))
+    own = lambda side: b.filter(F.col("side") == side).select("endpoint", "bucket", "prefix").distinct()
+    s, d = own("source"), own("dest")
+    begun = lambda df: df.withColumn("begin", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda n: F.substring("prefix", F.lit(1), n))))
+    below = begun(s).join(d.select("endpoint", "bucket", F.col("prefix").alias("dest"), F.col("prefix").alias("begin")), ["endpoint", "bucket", "begin"])
+    above = begun(d).withColumnRenamed("prefix", "dest").join(s.withColumn("begin", F.col("prefix")), ["endpoint", "bucket", "begin"])
+    met = below.select("endpoint", "bucket", "prefix", "dest").union(above.select("endpoint", "bucket", "prefix", "dest")).distinct()
+    return met.groupBy("bucket", "endpoint", F.col("prefix").alias("source_prefix")).agg(F.count(F.lit(1)).alias("n_dest"), F.min("dest").alias("first_dest"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(key_bucket, ''), nullif(key_pair, ''), nullif(key_env, '')) AS access_key, coalesce(nullif(region_bucket, ''), nullif(region_pair, ''), nullif(region_env, ''), 'auto') AS region FROM v_credential")
 def credential_cascade(spark, sf):
-    c = X.credentials(spark)
-    return c.select("i", keys.first_filled(F.col("key_bucket"), F.col("key_pair"), F.col("key_env")).alias("access_key"), keys.first_filled(F.col("region_bucket"), F.col("region_pair"), F.col("region_env"), F.lit("auto")).alias("region"))
+    c = X.credentials(spark, sf)
+    return c.select("c_custkey", keys.first_filled(F.col("key_bucket"), F.col("key_pair"), F.col("key_env")).alias("access_key"), keys.first_filled(F.col("region_bucket"), F.col("region_pair"), F.col("region_env"), F.lit("auto")).alias("region"))
 
 
 _NOW = "2024-01-08 00:00:00"
@@ -314,10 +328,10 @@ def lock_staleness(spark, sf):
     return s.select("source_key", F.coalesce(age < F.lit(86400.0 * 1e6 * 1.5), F.lit(False)).alias("is_live"))
 
 
-@query("SELECT platform, ceil(runtime * 1.5::DOUBLE)::BIGINT AS lock_ttl, floor(runtime * 0.75::DOUBLE)::BIGINT AS budget FROM (VALUES ('aws-lambda', 900.0::DOUBLE), ('cloudflare-container', 3600.0), ('local', 3600.0)) t(platform, runtime)")
+@query("SELECT event_id, ceil(value * 1.5::DOUBLE)::BIGINT AS lock_ttl, floor(value * 0.75::DOUBLE)::BIGINT AS budget FROM events")
 def time_budgets(spark, sf):
-    p = spark.createDataFrame([("aws-lambda", 900.0), ("cloudflare-container", 3600.0), ("local", 3600.0)], "platform string, runtime double")
-    return p.select("platform", F.ceil(F.col("runtime") * 1.5).alias("lock_ttl"), F.floor(F.col("runtime") * 0.75).alias("budget"))
+    """Lifetime of a lock and budget of a run, of the values of events as runtimes."""
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.ceil(F.col("value") * 1.5).alias("lock_ttl"), F.floor(F.col("value") * 0.75).alias("budget"))
 
 
 # cleanup
@@ -378,7 +392,7 @@ def mappings_for_content(spark, sf):
     return X.mapping(spark, sf).join(kept, "content_id", "left_semi").select("content_id", "source_key")
 
 
-_MAP = "source_key, source_etag, source_size, content_id, hls_root, encoded_at, encoder_version"
+_MAP = "source_key, source_etag, source_size, source_last_modified, content_id, hls_root, encoded_at, encoder_version"
 
 
 @query(f"SELECT {_MAP} FROM v_mapping WHERE source_key NOT IN (SELECT source_key FROM v_source WHERE {X.IS_VIDEO}) UNION ALL SELECT {_MAP} FROM ({_BUILT}) b WHERE {X.IS_VIDEO}")
@@ -388,18 +402,18 @@ def mapping_upsert(spark, sf):
     return state.upsert(X.mapping(spark, sf).select(cols), new, "source_key")
 
 
-@query(f"""SELECT source_key, source_etag, source_size, pdq_hash, quality, hashed_at FROM v_image_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)
-UNION ALL SELECT source_key, replace(etag, '"', ''), size, sha256(content), (doc_id % 101)::INTEGER, '{X.RUN_AT}' FROM v_source JOIN v_live USING (source_key) WHERE {X.IS_IMAGE}""")
+@query(f"""SELECT source_key, source_etag, source_size, source_last_modified, pdq_hash, quality, hashed_at FROM v_image_mapping WHERE source_key NOT IN (SELECT source_key FROM v_live)
+UNION ALL SELECT source_key, replace(etag, '"', ''), size, last_modified, sha256(content), (doc_id % 101)::INTEGER, '{X.RUN_AT}' FROM v_source JOIN v_live USING (source_key) WHERE {X.IS_IMAGE}""")
 def image_mapping_upsert(spark, sf):
-    s = _sources(spark, sf, keys.is_image).join(X.live(spark, sf), "source_key", "left_semi")
-    new = s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.sha2("content", 256).alias("pdq_hash"), (F.col("doc_id") % 101).cast("int").alias("quality"), F.lit(X.RUN_AT).alias("hashed_at"))
+    s = _iso(_sources(spark, sf, keys.is_image)).join(X.live(spark, sf), "source_key", "left_semi")
+    new = s.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.col("last_modified").alias("source_last_modified"), F.sha2("content", 256).alias("pdq_hash"), (F.col("doc_id") % 101).cast("int").alias("quality"), F.lit(X.RUN_AT).alias("hashed_at"))
     return state.upsert(X.image_mapping(spark, sf).drop("hasher_version"), new, "source_key")
 
 
-@query(f"""SELECT source_key, source_etag, source_size, error, failed_at, attempts FROM v_tombstone WHERE source_key NOT IN (SELECT source_key FROM v_mapped)
-UNION ALL SELECT m.source_key, m.etag, m.size, 'decode failed again', '{X.RUN_AT}', (CASE WHEN t.source_etag = m.etag AND t.source_size = m.size THEN t.attempts + 1 ELSE 1 END)::INTEGER FROM v_mapped m LEFT JOIN v_tombstone t USING (source_key)""")
+@query(f"""SELECT source_key, source_etag, source_size, source_last_modified, error, failed_at, attempts FROM v_tombstone WHERE source_key NOT IN (SELECT source_key FROM v_mapped)
+UNION ALL SELECT m.source_key, m.etag, m.size, m.last_modified, 'decode failed again', '{X.RUN_AT}', (CASE WHEN t.source_etag = m.etag AND t.source_size = m.size THEN t.attempts + 1 ELSE 1 END)::INTEGER FROM v_mapped m LEFT JOIN v_tombstone t USING (source_key)""")
 def tombstone_upsert(spark, sf):
-    failures = X._mapped(X.source(spark, sf)).select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.lit("decode failed again").alias("error"))
+    failures = X._mapped(X.source(spark, sf)).select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), X.source_time(F.col("last_modified")).alias("source_last_modified"), F.lit("decode failed again").alias("error"))
     return state.failed(X.tombstone(spark, sf), failures, X.RUN_AT, X.VERSION).drop("encoder_version")
 
 
@@ -426,16 +440,16 @@ def index_remove(spark, sf):
     return state.remove(X.index(spark, sf), dead, "content_id").select("content_id", "hash_count", "insert_seq")
 
 
-@query(f"SELECT source_key, source_etag, CASE WHEN i.content_id IS NOT NULL THEN 'psig:' || md5(m.content_id) ELSE m.content_id END AS content_id, CASE WHEN i.content_id IS NOT NULL THEN 'by-id/psig:' || md5(m.content_id) || '/' ELSE hls_root END AS hls_root, encoded_at, CASE WHEN i.content_id IS NOT NULL THEN '2.0.0' ELSE encoder_version END AS encoder_version FROM v_mapping m LEFT JOIN (SELECT content_id FROM v_index WHERE width >= 1000) i ON i.content_id = m.content_id")
+@query(f"SELECT source_key, source_etag, CASE WHEN i.content_id IS NOT NULL THEN 'psig:' || md5(m.content_id) ELSE m.content_id END AS content_id, CASE WHEN i.content_id IS NOT NULL THEN 'by-id/psig:' || md5(m.content_id) || '/master.m3u8' ELSE hls_root END AS hls_root, encoded_at, CASE WHEN i.content_id IS NOT NULL THEN '2.0.0' ELSE encoder_version END AS encoder_version FROM v_mapping m LEFT JOIN (SELECT content_id FROM v_index WHERE width >= 1000) i ON i.content_id = m.content_id")
 def repoint(spark, sf):
     moves = X.index(spark, sf).filter("width >= 1000").select(F.col("content_id").alias("old"), keys.content_id("psig", F.md5("content_id")).alias("new"))
-    out = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.by_id_prefix(F.col("content_id")))
+    out = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.master_key(F.col("content_id")))
     return out.select("source_key", "source_etag", "content_id", "hls_root", "encoded_at", "encoder_version")
 
 
-@query("SELECT source_key, hls_root || 'master.m3u8' AS master FROM v_mapping WHERE source_key IN (SELECT source_key FROM v_live)")
+@query("SELECT source_key, hls_root AS master FROM v_mapping WHERE source_key IN (SELECT source_key FROM v_live)")
 def client_resolve(spark, sf):
-    return X.mapping(spark, sf).join(X.live(spark, sf), "source_key", "left_semi").select("source_key", F.concat("hls_root", F.lit("master.m3u8")).alias("master"))
+    return X.mapping(spark, sf).join(X.live(spark, sf), "source_key", "left_semi").select("source_key", F.col("hls_root").alias("master"))
 
 
 # runs
@@ -460,12 +474,56 @@ def run_summary(spark, sf):
     return gates.summary(run_outcomes(spark, sf))
 
 
-@query("SELECT split_part(source_key, '/', 1) AS pair, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in gates.OUTCOMES) + f", count(*) AS total FROM {_OUTCOME} GROUP BY ROLLUP (split_part(source_key, '/', 1))")
+@query("SELECT split_part(source_key, '/', 1) AS pair, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{k}') AS {k}" for k in gates.OUTCOMES) + f", count(*) AS total, count(DISTINCT split_part(source_key, '/', 1)) AS pairs_processed FROM {_OUTCOME} GROUP BY ROLLUP (split_part(source_key, '/', 1))")
 def pairs_summary(spark, sf):
     """Counters of each bucket pair (here: the first part of the key) and, without a pair, their sum."""
     return gates.pair_summary(run_outcomes(spark, sf).withColumn("pair", F.substring_index("source_key", "/", 1)))
 
 
+_MOVED = "(SELECT content_id AS old, 'psig:' || md5(content_id) AS new FROM v_index WHERE width >= 1000)"
+_AFTER = f"""SELECT {{}} AS seen, 'mapping' AS kind, source_key AS key, coalesce(new, content_id) AS content_id, CASE WHEN new IS NULL THEN hls_root ELSE 'by-id/' || new || '/master.m3u8' END AS root FROM v_mapping LEFT JOIN {{}} ON content_id = old
+UNION ALL SELECT {{}}, 'output', coalesce(new, content_id) || '/' || rel_path, coalesce(new, content_id), NULL FROM v_output LEFT JOIN {{}} ON content_id = old
+UNION ALL SELECT {{}}, 'index', coalesce(new, content_id), coalesce(new, content_id), NULL FROM v_index LEFT JOIN {{}} ON content_id = old"""
+_NONE = "(SELECT '' AS old, '' AS new WHERE false)"
+
+
+@query(" UNION ALL ".join(_AFTER.format(*[f"'{at}'", moved] * 3) for at, moved in (("stopped", _NONE), ("committed", _MOVED))))
+def commit_recovery(spark, sf):
+    """What readers of a store see after a commit of three tables that stopped before its last step, and after it is run again."""
+    store = state.TableStore(spark, f"{scratch_dir(spark)}/mediacat-{uuid.uuid4().hex}")
+    indexed = X.index(spark, sf).withColumns({"interval_seconds": F.lit(2.0), "encoded_at": F.lit(X.ENCODED_AT)})
+    schemas = {"mappings": pipeline.MAPPING, "outputs": pipeline.OUTPUT, "index": pipeline.INDEX}
+    start = {"mappings": X.mapping(spark, sf), "outputs": X.output(spark, sf), "index": indexed}
+    state.apply(store, [(n, schemas[n], "source_key" if n == "mappings" else "content_id", start[n], None) for n in start])
+    moves = stored(X.index(spark, sf).filter("width >= 1000").select(F.col("content_id").alias("old"), keys.content_id("psig", F.md5("content_id")).alias("new")))
+    gone, named = moves.select(F.col("old").alias("content_id")), moves.withColumnRenamed("old", "content_id")
+
+    def renamed(name):
+        return lambda c: c.read(name, schemas[name]).join(named, "content_id").withColumn("content_id", F.col("new")).drop("new")
+
+    changes = [("outputs", schemas["outputs"], "content_id", renamed("outputs"), gone), ("index", schemas["index"], "content_id", renamed("index"), gone), ("mappings", schemas["mappings"], "source_key", lambda c: state.moved(c.read("mappings", schemas["mappings"]), moves, "2.0.0", keys.master_key(F.col("content_id"))), None)]
+
+    def seen(at):
+        row = lambda name, kind, key, root: store.read(name, schemas[name]).select(F.lit(at).alias("seen"), F.lit(kind).alias("kind"), key.alias("key"), "content_id", root.alias("root"))
+        none, cid = F.lit(None).cast("string"), F.col("content_id")
+        return row("mappings", "mapping", F.col("source_key"), F.col("hls_root")).unionByName(row("outputs", "output", F.concat_ws("/", cid, "rel_path"), none)).unionByName(row("index", "index", cid, none))
+
+    stopped = store.begin()
+    for name, schema, key, rows, out in changes:
+        stopped.change(name, schema, key, rows(stopped), out)
+    before = stored(seen("stopped"))
+    state.apply(store, changes)
+    return before.unionByName(seen("committed"))
+
+
+@query(f"SELECT source_key, {_ETAG}, size, last_modified, NULL::VARCHAR AS error FROM v_source WHERE {X.IS_VIDEO} AND NOT (source_key LIKE '%/' AND size = 0)")
+def paged_scan(spark, sf):
+    """`source_scan` over a listing that is read page by page, a task for each range of keys."""
+    pages = paged.written(X.source(spark, sf).select("source_key", "etag", "size", "last_modified"), f"{scratch_dir(spark)}/mediacat-{uuid.uuid4().hex}")
+    found = paged.listed(spark, paged.Files(pages))
+    return _iso(listing.scan(found)).select("source_key", "etag", "size", "last_modified", "error")
+
+
 _DIMS = f"SELECT video, {X._case(X.WIDTHS, 'video % 6')} AS w, {X._case(X.HEIGHTS, 'video % 6')} AS h, CASE WHEN video % 7 <> 0 THEN (500 + video % 4000)::INTEGER END AS kbps FROM v_fingerprint"
 
 
@@ -495,7 +553,7 @@ def repoint_gc(spark, sf):
     """What there is after replaced contents' mappings have moved and their outputs and index entries have gone."""
     moves = X.index(spark, sf).filter("width >= 1000").select(F.col("content_id").alias("old"), keys.content_id("psig", F.md5("content_id")).alias("new"))
     outputs = X.output(spark, sf)
-    mappings = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.by_id_prefix(F.col("content_id")))
+    mappings = state.repointed(X.mapping(spark, sf), moves, "2.0.0", keys.master_key(F.col("content_id")))
     gone = moves.select(F.col("old").alias("content_id"))
     key = F.concat(keys.by_id_prefix(F.col("content_id")), "rel_path")
     row = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), key.alias("key"), "content_id")

@@ -13,19 +13,11 @@ from pyspark.sql import functions as F
 
 from mediacat.functions import hashing, keys, media
 
+ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 RUN_AT, ENCODED_AT, VERSION = "2024-06-01T00:00:00Z", "2024-05-01T00:00:00Z", "1.0.0"
 EXTENSIONS = (".mp4", ".MOV", ".mkv", ".jpg", ".PNG", ".webp", ".txt", "")
 OUTPUT_FILES = ("master.m3u8", "metadata.json", "360p/index.m3u8", "360p/init.mp4", "360p/seg_00000.m4s", "360p/seg_00001.m4s", "720p/index.m3u8", "720p/init.mp4", "720p/seg_00000.m4s")
 WIDTHS, HEIGHTS = (320, 640, 854, 1280, 1920, 3840), (240, 360, 480, 720, 1080, 2160)
-PAIRS = (
-    ("in", "https://S3.example.com", "", "out", "https://s3.example.com", ""),
-    ("media", "https://s3.example.com:443", "a/", "media", "https://s3.example.com", "a/b/"),
-    ("media", "https://s3.example.com", "x/", "media", "https://s3.example.com", "y/"),
-    ("logs", "http://store.local:9000", "", "logs", "http://store.local:9000", "z/"),
-    ("logs", "http://store.local:9000", "", "logs", "http://store.local:9001", ""),
-    ("raw", "not a url", "", "RAW", "NOT A URL", ""),
-)
-CREDENTIALS = (("", "", "env-key", "", "", ""), ("own", "pair", "env-key", "eu", "", "us"), ("", "pair", "env-key", "", "ap", "us"), ("", "", "", "", "", "us"))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +40,10 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(key.alias("source_key"), etag.alias("etag"), F.col("n_chars").alias("size"), F.timestamp_add("MINUTE", F.col("doc_id").cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("last_modified"), F.col("text").alias("content"), "doc_id")
 
 
+def source_time(last_modified: Column) -> Column:
+    return F.date_format(last_modified, ISO)
+
+
 def digest(content: Column) -> Column:
     return keys.content_id("sha256", F.sha2(content, 256))
 
@@ -61,12 +57,12 @@ def _mapped(s: DataFrame) -> DataFrame:
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mapped(source(spark, sf_dir).filter(keys.is_video(F.col("source_key"))))
-    return m.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), "last_modified", "content_id", keys.by_id_prefix(F.col("content_id")).alias("hls_root"), F.lit(ENCODED_AT).alias("encoded_at"), F.lit(VERSION).alias("encoder_version"))
+    return m.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), source_time(F.col("last_modified")).alias("source_last_modified"), "content_id", keys.master_key(F.col("content_id")).alias("hls_root"), F.lit(ENCODED_AT).alias("encoded_at"), F.lit(VERSION).alias("encoder_version"))
 
 
 def image_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mapped(source(spark, sf_dir).filter(keys.is_image(F.col("source_key"))))
-    return m.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), F.sha2("content", 256).alias("pdq_hash"), (F.col("doc_id") % 101).cast("int").alias("quality"), F.lit(ENCODED_AT).alias("hashed_at"), F.lit(VERSION).alias("hasher_version"))
+    return m.select("source_key", F.col("etag").alias("source_etag"), F.col("size").alias("source_size"), source_time(F.col("last_modified")).alias("source_last_modified"), F.sha2("content", 256).alias("pdq_hash"), (F.col("doc_id") % 101).cast("int").alias("quality"), F.lit(ENCODED_AT).alias("hashed_at"), F.lit(VERSION).alias("hasher_version"))
 
 
 def tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +70,7 @@ def tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = _table(spark, sf_dir, "events").filter("event_type = 'error'").groupBy(F.col("user_id").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("attempts"))
     s = source(spark, sf_dir).join(failed, "doc_id")
     attempts = F.when(_digit(F.col("source_key"), 4) < "8", F.lit(2)).otherwise(F.col("attempts"))
-    return s.select("source_key", F.replace("etag", F.lit('"'), F.lit("")).alias("source_etag"), F.col("size").alias("source_size"), F.lit("decode failed").alias("error"), F.lit(ENCODED_AT).alias("failed_at"), attempts.alias("attempts"), F.lit(VERSION).alias("encoder_version"))
+    return s.select("source_key", F.replace("etag", F.lit('"'), F.lit("")).alias("source_etag"), F.col("size").alias("source_size"), source_time(F.col("last_modified")).alias("source_last_modified"), F.lit("decode failed").alias("error"), F.lit(ENCODED_AT).alias("failed_at"), attempts.alias("attempts"), F.lit(VERSION).alias("encoder_version"))
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,12 +143,19 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("content_id", (key % 50 + 1).cast("int").alias("hash_count"), _pick(WIDTHS, key % 6).alias("width"), _pick(HEIGHTS, key % 6).alias("height"), F.when(key % 7 != 0, (500 + key % 4000).cast("int")).alias("video_bitrate_kbps"), key.alias("insert_seq"))
 
 
-def pairs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, s_bucket string, s_endpoint string, s_prefix string, d_bucket string, d_endpoint string, d_prefix string")
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, side (source or dest), endpoint, bucket, prefix: a bucket of a pair for each page's url, its host spelled in different ways."""
+    u = _table(spark, sf_dir, "pages").filter(F.col("url").contains("://")).select("page_id", F.regexp_extract("url", "^([^:]+://[^/?#:]+)", 1).alias("at"), F.regexp_extract("url", "^[^:]+://[^/?#]+/([^?#]*)", 1).alias("prefix"))
+    p = F.col("page_id")
+    at = F.when(p % 3 == 0, F.upper("at")).when((p % 3 == 1) & F.startswith("at", F.lit("https")), F.concat("at", F.lit(":443"))).otherwise(F.col("at"))
+    return u.select("page_id", F.when(p % 2 == 0, "source").otherwise("dest").alias("side"), at.alias("endpoint"), F.concat(F.lit("b"), (p % 3).cast("string")).alias("bucket"), "prefix")
 
 
-def credentials(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(CREDENTIALS)], "i int, key_bucket string, key_pair string, key_env string, region_bucket string, region_pair string, region_env string")
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey and what a bucket, its pair and the environment say of a key and a region; empty where nothing."""
+    k = F.col("c_custkey")
+    some = lambda when, what: F.when(when, what).otherwise(F.lit(""))
+    return _table(spark, sf_dir, "customer").select(k, some(k % 3 == 0, F.col("c_name")).alias("key_bucket"), some(k % 2 == 0, F.concat(F.lit("pair-"), "c_name")).alias("key_pair"), some(k % 5 != 0, F.lit("env")).alias("key_env"), some(k % 4 == 0, F.lower("c_mktsegment")).alias("region_bucket"), some(k % 7 == 0, F.lit("ap")).alias("region_pair"), some(k % 11 == 0, F.lit("us")).alias("region_env"))
 
 
 def ladder_rungs(spark: SparkSession) -> DataFrame:
@@ -178,10 +181,10 @@ VIEWS = {
     "v_source": f"""SELECT source || '/' || lang || '/doc-' || doc_id || {_case(EXTENSIONS, f'doc_id % {len(EXTENSIONS)}')} AS source_key, '"' || md5(text) || '"' AS etag, n_chars AS size,
   strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') AS last_modified, text AS content, doc_id FROM documents""",
     "v_mapped": _MAPPED,
-    "v_mapping": f"""SELECT source_key, etag AS source_etag, size AS source_size, last_modified, content_id, 'by-id/' || content_id || '/' AS hls_root, '{ENCODED_AT}' AS encoded_at, '{VERSION}' AS encoder_version
+    "v_mapping": f"""SELECT source_key, etag AS source_etag, size AS source_size, last_modified AS source_last_modified, content_id, 'by-id/' || content_id || '/master.m3u8' AS hls_root, '{ENCODED_AT}' AS encoded_at, '{VERSION}' AS encoder_version
   FROM v_mapped WHERE {IS_VIDEO}""",
-    "v_image_mapping": f"""SELECT source_key, etag AS source_etag, size AS source_size, sha256(content) AS pdq_hash, (doc_id % 101)::INTEGER AS quality, '{ENCODED_AT}' AS hashed_at, '{VERSION}' AS hasher_version FROM v_mapped WHERE {IS_IMAGE}""",
-    "v_tombstone": f"""SELECT source_key, replace(etag, '"', '') AS source_etag, size AS source_size, 'decode failed' AS error, '{ENCODED_AT}' AS failed_at,
+    "v_image_mapping": f"""SELECT source_key, etag AS source_etag, size AS source_size, last_modified AS source_last_modified, sha256(content) AS pdq_hash, (doc_id % 101)::INTEGER AS quality, '{ENCODED_AT}' AS hashed_at, '{VERSION}' AS hasher_version FROM v_mapped WHERE {IS_IMAGE}""",
+    "v_tombstone": f"""SELECT source_key, replace(etag, '"', '') AS source_etag, size AS source_size, last_modified AS source_last_modified, 'decode failed' AS error, '{ENCODED_AT}' AS failed_at,
   (CASE WHEN {_STATE.format(4)} < '8' THEN 2 ELSE n END)::INTEGER AS attempts, '{VERSION}' AS encoder_version
   FROM v_source JOIN (SELECT user_id AS doc_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) USING (doc_id)""",
     "v_live": f"SELECT source_key FROM v_source WHERE {_STATE.format(3)} > '2'",
@@ -196,8 +199,10 @@ VIEWS = {
   UNION ALL SELECT video + 200000, list_slice(hashes, 1, len(hashes) - 1) FROM v_own)""",
     "v_index": f"""SELECT content_id, (k % 50 + 1)::INTEGER AS hash_count, {_case(WIDTHS, 'k % 6')} AS width, {_case(HEIGHTS, 'k % 6')} AS height, CASE WHEN k % 7 <> 0 THEN (500 + k % 4000)::INTEGER END AS video_bitrate_kbps, k AS insert_seq
   FROM (SELECT content_id, regexp_extract(min(source_key), 'doc-(\\d+)', 1)::BIGINT AS k FROM v_mapping GROUP BY 1)""",
-    "v_pair": "SELECT * FROM (VALUES " + ", ".join(str((i, *p)) for i, p in enumerate(PAIRS)) + ") t(i, s_bucket, s_endpoint, s_prefix, d_bucket, d_endpoint, d_prefix)",
-    "v_credential": "SELECT * FROM (VALUES " + ", ".join(str((i, *c)) for i, c in enumerate(CREDENTIALS)) + ") t(i, key_bucket, key_pair, key_env, region_bucket, region_pair, region_env)",
+    "v_bucket": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'source' ELSE 'dest' END AS side, CASE WHEN page_id % 3 = 0 THEN upper(site) WHEN page_id % 3 = 1 AND starts_with(site, 'https') THEN site || ':443' ELSE site END AS endpoint, 'b' || page_id % 3 AS bucket, prefix
+  FROM (SELECT page_id, regexp_extract(url, '^([^:]+://[^/?#:]+)', 1) AS site, regexp_extract(url, '^[^:]+://[^/?#]+/([^?#]*)', 1) AS prefix FROM pages WHERE contains(url, '://'))""",
+    "v_credential": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '' END AS key_bucket, CASE WHEN c_custkey % 2 = 0 THEN 'pair-' || c_name ELSE '' END AS key_pair, CASE WHEN c_custkey % 5 <> 0 THEN 'env' ELSE '' END AS key_env,
+  CASE WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment) ELSE '' END AS region_bucket, CASE WHEN c_custkey % 7 = 0 THEN 'ap' ELSE '' END AS region_pair, CASE WHEN c_custkey % 11 = 0 THEN 'us' ELSE '' END AS region_env FROM customer""",
     "v_ladder": "SELECT * FROM (VALUES " + ", ".join(str((i, *r)) for i, r in enumerate(media.LADDER)) + ") t(ord, name, w, h, video_kbps, audio_kbps)",
 }
 

@@ -19,6 +19,17 @@ def tree(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     return files.select(key.alias("source_key"), stamp.alias("etag"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
 
 
+class Incomplete(RuntimeError):
+    """A listing that ended with an error."""
+
+
+def whole(listing: DataFrame) -> DataFrame:
+    """The listing if none of its rows is an error; else raises Incomplete with the first. What is not listed is not known to be gone, so nothing may be cleaned up after it."""
+    if "error" in listing.columns and (bad := listing.filter("error is not null").select("error").first()):
+        raise Incomplete(bad["error"])
+    return listing
+
+
 def scan(listing: DataFrame, prefix: str = "", where: Callable[[Column], Column] | None = keys.is_video) -> DataFrame:
     """The listing's usable rows: complete, no folder marks, under the prefix, of the wanted kind (None: all); etags without quotes.
 
