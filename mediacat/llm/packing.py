@@ -15,8 +15,9 @@ is not one task); the plan's runs map (length, number) to a sequence and a place
 at most a few runs for each pair of a length and a class of sequences, so the plan's size
 depends on the capacity alone.
 
-Tokens: each white-space word of a text in a plain Latin range is encoded once per worker
-and kept (bounded); other texts are encoded whole. Both give the tokenizer's own ids.
+Tokens: words of texts in a plain Latin range, cut at white space and at signs behind letters, are
+made distinct in arrays, and each is encoded once per worker and kept (bounded, forgotten whole
+when full); other texts are encoded whole. Both give the tokenizer's own ids.
 
 Defined cases: null and empty texts are one end token; texts over the capacity are cut into
 full pieces and a rest; repeated rows are packed each, and
@@ -33,9 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediacat.llm import kernels as K
 from mediacat.llm.common import digest_bucket, ranked, slices, stored, table
 
 CAPACITY = 2048
@@ -46,6 +49,10 @@ _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
 
 
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[*b".,;:!?"]] = True
+
+
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes, without special tokens added."""
 
@@ -55,9 +62,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        #: Words in use, and those in use before; when the first are half of `cache` they replace the second.
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each word that is kept (UTF-8), the ids of all of them in a row, and where each word's are.
+        self.words: dict[bytes, int] = {}
+        self.ids, self.at = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str, cache: int = CACHE) -> Encoder:
@@ -79,30 +89,62 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words to those known; a word with other signs is its parts' ids in a row."""
-        known = self.words
-        mixed = [(w, _PARTS.findall(w)) for w in words if not w.isalpha()]
-        new = list({p for _, parts in mixed for p in parts if p not in known}.union(filter(str.isalpha, words)))
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds words to those kept; a word with other signs is its parts' ids in a row."""
+        texts = [w.decode() for w in words]
+        mixed = {w: _PARTS.findall(w) for w in texts if not w.isalpha()}
+        have = lambda p: self.words.get(p.encode())
+        known = {p: self.ids[self.at[n] : self.at[n + 1]].tobytes() for parts in mixed.values() for p in parts if (n := have(p)) is not None}
+        new = list({p for parts in mixed.values() for p in parts if p not in known}.union(w for w in texts if w not in mixed))
         for i in range(0, len(new), 1024):
             known.update(zip(new[i : i + 1024], self._encode_parts(new[i : i + 1024]), strict=True))
-        for w, parts in mixed:
-            known[w] = b"".join([known[p] for p in parts])
+        made = [b"".join([known[p] for p in mixed[w]]) if w in mixed else known[w] for w in texts]
+        for w in words:
+            self.words[w] = len(self.words)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(made), "<u4")])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(m) // 4 for m in made])])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: their words in lower case, each distinct one looked up once."""
+        data, off = K.utf8(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        blank = (data == 32) | (data == 9) | (data == 10) | (data == 13)
+        hard = np.flatnonzero((data[1:] == 0xA0) & (data[:-1] == 0xC2))  # the space that does not break a line
+        blank[hard] = blank[hard + 1] = True
+        word = ~blank
+        edge = np.zeros(len(data) + 1, bool)
+        edge[off] = True
+        starts, ends = word.copy(), word.copy()
+        # a sign behind a letter is a part of its own
+        sign = _SIGNS[data[1:]] & (data[:-1] >= 97) & (data[:-1] <= 122)
+        starts[1:] &= blank[:-1] | edge[1:-1] | sign
+        ends[:-1] &= blank[1:] | edge[1:-1] | sign
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        cuts = np.concatenate([[0], np.cumsum(ends - starts)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[word])]).dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        get = self.words.get
+        number = np.array([get(w, -1) for w in keys], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(self.words) + len(new) > self.cache:
+            self._forget()
+            new = np.arange(len(keys))
+        if len(new):
+            number[new] = np.arange(len(self.words), len(self.words) + len(new))
+            self._learn([keys[i] for i in new.tolist()])
+        number = number[coded.indices.to_numpy()]
+        many = self.at[number + 1] - self.at[number]
+        ends = np.cumsum(many)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[number] - ends + many, many)].tobytes()
+        places = 4 * np.concatenate([[0], ends])[np.searchsorted(starts, off)]
+        return [ids[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 256):
-            plain = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts[i : i + 256]]
-            need = set().union(*[w for w in plain if w is not None])
-            # not a difference of sets: that would go over all words known
-            new = [w for w in need if w not in self.words]
-            if len(self.words) + len(new) > self.cache // 2:
-                self.older, self.words = self.words, {}
-                new = list(need)
-            again = {w: self.older[w] for w in new if w in self.older}
-            self.words.update(again)
-            self._learn([w for w in new if w not in again])
-            for text, words in zip(texts[i : i + 256], plain, strict=True):
-                yield b"".join(map(self.words.__getitem__, words)) if words is not None else self._encode([text])[0]
+        for i in range(0, len(texts), 512):
+            some = texts[i : i + 512]
+            plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in some]
+            found = iter(self._plain([t for t, p in zip(some, plain, strict=True) if p]))
+            for t, p in zip(some, plain, strict=True):
+                yield next(found) if p else self._encode([t])[0]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
