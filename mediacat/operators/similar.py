@@ -115,7 +115,7 @@ def sequence_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHO
 
     A sequence stands for all its videos, so a hot one is one row a side.
     """
-    sa, sb = (df.groupBy(F.col("sequence").alias(k)).agg(F.first("hashes").alias("hashes")) for df, k in ((left, "sa"), (right, "sb")))
+    sa, sb = (stored(df.groupBy(F.col("sequence").alias(k)).agg(F.first("hashes").alias("hashes"))) for df, k in ((left, "sa"), (right, "sb")))
     both = candidates(sa, sb, threshold).join(sa.withColumnRenamed("hashes", "ha"), "sa").join(sb.withColumnRenamed("hashes", "hb"), "sb")
     return both.withColumn("similarity", hashing.similarity(F.col("ha"), F.col("hb"))).filter(F.col("similarity") >= threshold).select("sa", "sb", "similarity")
 
