@@ -6,7 +6,8 @@ filter; very long texts are read whole; repeated rows are judged alike by the fi
 equal or near texts the least id stays, with all its rows of that text; rows that share an id are
 judged by their own texts; an empty table passes through; a stage never looks at columns other than doc_id and text (and n_chars, which
 redaction keeps true), whatever the others are called; rows without id are never copies.
-Stages share executors, so each asks for short Arrow batches and its workers give memory back.
+Stages share executors, so each asks for short Arrow batches, and its workers give memory back
+and drop what tasks of other stages have kept in them.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import gc
 import sys
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +55,21 @@ def released() -> None:
             trim(0)
 
 
+#: What drops the memory that an operator's tasks keep in a worker for later ones, by operator.
+KEPT: dict[str, Callable[[], object]] = {}
+
+
+def turn(owner: str, drop: Callable[[], object] | None = None) -> None:
+    """Called where a task of an operator begins: what other operators' tasks have kept in this worker goes. drop: how to drop what this one will keep."""
+    others = [k for k in KEPT if k != owner]
+    for k in others:
+        KEPT.pop(k)()
+    if drop is not None:
+        KEPT[owner] = drop
+    if others:
+        released()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to at most so many rows, so that a worker makes few Python strings at once."""
     for batch in batches:

@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import kernels as K
-from mediacat.llm.common import released, stored, table
+from mediacat.llm.common import released, stored, table, turn
 from mediacat.operators.graph import components
 
 #: A side of at most so many rows of two numbers is broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Shingles of a bucket of the survivors' step, on average, and shingles that a task packs at once.
-BUCKET, PACK = 1_000_000, 800_000
+BUCKET, PACK = 700_000, 500_000
 #: Stands for several sets that a task has met a shingle in.
 SEVERAL = np.uint64(0)
 LEADER_ROUNDS = 3
@@ -100,6 +100,7 @@ def signature(of: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
+        turn("ngram_join")
         for batch in batches:
             for a, b, data, off in K.blocks(batch.column(1)):
                 size, s1, s2 = signature(*shingles(data, off, n), b - a)
@@ -197,6 +198,7 @@ def survivors(docs: DataFrame, classes: DataFrame, n: int, least: Fraction) -> D
     buckets = max(8, -(-total // BUCKET))
 
     def run(batches):
+        turn("ngram_join")
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for batch in batches:
@@ -230,6 +232,7 @@ def _token_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """id, tokens (sorted distinct shingle hashes) of the chosen classes, from rows of the ids that stand for them."""
 
     def run(batches):
+        turn("ngram_join")
         for batch in batches:
             for a, b, data, off in K.blocks(batch.column(1)):
                 of, h = shingles(data, off, n)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import kernels as K
-from mediacat.llm.common import digest_bucket, ranked, slices, stored, table
+from mediacat.llm.common import digest_bucket, ranked, slices, stored, table, turn
 
 CAPACITY = 2048
 #: Words that a worker keeps the ids of.
@@ -156,6 +156,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
+        turn("packing", Encoder._made.clear)
         encoder = Encoder.of(path, cache)
         for batch in slices(batches):
             yield pieces(encoder, batch)

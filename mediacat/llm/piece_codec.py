@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm import kernels as K
-from mediacat.llm.common import released, table
+from mediacat.llm.common import released, table, turn
 
 SPACE = 0x2581
 #: Symbols from here on are characters that no piece holds.
@@ -442,6 +442,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     names = ["doc_id", *[c.split()[0] for c in kinds.split(", ")]]
 
     def run(batches):
+        turn("piece_codec", Codec._made.clear)
         codec = Codec.of(path)
         for batch in batches:
             for a, b, columns in _coded(codec, batch.column(1), digests):

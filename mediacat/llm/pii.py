@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediacat.llm.boosting import Boosted, calibrated
-from mediacat.llm.common import slices, table
+from mediacat.llm.common import slices, table, turn
 
 #: Kinds in the order that spans are listed in; the first four have base formats.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
@@ -337,6 +337,7 @@ def found(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or train()
 
     def run(batches):
+        turn("pii")
         for batch in slices(batches):
             spans = spans_of(batch.column(1).to_pylist(), model)
             rows = pa.array([[{"kind": k, "start": s, "end": e, "base": b} for k, s, e, b in one] for one in spans], _TYPE)
@@ -361,6 +362,7 @@ def redacted(docs: DataFrame, model: Model | None = None, text: str = "text") ->
     place = docs.columns.index(text)
 
     def run(batches):
+        turn("pii")
         for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             new = [t and blanked(t, s) for t, s in zip(texts, spans_of(texts, model), strict=True)]

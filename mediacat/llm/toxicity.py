@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediacat.llm.common import fold, released, stored, table
+from mediacat.llm.common import fold, released, stored, table, turn
 
 N, DECAY = 4, 0.5
 #: Letters of a token, tokens of a sentence that are read at once; letters of tokens that are read with a neighbour; letters of pieces of longer tokens.
@@ -565,6 +565,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5)."""
 
     def run(batches):
+        turn("toxicity", _MET.clear)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
@@ -580,6 +581,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches):
+        turn("toxicity", _MET.clear)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
