@@ -84,12 +84,12 @@ class Pass:
         known = index.join(blobs, "content_id").select("content_id", "width", "height", F.col("video_bitrate_kbps").alias("kbps"), hashing.blob_hashes(F.col("blob")).alias("hashes"), F.concat(F.lit("0"), F.lpad(F.col("insert_seq").cast("string"), 20, "0")).alias("video"))
         new = fresh.join(seen, "content_id").select("content_id", "width", "height", F.col("bitrate_kbps").alias("kbps"), "hashes", F.concat(F.lit("1"), "source_key").alias("video"))
         both = scratch.stored(known.withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False))).withColumn("n", F.size("hashes")))
-        frames = both.select("video", "hashes", "n")
+        both = similar.sequences(both)
         if self.perceptual_dry_run:
-            links = self.store.spark.createDataFrame([], "a string, b string, similarity double")
+            links = self.store.spark.createDataFrame([], both.select(F.col("sequence").alias("sa"), F.col("sequence").alias("sb"), F.lit(0.0).alias("similarity")).schema)
         else:
-            links = scratch.stored(similar.links(frames.join(both.filter("not known").select("video"), "video", "left_semi"), frames.join(both.filter("known").select("video"), "video", "left_semi"), self.threshold))
-        folded = resolve.greedy(both.select("video", "width", "height", "kbps", "known"), links, self.threshold)
+            links = similar.sequence_pairs(both.filter("not known"), both, self.threshold)
+        folded = resolve.greedy_by_sequence(both.select("video", "sequence", "width", "height", "kbps", "known"), links, self.threshold)
         name = lambda side, out: both.select(F.col("video").alias(side), F.col("content_id").alias(out))
         return folded.join(name("video", "content_id"), "video").join(name("final", "end"), "final").select("content_id", "outcome", F.col("end").alias("final"))
 

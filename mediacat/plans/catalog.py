@@ -234,12 +234,25 @@ def _dims() -> tuple[Column, Column, Column]:
     return pick(X.WIDTHS), pick(X.HEIGHTS), F.when(F.col("video") % 7 != 0, (500 + F.col("video") % 4000).cast("int"))
 
 
-@query(None)
+_DIMS = f"SELECT video, {X._case(X.WIDTHS, 'video % 6')} AS w, {X._case(X.HEIGHTS, 'video % 6')} AS h, CASE WHEN video % 7 <> 0 THEN (500 + video % 4000)::INTEGER END AS kbps FROM v_fingerprint"
+#: The fold itself, video by video in order, with the list of entries that are open.
+_GREEDY = f"""SELECT * FROM (WITH RECURSIVE v AS (SELECT video, w::BIGINT * h AS pixels, kbps, row_number() OVER (ORDER BY video) AS i FROM ({_DIMS})),
+met AS (SELECT b.video, list(struct_pack(u := a.video, pixels := x.pixels, kbps := x.kbps) ORDER BY {_SIM} DESC, a.video) AS earlier FROM v_fingerprint a JOIN v_fingerprint b ON a.video < b.video JOIN v x ON x.video = a.video
+  WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7 AND {_SIM} >= 0.95 GROUP BY b.video),
+step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS entries, NULL::BIGINT AS video, NULL::VARCHAR AS outcome, NULL::BIGINT AS best
+  UNION ALL SELECT i, CASE WHEN b IS NULL THEN list_append(entries, video) WHEN better THEN list_append(list_filter(entries, lambda e: e <> b.u), video) ELSE entries END, video, CASE WHEN b IS NULL THEN 'transcoded' WHEN better THEN 'replaced' ELSE 'deduped' END, b.u
+  FROM (SELECT *, CASE WHEN pixels <> b.pixels THEN pixels > b.pixels ELSE coalesce(kbps > b.kbps, false) END AS better
+    FROM (SELECT v.i, v.video, v.pixels, v.kbps, s.entries, list_filter(coalesce(m.earlier, []), lambda e: list_contains(s.entries, e.u))[1] AS b FROM step s JOIN v ON v.i = s.i + 1 LEFT JOIN met m ON m.video = v.video))),
+decided AS (SELECT video, outcome, CASE WHEN outcome = 'deduped' THEN best ELSE video END AS target, CASE WHEN outcome = 'replaced' THEN best END AS old FROM step WHERE i > 0),
+walk AS (SELECT video, target AS final FROM decided UNION ALL SELECT w.video, d.video FROM walk w JOIN decided d ON d.old = w.final)
+SELECT video, outcome, target, (SELECT max(final) FROM walk w WHERE w.video = d.video) AS final FROM decided d)"""
+
+
+@query(_GREEDY)
 def greedy_resolve(spark, sf):
-    f = X.fingerprint(spark, sf)
-    links = similar.pairs(f, f).filter("a < b")
-    v = f.select("video", *[c.alias(n) for c, n in zip(_dims(), ("width", "height", "kbps"), strict=True)])
-    return resolve.greedy(v, links, similar.THRESHOLD)
+    f = similar.sequences(X.fingerprint(spark, sf))
+    v = f.select("video", "sequence", *[c.alias(n) for c, n in zip(_dims(), ("width", "height", "kbps"), strict=True)])
+    return resolve.greedy_by_sequence(v, similar.sequence_pairs(f, f), similar.THRESHOLD)
 
 
 # media
@@ -524,9 +537,6 @@ def paged_scan(spark, sf):
     return _iso(listing.scan(found)).select("source_key", "etag", "size", "last_modified", "error")
 
 
-_DIMS = f"SELECT video, {X._case(X.WIDTHS, 'video % 6')} AS w, {X._case(X.HEIGHTS, 'video % 6')} AS h, CASE WHEN video % 7 <> 0 THEN (500 + video % 4000)::INTEGER END AS kbps FROM v_fingerprint"
-
-
 @query(f"""SELECT p.video, coalesce(m.b, p.video) AS target, CASE WHEN m.b IS NULL THEN 'processed' WHEN CASE WHEN x.w::BIGINT * x.h <> y.w::BIGINT * y.h THEN x.w::BIGINT * x.h > y.w::BIGINT * y.h ELSE coalesce(x.kbps > y.kbps, false) END THEN 'replaced' ELSE 'deduped' END AS outcome
 FROM (SELECT video FROM v_fingerprint WHERE video >= 100000) p LEFT JOIN (SELECT a, arg_max(b, s * 1000000 - b / 10000000.0) AS b FROM (SELECT a.video AS a, b.video AS b, {_SIM} AS s FROM v_fingerprint a JOIN v_fingerprint b ON a.video >= 100000 AND b.video < 100000
   WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7) WHERE s >= 0.95 GROUP BY a) m ON m.a = p.video

@@ -306,6 +306,45 @@ def test_resolver_equals_one_fold(spark):
     assert sorted(tuple(x) for x in resolve.greedy(v, e, 0.95).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_resolver_by_sequences_equals_one_fold(spark, seed):
+    r = random.Random(seed)
+    # (sequence, pixels): few sequences, so many copies; the first is hot
+    videos = [(f"v{i:03}", min(r.randrange(30), r.randrange(30)) if i % 3 else 0, r.choice([100, 200, 300, None]), 1, r.choice([None, 5, 6, 7]), i < 12 and i % 2 == 0) for i in range(150)]
+    close = {(c, c): 1.0 for c in range(30) if c != 7}
+    for _ in range(50):
+        a, b = r.randrange(30), r.randrange(30)
+        if a != b:
+            close[a, b] = close[b, a] = r.choice([0.94, 0.95, 0.97, 1.0])
+    of = {v[0]: v[1] for v in videos}
+    similar = {(a, b): close[of[a], of[b]] for a in of for b in of if a < b and (of[a], of[b]) in close}
+    want = resolve.fold([(v, (w or 0) * h, k, known) for v, _, w, h, k, known in videos], similar, 0.95)
+    v = spark.createDataFrame(videos, "video string, sequence int, width int, height int, kbps int, known boolean")
+    e = spark.createDataFrame([(a, b, s) for (a, b), s in close.items()], "sa int, sb int, similarity double")
+    got = resolve.greedy_by_sequence(v, e, 0.95)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert {o for _, o, _, _ in want} == {"known", "deduped", "replaced", "transcoded"}
+
+
+def test_resolver_of_one_large_component(spark):
+    # 100,000 copies and near copies in one component; better ones appear along the way
+    n = 100_000
+    v = spark.range(n, numPartitions=8).select(
+        F.col("id").alias("video"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise((F.col("id") % 40).cast("int")).alias("sequence"), F.lit(1).alias("width"), (F.log2(F.col("id") + 1).cast("int") + 1).alias("height"), F.lit(None).cast("int").alias("kbps")
+    )
+    e = spark.range(40).select(F.col("id").cast("int").alias("sa")).crossJoin(spark.range(40).select(F.col("id").cast("int").alias("sb"))).withColumn("similarity", F.lit(1.0))
+    got = resolve.greedy_by_sequence(v, e, 0.95)
+    counts = {x["outcome"]: x["n"] for x in got.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"transcoded": 1, "replaced": 16, "deduped": n - 17}
+    assert [x[0] for x in got.select("final").distinct().collect()] == [2**16 - 1]
+
+
+def test_resolver_of_nothing(spark):
+    v = spark.createDataFrame([], "video long, sequence int, width int, height int, kbps int")
+    e = spark.createDataFrame([], "sa int, sb int, similarity double")
+    assert resolve.greedy_by_sequence(v, e, 0.95).collect() == []
+
+
 def test_banded_join_loses_nothing(spark):
     r = random.Random(5)
     rows = []
