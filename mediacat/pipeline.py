@@ -26,6 +26,7 @@ OUTPUT = "content_id string, rel_path string"
 INDEX = "content_id string, interval_seconds double, hash_count int, width int, height int, video_bitrate_kbps int, encoded_at string, insert_seq long"
 BLOB = "content_id string, blob binary"
 LEASE = "content_id string, worker string, until double"
+MARK = "name string, mark string"
 _RUNG = "name:string,width:int,height:int,video_bitrate_kbps:int,audio_bitrate_kbps:int"
 METADATA = f"content_id string, encoder_version string, encoded_at string, source struct<width:int,height:int,duration_seconds:double,bitrate_kbps:int>, ladder array<struct<{_RUNG}>>"
 #: Seconds between two frames of a fingerprint.
@@ -172,6 +173,38 @@ class Pass:
         state.apply(self.store, changes)
         return self._summary(skipped.unionByName(judged.select("source_key", "outcome")))
 
+    def _slice_end(self, objects: DataFrame, size: int) -> str | None:
+        """The key of the last of the first `size` sources that are neither cached nor blocked; none if there are no more than that."""
+        began = self.store.begin()
+        _, work = self._open(listing.scan(objects, self.prefix), began.read("mappings", MAPPING), began.read("tombstones", TOMBSTONE))
+        first = gates.within_budget(work.select("source_key"), size + 1).agg(F.count(F.lit(1)).alias("n"), F.max("source_key").alias("last")).first()
+        if first["n"] <= size:
+            return None
+        return work.filter(F.col("source_key") < first["last"]).agg(F.max("source_key")).first()[0]
+
+    def videos_by_slices(self, objects: DataFrame, content: Callable, probe: Callable, encode: Callable, size: int, go_on: Callable[[], bool], leased: DataFrame | None = None) -> tuple[dict, bool]:
+        """`videos` over ranges of keys with `size` open sources each, in order; counters, and whether all were done.
+
+        No slice is begun once `go_on` says no. The table `marks` keeps the key that a run came to
+        and the next run begins behind it, so the two decide every source once, as one run does; a
+        run that comes to the end removes the mark. A stop between a slice and its mark repeats the
+        slice, whose sources are cached then.
+        """
+        mark = self.store.read("marks", MARK).filter("name = 'videos'").first()
+        after, total = mark["mark"] if mark else None, {**dict.fromkeys(gates.OUTCOMES, 0), "total": 0}
+        mark_row = lambda m: self.store.spark.createDataFrame([("videos", m)], MARK)
+        while go_on():
+            rest = objects if after is None else objects.filter(F.col("source_key") > after)
+            end = self._slice_end(rest, size)
+            for k, v in self.videos(rest if end is None else rest.filter(F.col("source_key") <= end), content, probe, encode, leased).items():
+                total[k] += v
+            if end is None:
+                state.apply(self.store, [("marks", MARK, "name", None, mark_row(None).select("name"))])
+                return total, True
+            state.apply(self.store, [("marks", MARK, "name", mark_row(end), None)])
+            after = end
+        return total, False
+
     def images(self, objects: DataFrame, hasher: Callable[[DataFrame], DataFrame]) -> dict:
         """hasher: sources -> source_key, pdq_hash, quality, error. Images are neither deduplicated nor leased."""
         began = self.store.begin()

@@ -60,11 +60,14 @@ def run(
     files: Callable[[Pair], locking.Files] | None = None,
     stopped: Callable[[], bool] = lambda: False,
     clock: Callable[[], float] = time.monotonic,
+    slice_size: int | None = None,
 ) -> dict:
     """Counters by outcome, durationMs, pairsProcessed, totalPairs, and under `pairs` each pair's.
 
     No pair is begun after the budget or once `stopped`; a run that is stopped before its first
-    pair has counters of zero. Cleanup follows a pair's passes where the configuration asks for it.
+    pair has counters of zero. With `slice_size` a pair's videos are taken by so many at a time, none
+    are begun after the budget or once stopped either, and the next run goes on from there; a pair
+    left open (`open`) is not cleaned up. Cleanup follows a pair's passes where the configuration asks for it.
     """
     began, each, total = clock(), {}, _empty()
     for i, pair in enumerate(config.pairs):
@@ -74,25 +77,30 @@ def run(
         if files and lock is None:
             continue
         try:
-            each[i] = _pair(config, i, listed(pair), store(pair), media(pair), at, version)
+            each[i] = _pair(config, i, listed(pair), store(pair), media(pair), at, version, slice_size, lambda: not stopped() and clock() - began <= config.budget)
         finally:
             if lock:
                 lock.release()
         for k, v in each[i].items():
             if isinstance(v, int):
                 total[k] = total.get(k, 0) + v
-        if each[i].get("error"):
+        if each[i].get("error") or each[i].get("open"):
             break
     return {**total, "durationMs": int((clock() - began) * 1000), "pairsProcessed": len(each), "totalPairs": len(config.pairs), "pairs": each}
 
 
-def _pair(config: Config, i: int, objects: DataFrame, store: state.TableStore, media: Media, at: str, version: str) -> dict:
+def _pair(config: Config, i: int, objects: DataFrame, store: state.TableStore, media: Media, at: str, version: str, slice_size: int | None, go_on: Callable[[], bool]) -> dict:
     own = Pass(store, at, version, config.pairs[i][0].prefix, config.max_attempts if config.tombstones else 1 << 30, threshold=config.threshold, perceptual_dry_run=config.dry_run, ladder=config.ladder)
     try:
         objects = listing.whole(objects)
     except listing.Incomplete as e:
         return {**_empty(), "failed": 1, "total": 1, "error": str(e)}
-    out = own.videos(objects, media.content, media.probe, media.encode)
+    if slice_size:
+        out, whole = own.videos_by_slices(objects, media.content, media.probe, media.encode, slice_size, go_on)
+        if not whole:
+            return {**out, "open": "budget: the next run goes on"}
+    else:
+        out = own.videos(objects, media.content, media.probe, media.encode)
     if media.hasher:
         for k, v in replace(own).images(objects, media.hasher).items():
             out[k] = out.get(k, 0) + v

@@ -286,6 +286,25 @@ def test_failed_encodings_busy_contents_and_dry_runs(spark, tmp_path):
     assert more["processed"] == 1 and _maps(dry)["z.mp4"] == "6"
 
 
+def test_slices_stopped_by_a_clock_give_what_one_run_gives(spark, tmp_path):
+    objects = _objects(spark, [(f"{k}.mp4", f'"{e}"', 1) for k, e in zip("abcde", "19142", strict=True)])
+    one, two = (state.TableStore(spark, f"file:{tmp_path}/{n}") for n in ("one", "two"))
+    whole = Pass(one, "t", "1").videos(objects, _content, _probe(spark), _encode())
+    counts = []
+    for slices in (1, 5):
+        clock = iter([True] * slices + [False])
+        got, ended = Pass(two, "t", "1").videos_by_slices(objects, _content, _probe(spark), _encode(), 2, lambda c=clock: next(c))
+        counts.append(got)
+        assert ended == (slices == 5)
+        assert [r["mark"] for r in two.read("marks", pipeline.MARK).collect()] == ([] if ended else ["b.mp4"])
+    assert counts[0]["total"] == 2 and {k: counts[0][k] + counts[1][k] for k in whole} == whole
+    assert _maps(two) == _maps(one)
+    for name, schema in (("index", pipeline.INDEX), ("outputs", pipeline.OUTPUT), ("blobs", pipeline.BLOB)):
+        assert _ids(two, name, schema) == _ids(one, name, schema)
+    attempts = lambda s: [(r["source_key"], r["attempts"]) for r in s.read("tombstones", pipeline.TOMBSTONE).collect()]
+    assert attempts(two) == attempts(one) == [("b.mp4", 1)]
+
+
 def test_image_passes(spark, tmp_path):
     run = Pass(state.TableStore(spark, f"file:{tmp_path}"), "2024-01-01T00:00:00Z", "1", budget=1)
     objects = _objects(spark, [("a.jpg", '"1"', 1), ("b.png", '"1"', 1)])
