@@ -83,6 +83,18 @@ def _config(**more):
     return config.load({"BUCKETS_CONFIG": json.dumps(pairs), "CLEANUP_ENABLED": "true", **more})
 
 
+def test_a_run_stopped_inside_a_pair(spark, tmp_path):
+    c = _config(dests=("d0",))
+    store = state.TableStore(spark, f"file:{tmp_path}")
+    listed = lambda p: _objects(spark, [("a.mp4", '"1"', 1), ("b.mp4", '"4"', 1)]).withColumn("error", F.lit(None).cast("string"))
+    asked = iter([False, False, True])
+    go = lambda **more: runs.run(c, listed, lambda p: store, lambda p: runs.Media(_content, _probe(spark), _encode()), "t", "1", slice_size=1, **more)
+    one = go(stopped=lambda: next(asked))
+    assert (one["processed"], one["total"]) == (1, 1) and "open" in one["pairs"][0] and "cleaned" not in one["pairs"][0]
+    two = go()
+    assert (two["processed"], two["total"]) == (1, 1) and two["pairs"][0]["cleaned"] == 0
+
+
 def test_runs_over_pairs(spark, tmp_path):
     stores = {}
     store = lambda p: stores.setdefault(p[1].bucket, state.TableStore(spark, f"file:{tmp_path}/{p[1].bucket}"))
