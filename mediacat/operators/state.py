@@ -206,9 +206,11 @@ class Commit:
                 sizes[folder[3:]] = sizes.get(folder[3:], 0) + f.getLen()
         return {b: [version, n] for b, n in sizes.items()}
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        """The whole table."""
-        self.after[name] = {"buckets": 1, "at": self._written(name, df, None, 1, 1)}
+    def replace(self, name: str, df: DataFrame, key: str | None = None) -> None:
+        """The whole table. With a key it is dealt into buckets by the size that Spark expects of df, which is that of its files if df is stored."""
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() if key else 0
+        buckets = min(MOST, 1 << max(0, int(str(size)) // self.store.target).bit_length())
+        self.after[name] = {"buckets": buckets, "at": self._written(name, df, key, buckets, buckets)}
 
     def change(self, name: str, schema: str, key: str, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """rows replace what there is of their keys, and the keys of `gone` go; only buckets of these keys are written.

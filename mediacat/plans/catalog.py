@@ -12,7 +12,7 @@ from mediacat.functions import errors, hashing, keys, media
 from mediacat.operators import cleanup, gates, resolve, similar, state
 from mediacat.operators.scratch import scratch_dir, stored
 from mediacat.sources import fixtures as X
-from mediacat.sources import listing, paged
+from mediacat.sources import documents, listing, paged
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -537,6 +537,59 @@ def paged_scan(spark, sf):
     return _iso(listing.scan(found)).select("source_key", "etag", "size", "last_modified", "error")
 
 
+def _json_sql(fields: dict[str, str]) -> str:
+    """SQL of a document with these fields, given by name as JSON text."""
+    return "'{' || chr(10) || " + " || ',' || chr(10) || ".join(f"'  \"{name}\": ' || {value}" for name, value in fields.items()) + " || chr(10) || '}'"
+
+
+_MAPPING_JSON = _json_sql({n: f"to_json({c})" for n, c in (("sourceKey", "source_key"), ("sourceEtag", "source_etag"), ("sourceSize", "source_size"), ("sourceLastModified", "source_last_modified"), ("contentId", "content_id"), ("hlsRoot", "hls_root"), ("encodedAt", "encoded_at"), ("encoderVersion", "encoder_version"))})
+
+
+def _mapping_documents(spark, sf):
+    return X.mapping(spark, sf).select("source_key", keys.mapping_key(F.col("source_key")).alias("key"), documents.body(documents.MAPPING).alias("body"))
+
+
+@query(f"SELECT 'mappings/' || source_key || '.json' AS key, {_MAPPING_JSON} AS body, source_etag, source_size, source_last_modified, content_id, hls_root, NULL::VARCHAR AS error FROM v_mapping")
+def document_roundtrip(spark, sf):
+    """Mappings as documents, and what is read back from these."""
+    docs = _mapping_documents(spark, sf).select("key", "body")
+    back = documents.decoded(docs.withColumn("key", F.struct("key", "body")), documents.MAPPING)
+    return back.select("key.key", "key.body", "source_etag", "source_size", "source_last_modified", "content_id", "hls_root", "error")
+
+
+@query("""SELECT source_key AS object, CASE WHEN d IN ('0', '1', '3', '4') THEN NULL ELSE source_key END AS source_key, CASE WHEN d IN ('0', '1', '3', '4') THEN NULL ELSE source_size END AS source_size,
+  CASE WHEN d IN ('0', '1', '2', '3', '4') THEN NULL ELSE content_id END AS content_id,
+  CASE d WHEN '0' THEN 'document: broken JSON' WHEN '1' THEN 'sourceSize: not a whole number (long)' WHEN '3' THEN 'document: not an object' END AS error
+FROM (SELECT *, substr(md5(source_key), 5, 1) AS d FROM v_mapping)""")
+def document_import(spark, sf):
+    """Documents of mappings, some of which are cut off, of other types, without a field, or absent, by a digit of their key's md5."""
+    b = F.col("body")
+    digit = F.substring(F.md5("source_key"), 5, 1)
+    size = F.regexp_replace(b, r'"sourceSize": (\d+)', r'"sourceSize": "$1"')
+    spoilt = F.when(digit == "0", F.substr(b, F.lit(1), F.length(b) - 1)).when(digit == "1", size).when(digit == "2", F.regexp_replace(b, '"contentId": "[^"]*"', '"more": {"x": [1]}')).when(digit == "3", F.lit("[1]")).when(digit == "4", F.lit(None)).otherwise(b)
+    found = documents.decoded(_mapping_documents(spark, sf).select("key", spoilt.alias("body")), documents.MAPPING)
+    return found.select(keys.source_key_of(F.col("key")).alias("object"), "source_key", "source_size", "content_id", "error")
+
+
+#: Entries of an index document that the query makes.
+_PER_INDEX = 100
+
+
+@query(f"""SELECT format('fingerprints/index-{{:05d}}.json', doc) AS key, content_id, hash_count, video_bitrate_kbps, doc * 4294967296 + place AS insert_seq, NULL::VARCHAR AS error
+  FROM (SELECT *, insert_seq // {_PER_INDEX} AS doc, row_number() OVER (PARTITION BY insert_seq // {_PER_INDEX} ORDER BY insert_seq, content_id) - 1 AS place FROM v_index) WHERE doc % 5 <> 3 AND doc % 7 <> 5
+UNION ALL SELECT DISTINCT format('fingerprints/index-{{:05d}}.json', insert_seq // {_PER_INDEX}), NULL, NULL, NULL, NULL, CASE WHEN insert_seq // {_PER_INDEX} % 7 = 5 THEN 'document: broken JSON' ELSE 'unsupported fingerprint index version: 2' END
+  FROM v_index WHERE insert_seq // {_PER_INDEX} % 5 = 3 OR insert_seq // {_PER_INDEX} % 7 = 5""")
+def index_version(spark, sf):
+    """Index documents of few entries each; every fifth has another version, every seventh is cut off, and gives one error row."""
+    i = X.index(spark, sf).withColumns({"interval_seconds": F.lit(2.0), "encoded_at": F.lit(X.ENCODED_AT), "doc": F.floor(F.col("insert_seq") / _PER_INDEX)})
+    entry = F.struct("insert_seq", *[f.column for f in documents.ENTRY])
+    docs = i.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("entries")).withColumn("version", F.when(F.col("doc") % 5 == 3, 2).otherwise(1))
+    text = documents.body(documents.INDEX)
+    text = F.when(F.col("doc") % 7 == 5, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    found = documents.index_entries(docs.select(F.format_string("fingerprints/index-%05d.json", "doc").alias("key"), text.alias("body")))
+    return found.select("key", "content_id", "hash_count", "video_bitrate_kbps", "insert_seq", "error")
+
+
 @query(f"""SELECT p.video, coalesce(m.b, p.video) AS target, CASE WHEN m.b IS NULL THEN 'processed' WHEN CASE WHEN x.w::BIGINT * x.h <> y.w::BIGINT * y.h THEN x.w::BIGINT * x.h > y.w::BIGINT * y.h ELSE coalesce(x.kbps > y.kbps, false) END THEN 'replaced' ELSE 'deduped' END AS outcome
 FROM (SELECT video FROM v_fingerprint WHERE video >= 100000) p LEFT JOIN (SELECT a, arg_max(b, s * 1000000 - b / 10000000.0) AS b FROM (SELECT a.video AS a, b.video AS b, {_SIM} AS s FROM v_fingerprint a JOIN v_fingerprint b ON a.video >= 100000 AND b.video < 100000
   WHERE least(a.n, b.n) > 0 AND least(a.n, b.n) / greatest(a.n, b.n)::DOUBLE >= 0.7) WHERE s >= 0.95 GROUP BY a) m ON m.a = p.video
