@@ -89,7 +89,7 @@ def run(
     return {**total, "durationMs": int((clock() - began) * 1000), "pairsProcessed": len(each), "totalPairs": len(config.pairs), "pairs": each}
 
 
-def _pair(config: Config, i: int, objects: DataFrame, store: state.TableStore, media: Media, at: str, version: str, slice_size: int | None, go_on: Callable[[], bool]) -> dict:
+def _pair(config: Config, i: int, objects: DataFrame, store: state.TableStore, media: Media, at: str, version: str, slice_size: int | None = None, go_on: Callable[[], bool] = lambda: True) -> dict:
     own = Pass(store, at, version, config.pairs[i][0].prefix, config.max_attempts if config.tombstones else 1 << 30, threshold=config.threshold, perceptual_dry_run=config.dry_run, ladder=config.ladder)
     try:
         objects = listing.whole(objects)
