@@ -94,10 +94,13 @@ def _letters(seed: int, prime: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of a buffer: polynomials modulo two primes of 31 bits, scrambled to 64 bits."""
+    """Hashes of any byte ranges of a buffer: polynomials modulo two primes of 31 bits, scrambled to 64 bits.
 
-    def __init__(self, data: np.ndarray, seed: int = 1):
-        n = 1 << max(12, int(len(data)).bit_length())
+    room: for buffers of changing sizes, the least number of powers to be kept.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 1, room: int = 1 << 12):
+        n = 1 << int(max(len(data), room - 1)).bit_length()
         self.parts = []
         for prime in PRIMES:
             up, down = _powers(n, seed, prime)

@@ -22,6 +22,8 @@ earlier one would bring an earlier place; so step 3 has both.
 A task settles equal ranks and strings among its own documents before it sends any, so a
 passage in a third of all documents sends one record for each task; exact copies of whole
 texts are settled first, by digest. Memory: one bucket of about BUCKET records at a time.
+Disk: steps 2 and 3 run in ROUNDS rounds, each over its share of the hashes (equal strings are
+in one round), whose shuffle files go before the next.
 
 Defined cases: null and empty texts have no bytes and the digest of nothing; texts shorter
 than `length` stay whole; very long texts are read whole, as blocks of their own; ids should
@@ -34,6 +36,7 @@ strings; the hashes are polynomials modulo primes, of two seeds for open strings
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +55,8 @@ NAME = LENGTH - PERIOD + 1
 #: Records of a bucket, on average, and records that a task holds before it sends them.
 BUCKET, PACK = 1_200_000, 800_000
 BROADCAST_ROWS = 1_000_000
+#: Rounds of each sort, where the corpus is more than a few buckets.
+ROUNDS = 2
 
 #: Bytes that a record takes of its two keys: sample names and ranks, or suffix hashes alone.
 SAMPLES, SUFFIXES = (4, 8), (8, 3)
@@ -124,8 +129,13 @@ def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.binary())], names=["part", "kind", "blob"])
 
 
-def samples(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, places, names and ranks (64-bit hashes) of the cover sample of some rows' bytes."""
+def in_round(h: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """A mask of the hashes that a round takes: an even range of their upper halves."""
+    return (h >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == turn
+
+
+def samples(data: np.ndarray, off: np.ndarray, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, places, names and ranks (64-bit hashes) of a round's part of the cover sample of some rows' bytes."""
     size = np.diff(off)
     row = np.repeat(np.arange(len(size), dtype=np.int32), size)
     at = (np.arange(len(data)) - off[row]).astype(np.int64)
@@ -136,14 +146,17 @@ def samples(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row, at, n = row[p], at[p], size[row[p]]
     fits = at - (PERIOD - 1) <= n - LENGTH
     p, row, at, n = p[fits], row[fits], at[fits], n[fits]
-    left, right = np.minimum(PERIOD - 1, at), np.minimum(LENGTH, n - at)
     rolling = K.Rolling(data)
-    name, around = rolling.of(p, p + NAME), rolling.of(p - left, p + right)
+    name = rolling.of(p, p + NAME)
+    own = in_round(name, turn, rounds)
+    p, row, at, n, name = p[own], row[own], at[own], n[own], name[own]
+    left, right = np.minimum(PERIOD - 1, at), np.minimum(LENGTH, n - at)
+    around = rolling.of(p - left, p + right)
     return row, at, name, K.mix(around ^ (left * 128 + right).astype(np.uint64))
 
 
-def _sorted_samples(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """part, kind, blob: samples that are later ones of their rank, and first ones of a rank among several."""
+def _sorted_samples(docs: DataFrame, buckets: int, parts: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """part, kind, blob: a round's samples that are later ones of their rank, and first ones of a rank among several."""
 
     def run(batches):
         held: list[tuple] = []
@@ -157,7 +170,7 @@ def _sorted_samples(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, _, data, off in K.blocks(batch.column(1)):
-                row, at, name, rank = samples(data, off)
+                row, at, name, rank = samples(data, off, turn, rounds)
                 held.append((ids[a + row], at, name, rank))
                 n += len(at)
                 if n > PACK:
@@ -234,8 +247,21 @@ def _starts(ranges: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
-def _sorted_suffixes(docs: DataFrame, ranges: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """part, kind, blob: open strings that start earlier too."""
+def open_strings(data: np.ndarray, p: np.ndarray, turn: int = 0, rounds: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the strings at p a round takes, and the two hashes of those; only bytes of strings at p are hashed."""
+    steps = np.zeros(len(data) + 1, np.int32)
+    steps[p] = 1
+    steps[p + LENGTH] -= 1
+    needed = np.cumsum(steps[:-1]) > 0
+    at = np.cumsum(needed)[p] - 1
+    data = data[needed]
+    h = K.Rolling(data, room=K.BLOCK).of(at, at + LENGTH)
+    own = np.flatnonzero(in_round(h, turn, rounds))
+    return own, h[own], K.Rolling(data, 2, K.BLOCK).of(at[own], at[own] + LENGTH) & np.uint64((1 << 24) - 1)
+
+
+def _sorted_suffixes(docs: DataFrame, ranges: DataFrame, buckets: int, parts: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """part, kind, blob: a round's open strings that start earlier too."""
 
     def run(batches):
         held: list[tuple] = []
@@ -249,15 +275,19 @@ def _sorted_suffixes(docs: DataFrame, ranges: DataFrame, buckets: int, parts: in
         for batch in batches:
             ids, later, open_ = (batch.column(i).to_pylist() for i in (0, 2, 3))
             for a, b, data, off in K.blocks(batch.column(1)):
-                rolling, other = K.Rolling(data), K.Rolling(data, 2)
+                places, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for k in range(a, b):
                     starts = off[k - a + 1] - off[k - a] - LENGTH + 1
-                    if starts <= 0:
-                        continue
-                    at = np.flatnonzero(_starts(_pairs(open_[k]), starts) & ~_starts(_pairs(later[k]), starts))
-                    p = at + off[k - a]
-                    held.append((np.full(len(at), ids[k]), at, rolling.of(p, p + LENGTH), other.of(p, p + LENGTH) & np.uint64((1 << 24) - 1)))
-                    n += len(at)
+                    if starts > 0:
+                        places.append(np.flatnonzero(_starts(_pairs(open_[k]), starts) & ~_starts(_pairs(later[k]), starts)) + off[k - a])
+                        rows.append(np.full(len(places[-1]), k, np.int64))
+                p, k = np.concatenate(places), np.concatenate(rows)
+                own, h, more = open_strings(data, p, turn, rounds)
+                p, k = p[own], k[own]
+                for i in range(0, len(p), PACK):  # a block is 1 MB, but a very long text is one of its own
+                    some = slice(i, i + PACK)
+                    held.append((np.array(ids, np.int64)[k[some]], p[some] - off[k[some] - a], h[some], more[some]))
+                    n += len(held[-1][1])
                     if n > PACK:
                         yield flush()
                         held, n = [], 0
@@ -306,14 +336,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     buckets = max(8, -(-size * len(COVER) // PERIOD // BUCKET))
     parts = max(8, -(-size // (32 << 20)))
+    rounds = ROUNDS if buckets > 8 else 1
+
+    def by_rounds(step) -> DataFrame:
+        """What the rounds of a sort find, each written before the next begins."""
+        found = [stored(step(max(8, -(-buckets // rounds)), parts, turn, rounds)) for turn in range(rounds)]
+        return functools.reduce(DataFrame.unionByName, found)
+
     # exact copies: all but the least id of a digest go whole
     digests = rows.filter((F.length("bytes") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("bytes", 256).alias("d"))
     least = digests.groupBy("d").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = stored(digests.join(least, "d").filter("doc_id <> first").select("doc_id").distinct())
     own = rows.filter("doc_id is not null").join(_small(copies), "doc_id", "left_anti")
-    ranges = stored(_by_document(_sorted_samples(own, buckets, parts)))
+    ranges = stored(_by_document(by_rounds(functools.partial(_sorted_samples, own))))
     open_ = ranges.filter(F.length("open") > 0)
-    more = stored(_single_starts(_sorted_suffixes(own, _small(open_), buckets, parts)))
+    more = stored(_single_starts(by_rounds(functools.partial(_sorted_suffixes, own, _small(open_)))))
     hit = ranges.filter(F.length("later") > 0).select("doc_id", "later").join(more, "doc_id", "full")
     hit = stored(hit.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+#: Whether Spark removes a query's shuffle files where the query ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again; the shuffle files behind it go at once."""
     path = path or f"{scratch_dir(df.sparkSession)}/mediacat-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

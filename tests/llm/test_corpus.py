@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA, duck, rows_of
-from mediacat.llm import decontamination, language_id, ngram_join, packing, pii, quality_rules, registry, sharding, suffix_dedup, toxicity, url_filter
+from mediacat.llm import common, decontamination, language_id, ngram_join, packing, pii, quality_rules, registry, sharding, suffix_dedup, toxicity, url_filter
 from mediacat.llm import kernels as K
 from mediacat.operators.graph import components
 
@@ -240,6 +241,44 @@ def test_suffix_dedup(spark, tmp_path):
     assert sorted((r["doc_id"] or 0, r["n_bytes"], len(r["kept"])) for r in odd) == [(0, 150, 150), (0, 151, 151), (3, 151, 2), (5, 150, 0)]
 
 
+def test_suffix_dedup_by_rounds(spark, monkeypatch):
+    r = random.Random(6)
+    text = lambda k: "".join(r.choice("abcd ") for _ in range(k))
+    passages = [text(k) for k in (101, 180, 400)]
+    texts = ["".join(r.choice([text(r.randint(1, 300)), r.choice(passages)]) for _ in range(r.randint(1, 6))) for _ in range(80)] + [None, "short", passages[0], passages[0]]
+    written = []
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df: written.append(df.columns) or common.stored(df))
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 200)
+    monkeypatch.setattr(suffix_dedup, "PACK", 500)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    got = {x["doc_id"]: (x["n_bytes"], sum(e - s for s, e in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in suffix_dedup.deduplicated(table(spark, texts)).collect()}
+    assert got == brute_dedup(texts)
+    # each sort in two rounds, and each string in one of them
+    assert written.count(["part", "kind", "blob"]) == 4
+    h = K.mix(np.arange(10_000, dtype=np.uint64))
+    turns = np.stack([suffix_dedup.in_round(h, t, 3) for t in range(3)])
+    assert (turns.sum(0) == 1).all() and turns.sum(1).min() > 3000
+
+
+def test_hashes_of_open_strings_are_those_of_the_whole_text():
+    data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    p = np.array([0, 1, 99, 100, 400, 1500, 1600, 2900])
+    own, h, more = suffix_dedup.open_strings(data, p)
+    assert own.tolist() == list(range(8)) and (h == K.Rolling(data).of(p, p + 100)).all()
+    assert (more == K.Rolling(data, 2).of(p, p + 100) & np.uint64(2**24 - 1)).all()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = files()
+    got = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # files go a little later
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and got.count() == 7
+
+
 def test_cover_sample():
     assert len({(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}) == suffix_dedup.PERIOD
     d, at, k = np.array([1, 1, 5]), np.array([3, 9, 0]), np.array([1, 2**40 - 1, 7], np.uint64)
