@@ -37,6 +37,11 @@ def near_length(a: str, b: str, least: float = RATIO):
     return (F.least(n, m) > 0) & (F.least(n, m) / F.greatest(n, m, F.lit(1)) >= least)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df for a join by shuffles on both sides. Keys exploded from frames are many times what the planner takes them for, so it would broadcast all of them, through the driver."""
+    return df.hint("merge")
+
+
 def _banded(f: DataFrame, key: str, count: int) -> DataFrame:
     frames = f.select(key, F.posexplode("hashes").alias("frame", "h"))
     return frames.select(key, "frame", F.inline(hashing.bands(F.col("h"), count)))
@@ -47,7 +52,7 @@ def _rarest(banded: DataFrame, often: DataFrame, key: str, count: int, threshold
     n = F.col(f"{key}.n")
     least = F.ceil(n * ratio - 1e-9)  # frames of the shortest sequence that may match
     agree = count * least - F.floor(64 * (1 - threshold) * least + 1e-6)
-    ranked = banded.join(often, ["frame", "band", "value"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("often", F.xxhash64("frame", "band", "value").alias("tie"), "frame", "band", "value"))).alias("all"))
+    ranked = banded.join(dealt(often), ["frame", "band", "value"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("often", F.xxhash64("frame", "band", "value").alias("tie"), "frame", "band", "value"))).alias("all"))
     return ranked.select(key, F.inline(F.slice("all", F.lit(1), (count * n - agree + 1).cast("int")))).select(key, "frame", "band", "value")
 
 
@@ -87,7 +92,7 @@ def _by_rarest_band(sa: DataFrame, sb: DataFrame, threshold: float) -> DataFrame
     # one order of bands for both sides, by how many sequences have them
     often = a.select("frame", "band", "value").unionByName(b.select("frame", "band", "value")).groupBy("frame", "band", "value").agg(F.count(F.lit(1)).alias("often"))
     a, b = _rarest(a, often, "sa", count, threshold, RATIO), _rarest(b, often, "sb", count, threshold, RATIO)
-    return a.join(b, ["frame", "band", "value"]).select("sa", "sb")
+    return a.join(dealt(b), ["frame", "band", "value"]).select("sa", "sb")
 
 
 def candidates(sa: DataFrame, sb: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,13 +102,13 @@ def candidates(sa: DataFrame, sb: DataFrame, threshold: float = THRESHOLD) -> Da
     often = both.groupBy("k").agg(F.sum("l").alias("x"), F.count(F.lit(1)).alias("n")).filter("x > 0 and n > x")
     often = stored(often)
     rare, hot = often.filter(F.col("n") <= HOT).select("k"), often.filter(F.col("n") > HOT).select("k")
-    met = a.join(rare, "k").join(b, "k").select("sa", "sb")
+    met = a.join(dealt(rare), "k").join(dealt(b), "k").select("sa", "sb")
 
     def heavy(keyed: DataFrame, side: str, sequences: DataFrame) -> DataFrame:
         """Sequences with as many hot keys as they share with a similar one at least."""
         n = F.ceil(F.ceil(F.col(f"{side}.n") * RATIO - 1e-9) * least_shared(threshold) - 1e-9)
-        often = keyed.join(hot, "k").groupBy(side).agg(F.count(F.lit(1)).alias("hot")).filter(F.col("hot") >= n)
-        return sequences.join(often.select(side), side, "left_semi")
+        often = keyed.join(dealt(hot), "k").groupBy(side).agg(F.count(F.lit(1)).alias("hot")).filter(F.col("hot") >= n)
+        return sequences.join(dealt(often.select(side)), side, "left_semi")
 
     if not hot.isEmpty():
         met = met.unionByName(_by_rarest_band(stored(heavy(a, "sa", sa)), stored(heavy(b, "sb", sb)), threshold))
@@ -116,7 +121,7 @@ def sequence_pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHO
     A sequence stands for all its videos, so a hot one is one row a side.
     """
     sa, sb = (stored(df.groupBy(F.col("sequence").alias(k)).agg(F.first("hashes").alias("hashes"))) for df, k in ((left, "sa"), (right, "sb")))
-    both = candidates(sa, sb, threshold).join(sa.withColumnRenamed("hashes", "ha"), "sa").join(sb.withColumnRenamed("hashes", "hb"), "sb")
+    both = candidates(sa, sb, threshold).join(dealt(sa.withColumnRenamed("hashes", "ha")), "sa").join(dealt(sb.withColumnRenamed("hashes", "hb")), "sb")
     return both.withColumn("similarity", hashing.similarity(F.col("ha"), F.col("hb"))).filter(F.col("similarity") >= threshold).select("sa", "sb", "similarity")
 
 
