@@ -129,7 +129,7 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> Da
     """a, b, similarity of all left and right videos (video, hashes, n) at the threshold or above: every pair of copies is a row, so for reports, not for choosing."""
     left, right = sequences(left), sequences(right)
     close = sequence_pairs(left, right, threshold)
-    return close.join(left.select(F.col("video").alias("a"), F.col("sequence").alias("sa")), "sa").join(right.select(F.col("video").alias("b"), F.col("sequence").alias("sb")), "sb").select("a", "b", "similarity")
+    return close.join(dealt(left.select(F.col("video").alias("a"), F.col("sequence").alias("sa"))), "sa").join(dealt(right.select(F.col("video").alias("b"), F.col("sequence").alias("sb"))), "sb").select("a", "b", "similarity")
 
 
 def best(probes: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
