@@ -139,10 +139,10 @@ def best(probes: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> D
     """
     probes, index = sequences(probes), sequences(index)
     first = index.groupBy(F.col("sequence").alias("sb")).agg(F.min(F.struct("insert_seq", "video")).alias("first"))
-    found = sequence_pairs(probes, index, threshold).join(first, "sb")
+    found = sequence_pairs(probes, index, threshold).join(dealt(first), "sb")
     top = F.max_by(F.struct(F.col("first.video").alias("b"), "similarity"), F.struct("similarity", -F.col("first.insert_seq")))
     chosen = found.groupBy(F.col("sa").alias("sequence")).agg(top.alias("t"))
-    return probes.join(chosen, "sequence").select(F.col("video").alias("a"), "t.b", "t.similarity")
+    return probes.join(dealt(chosen), "sequence").select(F.col("video").alias("a"), "t.b", "t.similarity")
 
 
 def links(videos: DataFrame, others: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

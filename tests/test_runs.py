@@ -383,6 +383,16 @@ def test_banded_join_loses_nothing(spark):
     assert got == {a: c for a, c in chosen.items() if c}
 
 
+def test_no_join_of_keys_goes_through_the_driver(spark):
+    r = random.Random(8)
+    # flat frames, so that hot keys are joined too
+    rows = [(i, [0, 0, 0, r.getrandbits(63)] if i % 3 else [r.getrandbits(63) for _ in range(4)]) for i in range(300)]
+    f = spark.createDataFrame(rows, "video long, hashes array<long>").withColumn("n", F.size("hashes"))
+    for found in (similar.pairs(f, f), similar.best(f, f.withColumn("insert_seq", F.col("video")))):
+        assert found.count() >= 300
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_index_entries_move_to_the_end(spark):
     t = spark.createDataFrame([("a", 1), ("b", 2)], "content_id string, insert_seq long")
     got = {r["content_id"]: r["insert_seq"] for r in state.upsert_last(t, t.filter("content_id = 'a'"), "content_id").collect()}
